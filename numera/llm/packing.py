@@ -12,7 +12,6 @@ places up in the plan.
 
 from __future__ import annotations
 
-import json
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
@@ -147,24 +146,14 @@ _encoders: dict[int, Memo] = {}
 
 
 def _memo(vocabulary: bytes) -> Memo:
-    """Word memo over the byte-level BPE of a ``tokenizers`` file, one per Python worker.
-
-    Words not met before are encoded by the ranks in the file, which give the
-    ids that the ``tokenizers`` library gives (tests hold both together); its
-    per-call cost is three times as high.
-    """
+    """Word memo over a byte-level BPE of the ``tokenizers`` library, one per Python worker."""
     key = zlib.crc32(vocabulary)
     if key not in _encoders:
-        import tiktoken
-
-        spec = json.loads(vocabulary)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        enc = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[key] = Memo(lambda p: np.array(enc.encode_ordinary(p), "<u4").tobytes())
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(vocabulary.decode("utf-8"))
+        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        _encoders[key] = Memo(lambda p: np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
     return _encoders[key]
 
 
