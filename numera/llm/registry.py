@@ -51,6 +51,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from numera.llm import suffixes
+
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from numera.llm import toxicity
 
@@ -67,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_html_text, op5_best_fit_packing, op6_exact_top_k, op7_pii, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_html_text, op5_best_fit_packing, op6_exact_top_k, op7_pii, op8_suffix_dedup, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
