@@ -28,6 +28,13 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from numera.llm import lines
+
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,7 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_html_text, op5_best_fit_packing, op6_exact_top_k, op7_pii, op8_suffix_dedup, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_html_text, op4_line_dedup, op5_best_fit_packing, op6_exact_top_k, op7_pii, op8_suffix_dedup, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -146,3 +146,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def hex16(c: str):
     """A signed long as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(c)), 16, "0")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, and those without an id; all columns stay."""
+    near = near_duplicates(docs, id_col, text_col, max_bits, shingle)
+    gone = near.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

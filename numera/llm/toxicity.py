@@ -416,3 +416,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, score double")
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores below ``cut``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(b.column(at).to_pylist()) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
