@@ -83,17 +83,25 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """Ids of " " + word for words met before; emptied when full, so its memory is bounded."""
+    """Ids of " " + word for words met before.
+
+    Holds the words met since it was last full, and behind them those of the
+    round before, from which a word met again comes back.  So its memory is
+    bounded and frequent words stay.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self.encode(" " + word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(" " + word)
         if len(word) < 64:
+            if len(self) >= MEMO:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -172,6 +180,8 @@ class Tokenizer:
 
     def pieces(self, text: str) -> list[int]:
         """Ids of a text, every match of the pattern by itself."""
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.whole(text.encode())  # letters are one match
         return [i for p in self.pattern.findall(text) for i in self.whole(p.encode("utf-8"))]
 
     def encode_bytes(self, text: str) -> bytes:
