@@ -25,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 32, 16
-MAX_TOXIC, MAX_CLEAN = 600, 1800
+MAX_TOXIC, MAX_CLEAN = 700, 2800
 HIDDEN, EMBED, BUCKETS = 8, 4, 4096
 STATS = 4
+#: Times that the windows to learn from are chosen anew.
+TURNS = 3
+#: Windows without words among those to learn from.
+EMPTY = 64
 DIM = STATS + 2 * EMBED
-MEMO = 300_000
+MEMO = 400_000
 CUT = 0.7
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -216,34 +220,66 @@ class Model:
         self.__init__(*s)
 
     def _fresh(self) -> None:
+        """Forget the words met; the table of projected inputs starts anew."""
         self.row: dict[str, int] = {}
-        self.table = [np.zeros((0, 3 * HIDDEN), np.float32) for _ in range(2)]
-
-    def vectors(self, keys: list[str], own: int | None = None) -> np.ndarray:
-        """Inputs (words, DIM)."""
-        p = self.net.p
-        x = np.zeros((len(keys), DIM), np.float32)
-        x[:, :STATS] = self.stats.inputs(keys, own)
-        x[:, STATS : STATS + EMBED] = p["ew"][[_hash(w) for w in keys]]
-        each = [grams(w) if w else [] for w in keys]
-        size = np.array([len(g) for g in each])
-        word = np.repeat(np.arange(len(keys)), size)
-        np.add.at(x[:, STATS + EMBED :], word, p["ec"][[_hash(y) for g in each for y in g]])
-        x[:, STATS + EMBED :] /= np.maximum(size, 1)[:, None]
+        self.key_row: dict[str, int] = {}
+        self.table = np.zeros((2, 1 << 14, 3 * HIDDEN), np.float32)
+        if not hasattr(self, "gram_at"):
+            st = self.stats
+            n1, n0 = st.n[1], st.n[0]
+            self.gram_at = {g: i for i, g in enumerate(st.gram)}
+            self.word_at = {w: i for i, w in enumerate(st.word)}
+            c = np.array(list(st.gram.values()) or [[0, 0]], np.float64)
+            self.gram_z = _z(c[:, 1], c[:, 0], n1, n0)
+            self.gram_e = self.net.p["ec"][[_hash(g) for g in st.gram] or [0]]
+            c = np.array(list(st.word.values()) or [[0, 0]], np.float64)
+            self.word_z = np.append(_z(c[:, 1], c[:, 0], n1, n0), 0)
+
+    def vectors(self, keys: list[str]) -> np.ndarray:
+        """Inputs (words, DIM), as ``Stats.inputs`` and the embeddings give them."""
+        n, find = len(keys), self.gram_at.get
+        flat: list[int] = []
+        known, parts = np.zeros(n, np.int64), np.ones(n)
+        for i, w in enumerate(keys):
+            if w:
+                g = grams(w)
+                parts[i] = len(g)
+                own = [k for x in g if (k := find(x)) is not None]
+                known[i] = len(own)
+                flat += own
+        x = np.zeros((n, DIM), np.float32)
+        x[:, 0] = self.word_z[[self.word_at.get(w, -1) for w in keys]]
+        x[:, 3] = np.minimum([len(w) for w in keys], 20) / 20
+        x[:, STATS : STATS + EMBED] = self.net.p["ew"][[_hash(w) for w in keys]]
+        has = np.flatnonzero(known)
+        if len(has):
+            at = np.concatenate([[0], np.cumsum(known[has])[:-1]])
+            z, all_known = self.gram_z[flat], known[has] == parts[has]
+            top = np.maximum.reduceat(z, at)
+            x[has, 1] = np.where(all_known, top, np.maximum(top, 0))
+            x[has, 2] = np.add.reduceat(z, at) / parts[has]
+            x[has, STATS + EMBED :] = np.add.reduceat(self.gram_e[flat], at, axis=0) / parts[has][:, None]
         return x
 
     def _rows(self, words: list[str]) -> np.ndarray:
+        """Rows of the table for ``words``; words alike but for case and punctuation share one."""
+        if len(self.row) > MEMO:
+            self._fresh()
         row = self.row
         new = [w for w in set(words) if w not in row]
         if new:
-            if len(row) > MEMO:
-                self._fresh()
-                row, new = self.row, list(set(words))
             keys = [_key(w) for w in new]
-            x = self.vectors(keys)
-            p, n = self.net.p, len(row)
-            self.table = [np.concatenate([t, x @ p[f"w{d}"] + p[f"c{d}"]]) for t, d in zip(self.table, "fb")]
-            row.update(zip(new, range(n, n + len(new))))
+            at = self.key_row
+            made = [k for k in dict.fromkeys(keys) if k not in at]
+            if made:
+                n = len(at)
+                while n + len(made) > self.table.shape[1]:
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+                x, p = self.vectors(made), self.net.p
+                for k, d in enumerate("fb"):
+                    self.table[k, n : n + len(made)] = x @ p[f"w{d}"] + p[f"c{d}"]
+                at.update(zip(made, range(n, n + len(made))))
+            row.update(zip(new, map(at.__getitem__, keys)))
         return np.fromiter(map(row.__getitem__, words), np.int64, len(words))
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
@@ -273,9 +309,7 @@ class Model:
                 doc.append(i)
             at += len(ws)
         start, end, doc = np.array(start), np.array(end), np.array(doc)
-        rows = rows if len(rows) else np.zeros(1, np.int64)
-        if not len(self.row):
-            self._rows([""])
+        rows = rows if len(rows) else np.zeros(1, np.int64)  # masked, so any row will do
         for s in range(0, len(start), 2048):
             pos = start[s : s + 2048][None, :] + np.arange(WINDOW)[:, None]
             mask = (pos < end[s : s + 2048][None, :]).astype(np.float32)
@@ -288,32 +322,30 @@ class Model:
         return _sig(self.a * self.raw(texts) + self.b)
 
 
-def train(rows: list[tuple[str | None, int]], epochs: int = 16, seed: int = 5) -> Model:
+def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -> Model:
     """Train on (text, label) pairs; the statistics leave a training document out of its own inputs."""
     rng = np.random.default_rng(seed)
     docs = [([_key(w) for w in (t or "").split()], int(y)) for t, y in rows]
     stats = count(docs)
     net = Network(seed)
-    model = Model(stats, net)
     if not stats.n[0] or not stats.n[1]:  # nothing to tell apart: the share of the label
         net.p["o"][:] = 0
-        model.b = float(np.log((stats.n[1] + 0.5) / (stats.n[0] + 0.5)))
-        return model
+        return Model(stats, net, 1.0, float(np.log((stats.n[1] + 0.5) / (stats.n[0] + 0.5))))
     # inputs of every word of the sample, once for documents of either label that hold it, without that document
     place: dict[str, int] = {"": 0}
     pos = [np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)) for words, _ in docs]
     vocab = list(place)
     stat = [stats.inputs(vocab, own) for own in (0, 1)]
     hw = np.array([_hash(w) for w in vocab])
-    spelt = [[_hash(g) for g in grams(w)] if w else [] for w in vocab]
-    size = np.array([len(h) for h in spelt])
+    spelt = [[_hash(g) for g in grams(w) if g in stats.gram] if w else [] for w in vocab]
+    size, parts = np.array([len(h) for h in spelt]), np.array([max(len(grams(w)), 1) if w else 1 for w in vocab])
     flat, at = np.array([h for g in spelt for h in g], np.int64), np.concatenate([[0], np.cumsum(size)])
 
     def spelling(own: np.ndarray):
-        """Of words ``own``: the hashed n-grams, and the word each belongs to."""
+        """Of words ``own``: the hashed n-grams, the word each belongs to, and how many n-grams a word has in all."""
         n = size[own]
         word = np.repeat(np.arange(len(own)), n)
-        return flat[np.repeat(at[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())], word, np.maximum(n, 1)[:, None]
+        return flat[np.repeat(at[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())], word, parts[own][:, None]
 
     def inputs(own: np.ndarray, y: int) -> np.ndarray:
         x = np.zeros((len(own), DIM), np.float32)
@@ -330,57 +362,73 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 16, seed: int = 5) -
         s = np.array(windows(len(pos[i])))
         return s[np.argsort(-(e[np.minimum(s + WINDOW, len(e) - 1)] - e[np.minimum(s, len(e) - 1)]), kind="stable")]
 
-    start: list[tuple[int, int]] = []
-    for i, (_, y) in enumerate(docs):
-        s = peak(i)
-        start += [(i, int(k)) for k in (s[:1] if y else np.unique(np.concatenate([s[:2], rng.choice(s, 1)])))]
-    n = np.array([min(WINDOW, len(pos[i]) - s) for i, s in start])
-    word = np.zeros((len(start), WINDOW), np.int64)
-    for j, (i, s) in enumerate(start):
-        word[j, : n[j]] = pos[i][s : s + WINDOW]
-    mask_all = (np.arange(WINDOW)[None, :] < n[:, None]).astype(np.float32)
-    label = np.array([docs[i][1] for i, _ in start], np.float32)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    t, batch = 0, 256
-    for _ in range(epochs):
-        order = rng.permutation(len(start))
-        for b in range(0, len(order), batch):
-            own = order[b : b + batch]
-            x = np.zeros((len(own), WINDOW, DIM), np.float32)
-            uniq, back = np.unique(word[own], return_inverse=True)
-            back = back.reshape(len(own), WINDOW)
-            for y in (0, 1):
-                x[label[own] == y] = inputs(uniq, y)[back[label[own] == y]]
-            g, dx, _ = net.step(np.ascontiguousarray(x.transpose(1, 0, 2)), mask_all[own].T, label[own])
-            dw = np.zeros((len(uniq), 2 * EMBED), np.float32)
-            np.add.at(dw, back, dx.transpose(1, 0, 2)[:, :, STATS:] * mask_all[own][:, :, None])
-            g["ew"], g["ec"] = np.zeros_like(net.p["ew"]), np.zeros_like(net.p["ec"])
-            np.add.at(g["ew"], hw[uniq], dw[:, :EMBED])
-            spelt_as, of, many = spelling(uniq)
-            np.add.at(g["ec"], spelt_as, (dw[:, EMBED:] / many)[of])
-            t += 1
-            for k, v in net.p.items():
-                m1, m2 = moment[k]
-                m1 += 0.1 * (g[k] - m1)
-                m2 += 0.001 * (g[k] ** 2 - m2)
-                v -= (0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    # calibration over the whole training documents, each without itself in the statistics
-    best = np.full(len(docs), -np.inf)
-    proj = [[x @ net.p[f"w{d}"] + net.p[f"c{d}"] for d in "fb"] for x in (inputs(np.arange(len(vocab)), y) for y in (0, 1))]
-    for i, (_, y) in enumerate(docs):
+    def logits(i: int, proj: list) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and logits of all windows of document ``i``."""
         s = np.array(windows(len(pos[i])))
         where = s[None, :] + np.arange(WINDOW)[:, None]
-        mask = (where < len(pos[i])).astype(np.float32)
         own = pos[i][np.minimum(where, len(pos[i]) - 1)] if len(pos[i]) else np.zeros(where.shape, np.int64)
-        best[i] = net.logits(proj[y][0][own], proj[y][1][own], mask).max()
+        p = proj[docs[i][1]]
+        return s, net.logits(p[0][own], p[1][own], (where < len(pos[i])).astype(np.float32))
+
+    def projected() -> list:
+        every = np.arange(len(vocab))
+        return [[x @ net.p[f"w{d}"] + net.p[f"c{d}"] for d in "fb"] for x in (inputs(every, y) for y in (0, 1))]
+
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    t, batch = 0, 256
+    for turn in range(TURNS):
+        # windows to learn from: the likeliest of a document, by the words at first, then by the network;
+        # of documents of label 0 several, as none of theirs may pass
+        start: list[tuple[int, int]] = []
+        proj = projected() if turn else []
+        for i, (_, y) in enumerate(docs):
+            if turn:
+                s, z = logits(i, proj)
+                s = s[np.argsort(-z, kind="stable")]
+            else:
+                s = peak(i)
+            start += [(i, int(k)) for k in (s[:1] if y else np.unique(np.concatenate([s[:2], rng.choice(s, 1)])))]
+        n = np.array([min(WINDOW, len(pos[i]) - s) for i, s in start])
+        word = np.zeros((len(start), WINDOW), np.int64)
+        for j, (i, s) in enumerate(start):
+            word[j, : n[j]] = pos[i][s : s + WINDOW]
+        mask_all = (np.arange(WINDOW)[None, :] < n[:, None]).astype(np.float32)
+        label = np.array([docs[i][1] for i, _ in start], np.float32)
+        # windows without words are of label 0
+        none = np.zeros((EMPTY, WINDOW), np.int64)
+        word, mask_all, label = np.concatenate([word, none]), np.concatenate([mask_all, none.astype(np.float32)]), np.append(label, np.zeros(EMPTY, np.float32))
+        for _ in range(epochs // TURNS):
+            order = rng.permutation(len(label))
+            for b in range(0, len(order), batch):
+                own = order[b : b + batch]
+                x = np.zeros((len(own), WINDOW, DIM), np.float32)
+                uniq, back = np.unique(word[own], return_inverse=True)
+                back = back.reshape(len(own), WINDOW)
+                for y in (0, 1):
+                    x[label[own] == y] = inputs(uniq, y)[back[label[own] == y]]
+                g, dx, _ = net.step(np.ascontiguousarray(x.transpose(1, 0, 2)), mask_all[own].T, label[own])
+                dw = np.zeros((len(uniq), 2 * EMBED), np.float32)
+                np.add.at(dw, back, dx.transpose(1, 0, 2)[:, :, STATS:] * mask_all[own][:, :, None])
+                g["ew"], g["ec"] = np.zeros_like(net.p["ew"]), np.zeros_like(net.p["ec"])
+                np.add.at(g["ew"], hw[uniq], dw[:, :EMBED])
+                spelt_as, of, many = spelling(uniq)
+                np.add.at(g["ec"], spelt_as, (dw[:, EMBED:] / many)[of])
+                t += 1
+                for k, v in net.p.items():
+                    m1, m2 = moment[k]
+                    m1 += 0.1 * (g[k] - m1)
+                    m2 += 0.001 * (g[k] ** 2 - m2)
+                    v -= (0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    # calibration over the whole training documents, each without itself in the statistics
+    proj = projected()
+    best = np.array([logits(i, proj)[1].max() for i in range(len(docs))])
     y = np.array([d[1] for d in docs], np.float64)
     mid, spread = best.mean(), best.std() + 1e-6
     u, a, b = (best - mid) / spread, 1.0, 0.0
     for _ in range(400):
         e = _sig(a * u + b) - y
         a, b = a - 1.0 * ((e * u).mean() + 1e-3 * a), b - 1.0 * e.mean()
-    model.a, model.b = float(a / spread), float(b - a * mid / spread)
-    return model
+    return Model(stats, net, float(a / spread), float(b - a * mid / spread))
 
 
 def held_out(c):
