@@ -30,8 +30,6 @@ HIDDEN, EMBED, BUCKETS = 8, 4, 4096
 STATS = 4
 #: Times that the windows to learn from are chosen anew.
 TURNS = 3
-#: Windows without words among those to learn from.
-EMPTY = 64
 DIM = STATS + 2 * EMBED
 MEMO = 400_000
 CUT = 0.7
@@ -209,12 +207,12 @@ def windows(n: int) -> list[int]:
 class Model:
     """Statistics, network and calibration; ``score`` takes texts."""
 
-    def __init__(self, stats: Stats, net: Network, a: float = 1.0, b: float = 0.0):
-        self.stats, self.net, self.a, self.b = stats, net, a, b
+    def __init__(self, stats: Stats, net: Network, a: float = 1.0, b: float = 0.0, none: float = 0.0):
+        self.stats, self.net, self.a, self.b, self.none = stats, net, a, b, none
         self._fresh()
 
     def __getstate__(self):
-        return (self.stats, self.net, self.a, self.b)
+        return (self.stats, self.net, self.a, self.b, self.none)
 
     def __setstate__(self, s):
         self.__init__(*s)
@@ -285,17 +283,19 @@ class Model:
     def raw(self, texts: list[str | None]) -> np.ndarray:
         """The highest window logit of each text, a few thousand windows at a time."""
         best = np.full(len(texts), -np.inf)
+        empty = np.zeros(len(texts), bool)
         pend: list[tuple[int, list[str]]] = []
         size = 0
         for i, t in enumerate(texts):
             words = (t or "").split()
+            empty[i] = not words
             pend.append((i, words))
             size += len(words) + WINDOW
             if size > 120_000:
                 self._score(pend, best)
                 pend, size = [], 0
         self._score(pend, best)
-        return best
+        return np.where(empty, self.none, best)
 
     def _score(self, pend: list[tuple[int, list[str]]], best: np.ndarray) -> None:
         if not pend:
@@ -318,7 +318,7 @@ class Model:
             np.maximum.at(best, doc[s : s + 2048], logit)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Scores from 0 to 1; an empty text has one window without words."""
+        """Scores from 0 to 1; a text without words scores as the median training document of label 0."""
         return _sig(self.a * self.raw(texts) + self.b)
 
 
@@ -394,9 +394,6 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
             word[j, : n[j]] = pos[i][s : s + WINDOW]
         mask_all = (np.arange(WINDOW)[None, :] < n[:, None]).astype(np.float32)
         label = np.array([docs[i][1] for i, _ in start], np.float32)
-        # windows without words are of label 0
-        none = np.zeros((EMPTY, WINDOW), np.int64)
-        word, mask_all, label = np.concatenate([word, none]), np.concatenate([mask_all, none.astype(np.float32)]), np.append(label, np.zeros(EMPTY, np.float32))
         for _ in range(epochs // TURNS):
             order = rng.permutation(len(label))
             for b in range(0, len(order), batch):
@@ -428,7 +425,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
     for _ in range(400):
         e = _sig(a * u + b) - y
         a, b = a - 1.0 * ((e * u).mean() + 1e-3 * a), b - 1.0 * e.mean()
-    return Model(stats, net, float(a / spread), float(b - a * mid / spread))
+    return Model(stats, net, float(a / spread), float(b - a * mid / spread), float(np.median(best[y == 0])))
 
 
 def held_out(c):
