@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,9 +59,6 @@ def geodesic_inverse():
 
     Nearly antipodal pairs, where the iteration does not settle, give nulls.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("forward double, back double, distance double")
     def inverse(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
         a, f = WGS84_A, WGS84_F

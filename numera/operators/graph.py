@@ -82,7 +82,8 @@ def grid_neighbours(points: DataFrame, queries: DataFrame, radius: float, dims:
     p = points.select("id", *dims, *(cell(d).alias(f"g{d}") for d in dims))
     q = queries.select(F.col("id").alias("q"), *(F.col(d).alias(f"q{d}") for d in dims))
     for d in dims:
-        q = q.withColumn(f"g{d}", F.explode(F.transform(F.array(*(F.lit(o) for o in (-1, 0, 1))), lambda o, d=d: F.floor(F.col(f"q{d}") / radius) + o)))
+        own = F.floor(F.col(f"q{d}") / radius)
+        q = q.withColumn(f"g{d}", F.explode(F.array(own - 1, own, own + 1)))
     j = p.join(q, [f"g{d}" for d in dims])
     dist = F.sqrt(sum(((F.col(d) - F.col(f"q{d}")) ** 2 for d in dims), F.lit(0.0)))
     return j.withColumn("dist", dist).where(F.col("dist") <= radius).select("q", "id", "dist")
