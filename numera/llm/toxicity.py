@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 32, 16
-MAX_TOXIC, MAX_CLEAN = 700, 2800
+MAX_TOXIC, MAX_CLEAN = 600, 2000
 HIDDEN, EMBED, BUCKETS = 8, 4, 4096
 STATS = 4
 #: Times that the windows to learn from are chosen anew.
@@ -58,52 +59,23 @@ def _z(tp: np.ndarray, fp: np.ndarray, n1: float, n0: float) -> np.ndarray:
 
 @dataclass
 class Stats:
-    """Document counts of words and n-grams by label."""
+    """Document counts of words and n-grams by label (columns 0 and 1)."""
 
-    word: dict[str, list[int]]
-    gram: dict[str, list[int]]
+    word_at: dict[str, int]
+    word_c: np.ndarray
+    gram_at: dict[str, int]
+    gram_c: np.ndarray
     n: tuple[int, int]
 
-    def inputs(self, words: list[str], own: int | None = None) -> np.ndarray:
-        """Word and character inputs; ``own`` takes one document of that label out of the counts."""
-        n0, n1 = self.n
-        n0, n1 = n0 - (own == 0), n1 - (own == 1)
+    def evidence(self, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of every word and n-gram; ``own`` takes one document of that label out of the counts."""
+        n0, n1 = self.n[0] - (own == 0), self.n[1] - (own == 1)
         less = np.array([own == 0, own == 1], np.float64)
-        none = [0, 0]
-        out = np.zeros((len(words), STATS), np.float32)
-        if not words:
-            return out
-        c = np.array([self.word.get(w, none) for w in words], np.float64)
-        seen = c.any(axis=1, keepdims=True)
-        c = np.maximum(c - less * seen, 0)
-        out[:, 0] = np.where(c.any(axis=1), _z(c[:, 1], c[:, 0], n1, n0), 0)
-        each = [grams(w) if w else [] for w in words]
-        size = np.array([len(g) for g in each])
-        if size.sum():
-            g = np.array([self.gram.get(x, none) for e in each for x in e], np.float64)
-            g = np.maximum(g - less * g.any(axis=1, keepdims=True), 0)
-            z = np.where(g.any(axis=1), _z(g[:, 1], g[:, 0], n1, n0), 0)
-            has = np.flatnonzero(size)
-            at = np.concatenate([[0], np.cumsum(size[has])[:-1]])
-            out[has, 1] = np.maximum.reduceat(z, at)
-            out[has, 2] = np.add.reduceat(z, at) / size[has]
-        out[:, 3] = np.minimum([len(w) for w in words], 20) / 20
-        return out
-
-
-def count(docs: list[tuple[list[str], int]]) -> Stats:
-    word: dict[str, list[int]] = {}
-    gram: dict[str, list[int]] = {}
-    n = [0, 0]
-    for words, y in docs:
-        own = set(words)
-        n[y] += 1
-        for w in own:
-            word.setdefault(w, [0, 0])[y] += 1
-        for g in {g for w in own if w for g in grams(w)}:
-            gram.setdefault(g, [0, 0])[y] += 1
-    # a rare n-gram of clean documents alone speaks for nothing
-    return Stats(word, {g: c for g, c in gram.items() if c[0] + c[1] > 1}, (n[0], n[1]))
+        out = []
+        for c in (self.word_c, self.gram_c):
+            c = np.maximum(c - less * c.any(axis=1, keepdims=True), 0)
+            out.append(np.where(c.any(axis=1), _z(c[:, 1], c[:, 0], n1, n0), 0).astype(np.float32))
+        return out[0], out[1]
 
 
 def _hash(x: str) -> int:
@@ -223,25 +195,21 @@ class Model:
         self.key_row: dict[str, int] = {}
         self.table = np.zeros((2, 1 << 14, 3 * HIDDEN), np.float32)
         if not hasattr(self, "gram_at"):
-            st = self.stats
-            n1, n0 = st.n[1], st.n[0]
-            self.gram_at = {g: i for i, g in enumerate(st.gram)}
-            self.word_at = {w: i for i, w in enumerate(st.word)}
-            c = np.array(list(st.gram.values()) or [[0, 0]], np.float64)
-            self.gram_z = _z(c[:, 1], c[:, 0], n1, n0)
-            self.gram_e = self.net.p["ec"][[_hash(g) for g in st.gram] or [0]]
-            c = np.array(list(st.word.values()) or [[0, 0]], np.float64)
-            self.word_z = np.append(_z(c[:, 1], c[:, 0], n1, n0), 0)
+            word_z, self.gram_z = self.stats.evidence()
+            self.word_z = np.append(word_z, np.float32(0))
+            self.word_z[self.stats.word_at.get("", -1)] = 0
+            self.gram_e = self.net.p["ec"][[_hash(g) for g in self.stats.gram_at] or [0]]
+            self.gram_at, self.word_at = self.stats.gram_at, self.stats.word_at
 
     def vectors(self, keys: list[str]) -> np.ndarray:
-        """Inputs (words, DIM), as ``Stats.inputs`` and the embeddings give them."""
+        """Inputs (words, DIM) of words, from all counts."""
         n, find = len(keys), self.gram_at.get
         flat: list[int] = []
         known, parts = np.zeros(n, np.int64), np.ones(n)
         for i, w in enumerate(keys):
             if w:
                 g = grams(w)
-                parts[i] = len(g)
+                parts[i] = max(len(g), 1)
                 own = [k for x in g if (k := find(x)) is not None]
                 known[i] = len(own)
                 flat += own
@@ -325,21 +293,59 @@ class Model:
 def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -> Model:
     """Train on (text, label) pairs; the statistics leave a training document out of its own inputs."""
     rng = np.random.default_rng(seed)
-    docs = [([_key(w) for w in (t or "").split()], int(y)) for t, y in rows]
-    stats = count(docs)
+    place: dict[str, int] = {"": 0}
+    pos, label_of = [], [int(y) for _, y in rows]
+    for text, _ in rows:
+        words = (text or "").split()
+        pos.append(np.fromiter((place.setdefault(_key(w), len(place)) for w in words), np.int32, len(words)))
+    vocab = list(place)
+    # the n-grams of every word, as one flat list
+    gram_at: dict[str, int] = {}
+    every, parts = array("i"), np.zeros(len(vocab), np.int64)
+    for i, w in enumerate(vocab):
+        if w:
+            own = [gram_at.setdefault(g, len(gram_at)) for g in grams(w)]
+            parts[i] = len(own)
+            every.extend(own)
+    flat, owner = np.array(every, np.int64), np.repeat(np.arange(len(vocab)), parts)
+    parts = np.maximum(parts, 1)
+    at = np.searchsorted(owner, np.arange(len(vocab) + 1))
+    word_c, gram_c = np.zeros((len(vocab), 2)), np.zeros((len(gram_at), 2))
+    for p, y in zip(pos, label_of):
+        u = np.unique(p)
+        word_c[u, y] += 1
+        size = at[u + 1] - at[u]
+        gram_c[np.unique(flat[np.repeat(at[u] - (np.cumsum(size) - size), size) + np.arange(size.sum())]), y] += 1
+    # an n-gram met once says little and would only fill the table
+    known = gram_c.sum(axis=1) > 1
+    number = np.cumsum(known) - 1
+    flat, owner = number[flat[known[flat]]], owner[known[flat]]
+    at = np.searchsorted(owner, np.arange(len(vocab) + 1))
+    stats = Stats(place, word_c, {g: int(number[i]) for g, i in gram_at.items() if known[i]}, gram_c[known], (label_of.count(0), label_of.count(1)))
+    del gram_at, every
     net = Network(seed)
     if not stats.n[0] or not stats.n[1]:  # nothing to tell apart: the share of the label
         net.p["o"][:] = 0
         return Model(stats, net, 1.0, float(np.log((stats.n[1] + 0.5) / (stats.n[0] + 0.5))))
-    # inputs of every word of the sample, once for documents of either label that hold it, without that document
-    place: dict[str, int] = {"": 0}
-    pos = [np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)) for words, _ in docs]
-    vocab = list(place)
-    stat = [stats.inputs(vocab, own) for own in (0, 1)]
+    # inputs of every word of the sample, for documents of either label that hold it, without that document
+    size = np.diff(at)
+    has, all_known = np.flatnonzero(size), size == parts
+    stat = []
+    for own in (0, 1):
+        word_z, gram_z = stats.evidence(own)
+        x = np.zeros((len(vocab), STATS), np.float32)
+        x[:, 0] = word_z
+        x[0, 0] = 0
+        x[:, 3] = np.minimum([len(w) for w in vocab], 20) / 20
+        if len(has):
+            z = gram_z[flat]
+            top = np.maximum.reduceat(z, at[has])
+            x[has, 1] = np.where(all_known[has], top, np.maximum(top, 0))
+            x[has, 2] = np.add.reduceat(z, at[has]) / parts[has]
+        stat.append(x)
     hw = np.array([_hash(w) for w in vocab])
-    spelt = [[_hash(g) for g in grams(w) if g in stats.gram] if w else [] for w in vocab]
-    size, parts = np.array([len(h) for h in spelt]), np.array([max(len(grams(w)), 1) if w else 1 for w in vocab])
-    flat, at = np.array([h for g in spelt for h in g], np.int64), np.concatenate([[0], np.cumsum(size)])
+    gram_hash = np.array([_hash(g) for g in stats.gram_at], np.int64)
+    flat = gram_hash[flat] if len(flat) else flat
 
     def spelling(own: np.ndarray):
         """Of words ``own``: the hashed n-grams, the word each belongs to, and how many n-grams a word has in all."""
@@ -357,7 +363,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
 
     def peak(i: int) -> np.ndarray:
         """Starts of a document's windows, by the evidence in their words."""
-        x = stat[docs[i][1]][pos[i]]
+        x = stat[label_of[i]][pos[i]]
         e = np.concatenate([[0], np.cumsum(np.maximum(np.maximum(x[:, 1], x[:, 0]), 0) ** 3)])
         s = np.array(windows(len(pos[i])))
         return s[np.argsort(-(e[np.minimum(s + WINDOW, len(e) - 1)] - e[np.minimum(s, len(e) - 1)]), kind="stable")]
@@ -367,7 +373,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
         s = np.array(windows(len(pos[i])))
         where = s[None, :] + np.arange(WINDOW)[:, None]
         own = pos[i][np.minimum(where, len(pos[i]) - 1)] if len(pos[i]) else np.zeros(where.shape, np.int64)
-        p = proj[docs[i][1]]
+        p = proj[label_of[i]]
         return s, net.logits(p[0][own], p[1][own], (where < len(pos[i])).astype(np.float32))
 
     def projected() -> list:
@@ -381,7 +387,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
         # of documents of label 0 several, as none of theirs may pass
         start: list[tuple[int, int]] = []
         proj = projected() if turn else []
-        for i, (_, y) in enumerate(docs):
+        for i, y in enumerate(label_of):
             if turn:
                 s, z = logits(i, proj)
                 s = s[np.argsort(-z, kind="stable")]
@@ -393,7 +399,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
         for j, (i, s) in enumerate(start):
             word[j, : n[j]] = pos[i][s : s + WINDOW]
         mask_all = (np.arange(WINDOW)[None, :] < n[:, None]).astype(np.float32)
-        label = np.array([docs[i][1] for i, _ in start], np.float32)
+        label = np.array([label_of[i] for i, _ in start], np.float32)
         for _ in range(epochs // TURNS):
             order = rng.permutation(len(label))
             for b in range(0, len(order), batch):
@@ -418,8 +424,8 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
                     v -= (0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     # calibration over the whole training documents, each without itself in the statistics
     proj = projected()
-    best = np.array([logits(i, proj)[1].max() for i in range(len(docs))])
-    y = np.array([d[1] for d in docs], np.float64)
+    best = np.array([logits(i, proj)[1].max() for i in range(len(pos))])
+    y = np.array(label_of, np.float64)
     mid, spread = best.mean(), best.std() + 1e-6
     u, a, b = (best - mid) / spread, 1.0, 0.0
     for _ in range(400):
