@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -42,6 +43,16 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of stages that no live DataFrame refers to.
+
+    Executors keep them until the driver's garbage collector notices; after a
+    stage as large as its input that is worth asking for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a table made by ``cut`` that nothing reads any more."""
     spark = df.sparkSession

@@ -24,28 +24,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import cut, run_bounds, whole_runs
+from numera.llm.common import cut, release, run_bounds, whole_runs
 
 THRESHOLD = 0.8
-COUNTERS = 1 << 18
-#: Longest posting that is compared inside one task; longer ones are dealt out in tiles.
-POSTING = 4096
+COUNTERS = 1 << 21
+#: Lines under one word that are compared by offsets, all words at once; longer lists are compared in blocks.
+SHORT = 48
+#: Earlier lines that a line names under one word, if no more pass the filters.
+NAMED = 4
 BITS = 64
 
 
-def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(line, word hash) of all words of ``lines``, in order, lower case (A-Z), split at white space."""
+def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, code, hashes) of all words of ``lines``, in order: lower case (A-Z), split at white space; ``hashes[code]`` is the word."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(lines))
     flat = split.flatten()
     line = np.repeat(np.arange(len(lines)), np.asarray(split.value_lengths().fill_null(0)))
     coded = flat.dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w or "") for w in coded.dictionary.to_pylist()], np.uint64)
-    empty = pc.index_in(pa.array([""], flat.type), coded.dictionary)[0].as_py() if len(coded.dictionary) else None
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, coded.dictionary.cast(pa.binary()).to_pylist())), ">u8").astype(np.uint64)
+    empty = pc.index(coded.dictionary, pa.scalar("", flat.type)).as_py() if len(hashes) else -1
     code = coded.indices.to_numpy(zero_copy_only=False)
-    if empty is not None:
+    if empty >= 0:
         keep = code != empty
         line, code = line[keep], code[keep]
-    return line, hashes[code] if len(hashes) else np.zeros(0, np.uint64)
+    return line, code, hashes
 
 
 def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -57,41 +59,49 @@ def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return split.flatten(), at, np.arange(size.sum()) - np.repeat(first, size)
 
 
-def _sets(line: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (line, word) once each, sorted."""
-    by = np.lexsort((word, line))
-    line, word = line[by], word[by]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
-    return line[new], word[new]
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _sets(line: np.ndarray, code: np.ndarray, hashes: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (line, word) once each, by line, then the rarest word first, then by hash."""
+    freq = np.zeros(len(hashes), np.uint8) if count is None else count[_counter(hashes)]
+    order = np.lexsort((hashes, freq))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    key = np.sort(line.astype(np.int64) << 32 | rank[code]) if len(line) else np.zeros(0, np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return key >> 32, hashes[order][key & 0xFFFFFFFF] if len(key) else np.zeros(0, np.uint64)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Lines that hold a word, added up by hashed word: ``COUNTERS`` numbers, whatever the input."""
+    """How often words occur, added up by hashed word: ``COUNTERS`` bytes on a log scale, whatever the input."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             lines, _, _ = _lines(b.column(b.schema.get_field_index("text")))
-            _, word = _words(lines)
-            total += np.bincount((word % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            _, code, hashes = _words(lines)
+            np.add.at(total, _counter(hashes), np.bincount(code, minlength=len(hashes))[: len(hashes)])
         own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["k", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["k", "c"])
 
-    rows = docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
-    out[rows.k.to_numpy(np.int64)] = rows.c.to_numpy(np.int64)
-    # 32 bits a counter: one megabyte to broadcast
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+    out[rows.column("k").to_numpy()] = rows.column("c").to_numpy()
+    return np.minimum(8 * np.log2(out + 1), 255).astype(np.uint8)
 
 
 def postings(docs: DataFrame, threshold: float) -> DataFrame:
-    """(k, same, doc, at, shape, bits) rows, ``docs`` having (doc, text).
+    """(k, same, doc, at, shape, b1, b2) rows, ``docs`` having (doc, text).
 
     Every line with words has a row under the hash of its set (``shape`` -1),
     and one under each word of its prefix; ``same`` is the set's hash, ``at``
-    the line number, ``shape`` packs the set's size and the word's position,
-    ``bits`` is the folded bit set.  Of lines with equal sets in one batch only
+    the line number, ``shape`` packs the set's size and the word's position.
+    ``b1`` and ``b2`` are the folded bit set: 128 bits for sets of over 64
+    words, else 64 bits in ``b1``.  Of lines with equal sets in one batch only
     the first posts words.
     """
     counts = docs.sparkSession.sparkContext.broadcast(rarity(docs))
@@ -101,18 +111,19 @@ def postings(docs: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             ids = b.column(b.schema.get_field_index("doc")).to_numpy()
             lines, text_at, number = _lines(b.column(b.schema.get_field_index("text")))
-            line, word = _sets(*_words(lines))
+            line, word = _sets(*_words(lines), count)
             if not len(line):
                 continue
-            freq = count[(word % np.uint64(COUNTERS)).astype(np.int64)]
-            by = np.lexsort((word, freq, line))
-            line, word, freq = line[by], word[by], freq[by]
             at = run_bounds(line)
             own, n = line[at[:-1]], np.diff(at)
             with np.errstate(over="ignore"):
                 mixed = (word ^ (word >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 same = (np.add.reduceat(mixed, at[:-1]) * np.uint64(0x94D049BB133111EB) ^ np.add.reduceat(word, at[:-1])).view(np.int64)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (word % np.uint64(BITS)), at[:-1])
+            one = np.uint64(1) << (word % np.uint64(BITS))
+            high = (word >> np.uint64(6)) & np.uint64(1) != 0
+            b1, b2 = (np.bitwise_xor.reduceat(np.where(x, one, np.uint64(0)), at[:-1]) for x in (~high, high))
+            small = n <= BITS
+            b1, b2 = np.where(small, b1 ^ b2, b1), np.where(small, np.uint64(0), b2)
             doc, num = ids[text_at[own]], number[own]
             # sets in (document, line) order: the first of equal sets in this batch posts for all
             order = np.lexsort((num, doc, same))
@@ -122,73 +133,94 @@ def postings(docs: DataFrame, threshold: float) -> DataFrame:
             prefix = np.where(head & (n >= threshold / (1 - threshold) - 1e-9), n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
             of = np.repeat(np.arange(len(own)), prefix)
             pos = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            w = at[:-1][of] + pos
-            of, pos, w = (x[freq[w] > 1] for x in (of, pos, w))  # a word met once can be shared by no other line
+            both = lambda x: np.concatenate([x, x[of]])
             cols = (
-                np.concatenate([same, word[w].view(np.int64)]), np.concatenate([same, same[of]]), np.concatenate([doc, doc[of]]),
-                np.concatenate([num, num[of]]).astype(np.int32), np.concatenate([np.full(len(own), -1), n[of] << 32 | pos]), np.concatenate([bits, bits[of]]).view(np.int64),
+                np.concatenate([same, word[at[:-1][of] + pos].view(np.int64)]), both(same), both(doc), both(num).astype(np.int32),
+                np.concatenate([np.full(len(own), -1), n[of] << 32 | pos]), both(b1).view(np.int64), both(b2).view(np.int64),
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "same", "doc", "at", "shape", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "same", "doc", "at", "shape", "b1", "b2"])
 
-    return docs.select("doc", "text").mapInArrow(run, "k long, same long, doc long, at int, shape long, bits long")
+    return docs.select("doc", "text").mapInArrow(run, "k long, same long, doc long, at int, shape long, b1 long, b2 long")
 
 
-def _passes(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Pairs i x j that the length, positional and bit filters leave, as a matrix."""
-    a, b = n[i][:, None], n[j][None, :]
+def _passes(n, pos, b1, b2, i, j, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs i, j (broadcast together): whether the length, positional and bit filters leave them, and the bits that differ."""
+    a, b = n[i], n[j]
     need = np.ceil(t / (1 + t) * (a + b) - 1e-9)
-    ok = np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9
-    ok &= 1 + np.minimum(a - pos[i][:, None], b - pos[j][None, :]) - 1 >= need
-    ok &= np.bitwise_count(bits[i][:, None] ^ bits[j][None, :]) <= a + b - 2 * need
-    return ok
+    ok = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - pos[i], b - pos[j]) >= need)
+    x, y = b1[i] ^ b1[j], b2[i] ^ b2[j]
+    wide = np.minimum(a, b) > BITS
+    differ = np.where(wide, np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y), np.bitwise_count(x ^ y))
+    return ok & (differ <= a + b - 2 * need), differ
 
 
 def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """(kind, doc, at, doc2, at2): line (doc, at) repeats an earlier line (kind 0), or may match earlier line 2 (kind 1).
+    """(kind, doc, at, doc2, at2): line (doc, at) repeats an earlier line (kind 0), or may match earlier line 2.
 
-    Under one word a line names the earliest line it may match, and, for the
-    case that all lines so named fail, whether there are others (kind 2 names
-    them all in a second round).
+    Under one word a line names the earlier lines the filters leave (kind 1),
+    or, where they are more than ``NAMED``, the one whose bits differ least
+    (kind 2): if all lines so named fail, further ones remain to be tried.
     """
 
     def run(batches):
         for t in whole_runs(batches, ["k"]):
-            k, same, doc, at, shape, bits = (t.column(c).to_numpy() for c in ("k", "same", "doc", "at", "shape", "bits"))
-            edges = run_bounds(k)
-            size = np.diff(edges)
+            k, same, doc, at, shape, b1, b2 = (t.column(c).to_numpy() for c in ("k", "same", "doc", "at", "shape", "b1", "b2"))
             out: list[tuple] = []
-            for s, e in zip(edges[:-1][size > 1], edges[1:][size > 1]):
-                rest = shape[s:e] < 0
-                if rest.any():  # equal sets: all but the first go
-                    own = s + np.flatnonzero(rest)
-                    if len(own) > 1:
-                        first = own[np.lexsort((at[own], doc[own]))[0]]
-                        more = own[own != first]
-                        out.append((np.zeros(len(more), np.int32), doc[more], at[more], np.full(len(more), doc[first]), np.full(len(more), at[first])))
-                own = s + np.flatnonzero(~rest)
-                if len(own) < 2:
-                    continue
-                by = own[np.lexsort((at[own], doc[own], same[own]))]
-                own = by[run_bounds(same[by])[:-1]]  # one row for each set, its first line
-                own = own[np.lexsort((at[own], doc[own]))]
-                if len(own) < 2:
-                    continue
-                n, pos, b = shape[own] >> 32, shape[own] & 0xFFFFFFFF, bits[own].view(np.uint64)
-                every = np.arange(len(own))
-                for c in range(0, len(own), 512):
-                    i = every[c : c + 512]
-                    j = every[: i[-1]]
-                    ok = _passes(n, pos, b, i, j, threshold) & (j[None, :] < i[:, None])
-                    hit = np.flatnonzero(ok.any(axis=1))
-                    if len(hit):
-                        x, y = own[i[hit]], own[ok[hit].argmax(axis=1)]
-                        many = np.where(ok[hit].sum(axis=1) > 1, 2, 1).astype(np.int32)
-                        out.append((many, doc[x], at[x], doc[y], at[y]))
+
+            def put(kind, x, y):
+                out.append((np.broadcast_to(kind, len(x)).astype(np.int32), doc[x], at[x], doc[y], at[y]))
+
+            rest = np.flatnonzero(shape < 0)
+            if len(rest):  # equal sets: all but the first go
+                edges = run_bounds(k[rest])
+                first = np.repeat(rest[edges[:-1]], np.diff(edges))
+                put(0, rest[rest != first], first[rest != first])
+            own = np.flatnonzero(shape >= 0)
+            if len(own):
+                # one row for each set under a word, its first line; rows come in order of lines
+                run_of = np.cumsum(np.r_[True, k[own][1:] != k[own][:-1]])
+                by = np.lexsort((own, same[own], run_of))
+                own = np.sort(own[by[run_bounds(run_of[by], same[own][by])[:-1]]])
+                size_all = np.diff(run_bounds(k[own]))
+                own = own[np.repeat(size_all > 1, size_all)]
+            if len(own) > 1:
+                kk, n, pos, c1, c2 = k[own], shape[own] >> 32, shape[own] & 0xFFFFFFFF, b1[own].view(np.uint64), b2[own].view(np.uint64)
+                edges = run_bounds(kk)
+                size = np.diff(edges)
+                place = np.arange(len(own)) - np.repeat(edges[:-1], size)
+                short = np.repeat(size <= SHORT, size)
+                seen, least, best = np.zeros(len(own), np.int64), np.full(len(own), 1 << 30), np.zeros(len(own), np.int64)
+                pairs: list[tuple[np.ndarray, np.ndarray]] = []
+                for d in range(1, min(SHORT, int(size.max()))):
+                    i = np.flatnonzero(short & (place >= d))
+                    if not len(i):
+                        break
+                    ok, differ = _passes(n, pos, c1, c2, i, i - d, threshold)
+                    i, differ = i[ok], differ[ok]
+                    seen[i] += 1
+                    pairs.append((i, i - d))
+                    nearer = differ < least[i]
+                    least[i[nearer]], best[i[nearer]] = differ[nearer], i[nearer] - d
+                if pairs:
+                    x, y = (np.concatenate(z) for z in zip(*pairs))
+                    few = seen[x] <= NAMED
+                    put(1, own[x[few]], own[y[few]])
+                    many = np.flatnonzero(seen > NAMED)
+                    put(2, own[many], own[best[many]])
+                for s, e in zip(edges[:-1][size > SHORT], edges[1:][size > SHORT]):
+                    for c in range(s, e, 256):
+                        i = np.arange(c, min(e, c + 256))
+                        j = np.arange(s, i[-1])
+                        ok, differ = _passes(n, pos, c1, c2, i[:, None], j[None, :], threshold)
+                        ok &= j[None, :] < i[:, None]
+                        some = ok.any(axis=1)
+                        near = np.where(ok, differ, 1 << 30).argmin(axis=1)
+                        put(np.where(ok[some].sum(axis=1) > 1, 2, 1), own[i[some]], own[j[near[some]]])
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if q in (0, 2, 4) else np.int64)) for q, c in enumerate(cols)], ["kind", "doc", "at", "doc2", "at2"])
 
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "kind int, doc long, at int, doc2 long, at2 int")
+    return rows.repartition("k").sortWithinPartitions("k", "doc", "at").mapInArrow(run, "kind int, doc long, at int, doc2 long, at2 int")
 
 
 def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,7 +248,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, at): lines with an earlier match; ``docs`` has (doc, text), doc unique and ordering the documents."""
     if not 0.5 < threshold < 1:
         raise ValueError("the threshold lies between 0.5 and 1")
+    spark = docs.sparkSession
     found = cut(candidates(postings(docs, threshold), threshold), "lines")
+    release(spark)
     exact = found.where("kind = 0").select("doc", "at")
     asked = found.where("kind > 0").select("doc", "at", "doc2", "at2").distinct()
     ends = asked.select("doc", "at").union(asked.select("doc2", "at2"))
@@ -231,6 +265,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select("doc", "at")
     )
     matched = cut(matched.union(exact).distinct(), "removed")
+    release(spark)
     # lines whose named lines all failed, and that had further ones
     open_ = found.where("kind = 2").select("doc", "at").distinct().join(matched, ["doc", "at"], "left_anti")
     return matched if open_.isEmpty() else matched.union(_further(docs, open_, threshold)).distinct()
@@ -241,15 +276,17 @@ def _further(docs: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
     rows = cut(postings(docs, threshold).where("shape >= 0"), "postings")
     mine = rows.join(open_, ["doc", "at"], "left_semi")
     n, p = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    x = mine.select("k", F.col("doc").alias("doc"), F.col("at").alias("at"), n("shape").alias("n"), p("shape").alias("p"), F.col("bits").alias("b"))
-    y = rows.select("k", F.col("doc").alias("doc2"), F.col("at").alias("at2"), n("shape").alias("n2"), p("shape").alias("p2"), F.col("bits").alias("b2"))
+    side = lambda d, e: d.select("k", *(F.col(c).alias(c + e) for c in ("doc", "at", "b1", "b2")), n("shape").alias("n" + e), p("shape").alias("p" + e))
+    x, y = side(mine, ""), side(rows, "2")
     need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-9)
+    d1, d2 = F.col("b1").bitwiseXOR(F.col("b12")), F.col("b2").bitwiseXOR(F.col("b22"))
+    differ = F.when(F.least("n", "n2") > BITS, F.bit_count(d1) + F.bit_count(d2)).otherwise(F.bit_count(d1.bitwiseXOR(d2)))
     pairs = (
         x.join(y, "k")
         .where((F.col("doc2") < F.col("doc")) | ((F.col("doc2") == F.col("doc")) & (F.col("at2") < F.col("at"))))
         .where(F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-9)
         .where(F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= need)
-        .where(F.bit_count(F.col("b").bitwiseXOR(F.col("b2"))) <= F.col("n") + F.col("n2") - 2 * need)
+        .where(differ <= F.col("n") + F.col("n2") - 2 * need)
         .select("doc", "at", "doc2", "at2")
         .distinct()
     )
