@@ -328,9 +328,9 @@ def _(t):
 # --- folds and conditional accumulation -----------------------------------------------------------------
 
 
-@query("g003_fold_left", "SELECT l_orderkey, round(list_reduce(list_prepend(CAST(1.0 AS DOUBLE), list(l_discount ORDER BY l_linenumber, l_partkey, l_suppkey)), lambda a, x: a * 0.3 + x), 6) AS v FROM lineitem GROUP BY l_orderkey")
+@query("g003_fold_left", "SELECT l_orderkey, round(list_reduce(list_prepend(CAST(1.0 AS DOUBLE), list(l_discount ORDER BY l_linenumber, l_partkey, l_suppkey)), lambda a, x: a * 0.3721943 + x), 6) AS v FROM lineitem GROUP BY l_orderkey")
 def _(t):
-    return L.fold(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_discount", 1.0, lambda a, x: a * 0.3 + x).select("l_orderkey", R("v", 6).alias("v"))
+    return L.fold(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_discount", 1.0, lambda a, x: a * 0.3721943 + x).select("l_orderkey", R("v", 6).alias("v"))
 
 
 @query("g004_conditional_accumulation", "SELECT l_suppkey, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END), 2) AS v, count(*) FILTER (l_returnflag = 'R') AS n FROM lineitem GROUP BY l_suppkey")
