@@ -55,8 +55,8 @@ class Plan:
         return np.array(out, np.int64).reshape(-1, 4)
 
 
-def _complements(avail: np.ndarray, length: int, gap: int, take) -> None:
-    """Consume exact fillings of ``gap`` for sequences that hold ``length``."""
+def _complements(avail: np.ndarray, length: int, gap: int, take, depth: int) -> None:
+    """Consume exact fillings of ``gap`` by up to ``depth`` lengths for sequences that hold ``length``."""
 
     def use(*others: int) -> None:
         need: dict[int, int] = {}
@@ -70,7 +70,7 @@ def _complements(avail: np.ndarray, length: int, gap: int, take) -> None:
 
     if avail[gap]:
         use(gap)
-    if not avail[length]:
+    if not avail[length] or depth < 2:
         return
     # pairs a >= b with a + b = gap, the largest a first
     a = np.arange(gap - 1, (gap - 1) // 2, -1)
@@ -78,6 +78,8 @@ def _complements(avail: np.ndarray, length: int, gap: int, take) -> None:
         use(x, gap - x)
         if not avail[length]:
             return
+    if depth < 3:
+        return
     # triples a >= b >= c with a + b + c = gap
     for x in range(gap - 2, (gap - 1) // 3, -1):
         if not avail[x]:
@@ -93,7 +95,17 @@ def _complements(avail: np.ndarray, length: int, gap: int, take) -> None:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Pack ``counts`` pieces of each length into sequences of ``capacity``."""
+    """Pack ``counts`` pieces of each length into sequences of ``capacity``.
+
+    Sums of more lengths fill more gaps exactly, but use up the short pieces
+    that best fit could have placed elsewhere; the plan with the fewest
+    sequences is taken, the one with the most exact fillings among equals.
+    """
+    return min((_plan(counts, capacity, depth) for depth in (3, 2, 1)), key=lambda p: p.sequences)
+
+
+def _plan(counts: dict[int, int], capacity: int, depth: int) -> Plan:
+    """The plan by sums of up to ``depth`` lengths and best fit for the rest."""
     avail = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         if not 0 < n <= capacity:
@@ -109,7 +121,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         avail[capacity] = 0
     for n in range(capacity - 1, 0, -1):
         if avail[n]:
-            _complements(avail, n, capacity - n, take)
+            _complements(avail, n, capacity - n, take, depth)
     # best fit, the longest first, over groups of sequences with one content
     open_: list[tuple[int, int, tuple[int, ...], int]] = []  # (gap, number, lengths, how many)
     serial = 0
