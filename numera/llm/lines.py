@@ -30,8 +30,8 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 21
 #: Lines under one word that are compared by offsets, all words at once; longer lists are compared in blocks.
 SHORT = 48
-#: Earlier lines that a line names under one word, if no more pass the filters.
-NAMED = 4
+#: Earlier lines that a line names under one word at first: all that pass the filters, or so many of the likeliest.
+NAMED = 12
 BITS = 64
 
 
@@ -158,8 +158,8 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     """(kind, doc, at, doc2, at2): line (doc, at) repeats an earlier line (kind 0), or may match earlier line 2.
 
     Under one word a line names the earlier lines the filters leave (kind 1),
-    or, where they are more than ``NAMED``, the one whose bits differ least
-    (kind 2): if all lines so named fail, further ones remain to be tried.
+    or, where they are more than ``NAMED``, those whose bits differ least (kind
+    2): if all lines so named fail, further ones remain to be tried.
     """
 
     def run(batches):
@@ -189,33 +189,32 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 size = np.diff(edges)
                 place = np.arange(len(own)) - np.repeat(edges[:-1], size)
                 short = np.repeat(size <= SHORT, size)
-                seen, least, best = np.zeros(len(own), np.int64), np.full(len(own), 1 << 30), np.zeros(len(own), np.int64)
-                pairs: list[tuple[np.ndarray, np.ndarray]] = []
-                for d in range(1, min(SHORT, int(size.max()))):
+                pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for d in range(1, min(SHORT + 1, int(size.max()))):
                     i = np.flatnonzero(short & (place >= d))
                     if not len(i):
                         break
                     ok, differ = _passes(n, pos, c1, c2, i, i - d, threshold)
-                    i, differ = i[ok], differ[ok]
-                    seen[i] += 1
-                    pairs.append((i, i - d))
-                    nearer = differ < least[i]
-                    least[i[nearer]], best[i[nearer]] = differ[nearer], i[nearer] - d
+                    pairs.append((i[ok], i[ok] - d, differ[ok]))
                 if pairs:
-                    x, y = (np.concatenate(z) for z in zip(*pairs))
-                    few = seen[x] <= NAMED
-                    put(1, own[x[few]], own[y[few]])
-                    many = np.flatnonzero(seen > NAMED)
-                    put(2, own[many], own[best[many]])
+                    x, y, differ = (np.concatenate(z) for z in zip(*pairs))
+                    by = np.lexsort((differ, x))
+                    x, y = x[by], y[by]
+                    at_x = run_bounds(x)
+                    seen = np.repeat(np.diff(at_x), np.diff(at_x))
+                    near = np.arange(len(x)) - np.repeat(at_x[:-1], np.diff(at_x)) < NAMED
+                    put(np.where(seen > NAMED, 2, 1)[near], own[x[near]], own[y[near]])
                 for s, e in zip(edges[:-1][size > SHORT], edges[1:][size > SHORT]):
                     for c in range(s, e, 256):
                         i = np.arange(c, min(e, c + 256))
                         j = np.arange(s, i[-1])
                         ok, differ = _passes(n, pos, c1, c2, i[:, None], j[None, :], threshold)
                         ok &= j[None, :] < i[:, None]
-                        some = ok.any(axis=1)
-                        near = np.where(ok, differ, 1 << 30).argmin(axis=1)
-                        put(np.where(ok[some].sum(axis=1) > 1, 2, 1), own[i[some]], own[j[near[some]]])
+                        seen = ok.sum(axis=1)
+                        differ = np.where(ok, differ, 1 << 30)
+                        near = np.argpartition(differ, min(NAMED, len(j)) - 1, axis=1)[:, :NAMED] if len(j) else np.zeros((len(i), 0), np.int64)
+                        r, c_ = np.nonzero(np.take_along_axis(ok, near, axis=1))
+                        put(np.where(seen[r] > NAMED, 2, 1), own[i[r]], own[j[near[r, c_]]])
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if q in (0, 2, 4) else np.int64)) for q, c in enumerate(cols)], ["kind", "doc", "at", "doc2", "at2"])
