@@ -368,13 +368,26 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
         s = np.array(windows(len(pos[i])))
         return s[np.argsort(-(e[np.minimum(s + WINDOW, len(e) - 1)] - e[np.minimum(s, len(e) - 1)]), kind="stable")]
 
-    def logits(i: int, proj: list) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and logits of all windows of document ``i``."""
-        s = np.array(windows(len(pos[i])))
-        where = s[None, :] + np.arange(WINDOW)[:, None]
-        own = pos[i][np.minimum(where, len(pos[i]) - 1)] if len(pos[i]) else np.zeros(where.shape, np.int64)
-        p = proj[label_of[i]]
-        return s, net.logits(p[0][own], p[1][own], (where < len(pos[i])).astype(np.float32))
+    # all windows of all documents: document, first word and end in the joined texts
+    joined = np.concatenate([*pos, np.zeros(1, np.int32)])
+    base = np.concatenate([[0], np.cumsum([len(p) for p in pos])])
+    of = [windows(len(p)) for p in pos]
+    win_doc = np.repeat(np.arange(len(pos)), [len(w) for w in of])
+    win_start = np.concatenate([np.array(w) for w in of])
+    win_y = np.array(label_of)[win_doc]
+
+    def logits(proj: list) -> np.ndarray:
+        """Logits of all windows, each by the inputs that leave its document out."""
+        out = np.zeros(len(win_doc))
+        for y in (0, 1):
+            mine = np.flatnonzero(win_y == y)
+            for s in range(0, len(mine), 2048):
+                own = mine[s : s + 2048]
+                at_word = (base[win_doc[own]] + win_start[own])[None, :] + np.arange(WINDOW)[:, None]
+                mask = at_word < base[win_doc[own] + 1][None, :]
+                word = joined[np.minimum(at_word, len(joined) - 1)]
+                out[own] = net.logits(proj[y][0][word], proj[y][1][word], mask.astype(np.float32))
+        return out
 
     def projected() -> list:
         every = np.arange(len(vocab))
@@ -386,11 +399,12 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
         # windows to learn from: the likeliest of a document, by the words at first, then by the network;
         # of documents of label 0 several, as none of theirs may pass
         start: list[tuple[int, int]] = []
-        proj = projected() if turn else []
+        z = logits(projected()) if turn else None
+        at_doc = np.searchsorted(win_doc, np.arange(len(pos) + 1))
         for i, y in enumerate(label_of):
             if turn:
-                s, z = logits(i, proj)
-                s = s[np.argsort(-z, kind="stable")]
+                own = slice(at_doc[i], at_doc[i + 1])
+                s = win_start[own][np.argsort(-z[own], kind="stable")]
             else:
                 s = peak(i)
             start += [(i, int(k)) for k in (s[:1] if y else np.unique(np.concatenate([s[:2], rng.choice(s, 1)])))]
@@ -423,8 +437,8 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
                     m2 += 0.001 * (g[k] ** 2 - m2)
                     v -= (0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     # calibration over the whole training documents, each without itself in the statistics
-    proj = projected()
-    best = np.array([logits(i, proj)[1].max() for i in range(len(pos))])
+    best = np.full(len(pos), -np.inf)
+    np.maximum.at(best, win_doc, logits(projected()))
     y = np.array(label_of, np.float64)
     mid, spread = best.mean(), best.std() + 1e-6
     u, a, b = (best - mid) / spread, 1.0, 0.0
