@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from numera.llm.common import run_bounds
+
 WINDOW, STRIDE = 32, 16
 MAX_TOXIC, MAX_CLEAN = 600, 2000
 HIDDEN, EMBED, BUCKETS = 8, 4, 4096
@@ -357,10 +359,16 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
         x = np.zeros((len(own), DIM), np.float32)
         x[:, :STATS], x[:, STATS : STATS + EMBED] = stat[y][own], net.p["ew"][hw[own]]
         g, word, n = spelling(own)
-        np.add.at(x[:, STATS + EMBED :], word, net.p["ec"][g])
+        if len(g):
+            first = run_bounds(word)[:-1]
+            x[word[first], STATS + EMBED :] = np.add.reduceat(net.p["ec"][g], first, axis=0)
         x[:, STATS + EMBED :] /= n
         return x
 
+    def scattered(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Rows of ``values`` added up by hash bucket."""
+        return np.stack([np.bincount(at, v, BUCKETS) for v in values.T], axis=1).astype(np.float32)
+
     def peak(i: int) -> np.ndarray:
         """Starts of a document's windows, by the evidence in their words."""
         x = stat[label_of[i]][pos[i]]
@@ -424,12 +432,11 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
                 for y in (0, 1):
                     x[label[own] == y] = inputs(uniq, y)[back[label[own] == y]]
                 g, dx, _ = net.step(np.ascontiguousarray(x.transpose(1, 0, 2)), mask_all[own].T, label[own])
-                dw = np.zeros((len(uniq), 2 * EMBED), np.float32)
-                np.add.at(dw, back, dx.transpose(1, 0, 2)[:, :, STATS:] * mask_all[own][:, :, None])
-                g["ew"], g["ec"] = np.zeros_like(net.p["ew"]), np.zeros_like(net.p["ec"])
-                np.add.at(g["ew"], hw[uniq], dw[:, :EMBED])
-                spelt_as, of, many = spelling(uniq)
-                np.add.at(g["ec"], spelt_as, (dw[:, EMBED:] / many)[of])
+                d = (dx.transpose(1, 0, 2)[:, :, STATS:] * mask_all[own][:, :, None]).reshape(-1, 2 * EMBED)
+                by = np.argsort(back, axis=None, kind="stable")
+                dw = np.add.reduceat(d[by], run_bounds(back.ravel()[by])[:-1], axis=0)
+                spelt_as, word_of, many = spelling(uniq)
+                g["ew"], g["ec"] = scattered(hw[uniq], dw[:, :EMBED]), scattered(spelt_as, (dw[:, EMBED:] / many)[word_of])
                 t += 1
                 for k, v in net.p.items():
                     m1, m2 = moment[k]
