@@ -94,7 +94,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.minimum(8 * np.log2(out + 1), 255).astype(np.uint8)
 
 
-def postings(docs: DataFrame, threshold: float) -> DataFrame:
+def postings(docs: DataFrame, threshold: float, counts) -> DataFrame:
     """(k, same, doc, at, shape, b1, b2) rows, ``docs`` having (doc, text).
 
     Every line with words has a row under the hash of its set (``shape`` -1),
@@ -102,9 +102,8 @@ def postings(docs: DataFrame, threshold: float) -> DataFrame:
     the line number, ``shape`` packs the set's size and the word's position.
     ``b1`` and ``b2`` are the folded bit set: 128 bits for sets of over 64
     words, else 64 bits in ``b1``.  Of lines with equal sets in one batch only
-    the first posts words.
+    the first posts words.  ``counts`` is the broadcast of ``rarity``.
     """
-    counts = docs.sparkSession.sparkContext.broadcast(rarity(docs))
 
     def run(batches):
         count = counts.value
@@ -166,6 +165,10 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
         for t in whole_runs(batches, ["k"]):
             k, same, doc, at, shape, b1, b2 = (t.column(c).to_numpy() for c in ("k", "same", "doc", "at", "shape", "b1", "b2"))
             out: list[tuple] = []
+            size = np.diff(run_bounds(k))
+            keep = np.flatnonzero(np.repeat(size > 1, size))
+            keep = keep[np.lexsort((at[keep], doc[keep], k[keep]))]
+            k, same, doc, at, shape, b1, b2 = (x[keep] for x in (k, same, doc, at, shape, b1, b2))
 
             def put(kind, x, y):
                 out.append((np.broadcast_to(kind, len(x)).astype(np.int32), doc[x], at[x], doc[y], at[y]))
@@ -219,7 +222,7 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 cols = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if q in (0, 2, 4) else np.int64)) for q, c in enumerate(cols)], ["kind", "doc", "at", "doc2", "at2"])
 
-    return rows.repartition("k").sortWithinPartitions("k", "doc", "at").mapInArrow(run, "kind int, doc long, at int, doc2 long, at2 int")
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "kind int, doc long, at int, doc2 long, at2 int")
 
 
 def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,7 +251,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not 0.5 < threshold < 1:
         raise ValueError("the threshold lies between 0.5 and 1")
     spark = docs.sparkSession
-    found = cut(candidates(postings(docs, threshold), threshold), "lines")
+    counts = spark.sparkContext.broadcast(rarity(docs))
+    found = cut(candidates(postings(docs, threshold, counts), threshold), "lines")
     release(spark)
     exact = found.where("kind = 0").select("doc", "at")
     asked = found.where("kind > 0").select("doc", "at", "doc2", "at2").distinct()
@@ -267,12 +271,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     release(spark)
     # lines whose named lines all failed, and that had further ones
     open_ = found.where("kind = 2").select("doc", "at").distinct().join(matched, ["doc", "at"], "left_anti")
-    return matched if open_.isEmpty() else matched.union(_further(docs, open_, threshold)).distinct()
+    return matched if open_.isEmpty() else matched.union(_further(docs, open_, threshold, counts)).distinct()
 
 
-def _further(docs: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
+def _further(docs: DataFrame, open_: DataFrame, threshold: float, counts) -> DataFrame:
     """(doc, at): of the lines ``open_``, those that any earlier line matches, by all pairs the filters leave."""
-    rows = cut(postings(docs, threshold).where("shape >= 0"), "postings")
+    rows = cut(postings(docs, threshold, counts).where("shape >= 0"), "postings")
     mine = rows.join(open_, ["doc", "at"], "left_semi")
     n, p = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     side = lambda d, e: d.select("k", *(F.col(c).alias(c + e) for c in ("doc", "at", "b1", "b2")), n("shape").alias("n" + e), p("shape").alias("p" + e))
