@@ -30,9 +30,11 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 21
 #: Lines under one word that are compared by offsets, all words at once; longer lists are compared in blocks.
 SHORT = 48
-#: Earlier lines that a line names under one word at first: all that pass the filters, or so many of the likeliest.
-NAMED = 12
+#: Earlier lines that a line names at first under a word of a longer list: so many of the likeliest.
+NAMED = 4
 BITS = 64
+#: Bytes of text whose words are handled at once.
+PART = 8 << 20
 
 
 def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,6 +61,17 @@ def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return split.flatten(), at, np.arange(size.sum()) - np.repeat(first, size)
 
 
+def _parts(batches):
+    """The batches, cut into parts of about PART bytes of text, so that the arrays made of a part stay small."""
+    for b in batches:
+        size = np.cumsum(np.asarray(pc.binary_length(b.column(b.schema.get_field_index("text"))).fill_null(0), np.int64))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PART, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(COUNTERS)).astype(np.int64)
 
@@ -81,7 +94,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in _parts(batches):
             lines, _, _ = _lines(b.column(b.schema.get_field_index("text")))
             _, code, hashes = _words(lines)
             np.add.at(total, _counter(hashes), np.bincount(code, minlength=len(hashes))[: len(hashes)])
@@ -107,7 +120,7 @@ def postings(docs: DataFrame, threshold: float, counts) -> DataFrame:
 
     def run(batches):
         count = counts.value
-        for b in batches:
+        for b in _parts(batches):
             ids = b.column(b.schema.get_field_index("doc")).to_numpy()
             lines, text_at, number = _lines(b.column(b.schema.get_field_index("text")))
             line, word = _sets(*_words(lines), count)
@@ -156,9 +169,10 @@ def _passes(n, pos, b1, b2, i, j, t: float) -> tuple[np.ndarray, np.ndarray]:
 def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     """(kind, doc, at, doc2, at2): line (doc, at) repeats an earlier line (kind 0), or may match earlier line 2.
 
-    Under one word a line names the earlier lines the filters leave (kind 1),
-    or, where they are more than ``NAMED``, those whose bits differ least (kind
-    2): if all lines so named fail, further ones remain to be tried.
+    Under one word a line names the earlier lines the filters leave (kind 1).
+    Under a word of over ``SHORT`` sets it names ``NAMED`` of them, those whose
+    bits differ least (kind 2 if there are more): if all lines so named fail,
+    further ones remain to be tried.
     """
 
     def run(batches):
@@ -192,21 +206,16 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 size = np.diff(edges)
                 place = np.arange(len(own)) - np.repeat(edges[:-1], size)
                 short = np.repeat(size <= SHORT, size)
-                pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                pairs: list[tuple[np.ndarray, np.ndarray]] = []
                 for d in range(1, min(SHORT + 1, int(size.max()))):
                     i = np.flatnonzero(short & (place >= d))
                     if not len(i):
                         break
-                    ok, differ = _passes(n, pos, c1, c2, i, i - d, threshold)
-                    pairs.append((i[ok], i[ok] - d, differ[ok]))
+                    i = i[_passes(n, pos, c1, c2, i, i - d, threshold)[0]]
+                    pairs.append((i, i - d))
                 if pairs:
-                    x, y, differ = (np.concatenate(z) for z in zip(*pairs))
-                    by = np.lexsort((differ, x))
-                    x, y = x[by], y[by]
-                    at_x = run_bounds(x)
-                    seen = np.repeat(np.diff(at_x), np.diff(at_x))
-                    near = np.arange(len(x)) - np.repeat(at_x[:-1], np.diff(at_x)) < NAMED
-                    put(np.where(seen > NAMED, 2, 1)[near], own[x[near]], own[y[near]])
+                    x, y = (np.concatenate(z) for z in zip(*pairs))
+                    put(1, own[x], own[y])
                 for s, e in zip(edges[:-1][size > SHORT], edges[1:][size > SHORT]):
                     for c in range(s, e, 256):
                         i = np.arange(c, min(e, c + 256))
