@@ -210,7 +210,7 @@ def brute_lines(rows, t=0.8):
     return {d: x if x is None else "\n".join(y for i, y in enumerate(x.split("\n")) if (d, i) not in gone) for d, x in rows}
 
 
-@pytest.mark.parametrize("short, named", [(48, 4), (3, 1)])
+@pytest.mark.parametrize("short, named", [(48, 4), (2, 1)])
 def test_lines(spark, monkeypatch, short, named):
     monkeypatch.setattr(lines, "SHORT", short)
     monkeypatch.setattr(lines, "NAMED", named)
