@@ -285,8 +285,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _further(docs: DataFrame, open_: DataFrame, threshold: float, counts) -> DataFrame:
     """(doc, at): of the lines ``open_``, those that any earlier line matches, by all pairs the filters leave."""
-    rows = cut(postings(docs, threshold, counts).where("shape >= 0"), "postings")
-    mine = rows.join(open_, ["doc", "at"], "left_semi")
+    # the words of the open lines, each the first of its set, and the postings under those words alone
+    own = docs.join(open_.select("doc").distinct(), "doc", "left_semi")
+    mine = cut(postings(own, threshold, counts).where("shape >= 0").join(open_, ["doc", "at"], "left_semi"), "open")
+    rows = cut(postings(docs, threshold, counts).where("shape >= 0").join(mine.select("k").distinct(), "k", "left_semi"), "postings")
     n, p = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     side = lambda d, e: d.select("k", *(F.col(c).alias(c + e) for c in ("doc", "at", "b1", "b2")), n("shape").alias("n" + e), p("shape").alias("p" + e))
     x, y = side(mine, ""), side(rows, "2")
