@@ -34,7 +34,8 @@ STATS = 4
 #: Times that the windows to learn from are chosen anew.
 TURNS = 3
 DIM = STATS + 2 * EMBED
-MEMO = 400_000
+#: Words whose rows are kept; the table starts anew beyond.
+MEMO = 150_000
 CUT = 0.7
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
