@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import cut, release, run_bounds, whole_runs
+from numera.llm.common import cut, drop_cut, release, run_bounds, whole_runs
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 21
@@ -280,7 +280,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     release(spark)
     # lines whose named lines all failed, and that had further ones
     open_ = found.where("kind = 2").select("doc", "at").distinct().join(matched, ["doc", "at"], "left_anti")
-    return matched if open_.isEmpty() else matched.union(_further(docs, open_, threshold, counts)).distinct()
+    if not open_.isEmpty():
+        matched = cut(matched.union(_further(docs, open_, threshold, counts)).distinct(), "removed")
+        release(spark)
+    drop_cut(found)
+    return matched
 
 
 def _further(docs: DataFrame, open_: DataFrame, threshold: float, counts) -> DataFrame:
@@ -305,6 +309,8 @@ def _further(docs: DataFrame, open_: DataFrame, threshold: float, counts) -> Dat
         .distinct()
     )
     pairs = cut(pairs, "pairs")
+    for done in (rows, mine):
+        drop_cut(done)
     ends = pairs.select("doc", "at").union(pairs.select("doc2", "at2"))
     sets = line_sets(docs, ends.groupBy("doc").agg(F.collect_set("at").alias("ats")))
     shared = F.size(F.array_intersect("words", "words2"))
