@@ -37,7 +37,10 @@ DIM = STATS + 2 * EMBED
 #: Words whose rows are kept; the table starts anew beyond.
 MEMO = 150_000
 CUT = 0.7
+#: Runs longer than ``LONG`` also enter as pieces of ``PIECE`` characters, one every ``HOP``.
+LONG, PIECE, HOP = 20, 8, 2
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_PART = re.compile(r"[^\W_]+")
 
 
 def _key(word: str) -> str:
@@ -54,6 +57,27 @@ def grams(word: str) -> list[str]:
     return out + [w[i : i + 4] for i in range(1, min(n, 24) - 4)]
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a whole text: its runs without white space, each long one followed by its parts.
+
+    The parts of a long run are its stretches of letters and digits, where it
+    has several, and overlapping pieces of all of it, so every n-gram of the run
+    is that of some word.
+    """
+    runs = (text or "").split()
+    if not runs or max(map(len, runs)) <= LONG:
+        return runs
+    out: list[str] = []
+    for w in runs:
+        out.append(w)
+        if len(w) > LONG:
+            own = _PART.findall(w)
+            if len(own) > 1:
+                out += [x for x in own if len(x) <= LONG]
+            out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE + HOP, HOP)]
+    return out
+
+
 def _z(tp: np.ndarray, fp: np.ndarray, n1: float, n0: float) -> np.ndarray:
     """Log odds of presence, in standard errors, bounded."""
     lo = np.log((tp + 0.5) / (n1 + 1)) - np.log((fp + 0.5) / (n0 + 1))
@@ -258,7 +282,7 @@ class Model:
         pend: list[tuple[int, list[str]]] = []
         size = 0
         for i, t in enumerate(texts):
-            words = (t or "").split()
+            words = words_of(t)
             empty[i] = not words
             pend.append((i, words))
             size += len(words) + WINDOW
@@ -299,7 +323,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
     place: dict[str, int] = {"": 0}
     pos, label_of = [], [int(y) for _, y in rows]
     for text, _ in rows:
-        words = (text or "").split()
+        words = words_of(text)
         pos.append(np.fromiter((place.setdefault(_key(w), len(place)) for w in words), np.int32, len(words)))
     vocab = list(place)
     # the n-grams of every word, as one flat list
