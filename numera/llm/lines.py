@@ -323,35 +323,55 @@ def _further(docs: DataFrame, open_: DataFrame, threshold: float, counts) -> Dat
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, every_row: bool = False) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): every document without the lines an earlier line matches.
 
     Lines are parted by newline and ordered by document id, then position; an
     earlier line counts whether or not it is itself removed.  Words are parted
     at ASCII white space, A-Z in lower case; a line without words matches
-    nothing and stays.  A null text stays null and has no lines.  Ids must be
-    unique: of rows repeated under one id, and rows without an id, none is
-    touched.  Extra columns are not read.
+    nothing and stays.  A null text stays null and has no lines.  With
+    ``every_row``, rows repeated under one id are documents of their own, ordered
+    by a hash of their texts, and rows without an id come last; otherwise ids
+    must be unique, and of such rows none is touched.  Extra columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    out = _without(src, _gone(src, threshold), "n_lines long, n_removed long")
-    return out.select(F.col("doc").alias("doc_id"), "text", "n_lines", "n_removed")
+    src, unique = _rows(src.select("doc", "text", F.col("doc").alias("id")), every_row)
+    out = _without(src, _gone(src.select("doc", "text"), threshold, unique), "n_lines long, n_removed long")
+    return out.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
-def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, every_row: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` as ``dedup`` leaves it; all columns and rows stay."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    out = _without(whole, _gone(src, threshold), "n_lines long, n_removed long")
+    others = F.struct(*(F.col(c) for c in docs.columns if c != text_col))
+    whole = docs.select(others.alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    whole, unique = _rows(whole, every_row)
+    out = _without(whole, _gone(whole.select("doc", "text"), threshold, unique), "n_lines long, n_removed long")
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def _gone(src: DataFrame, threshold: float) -> DataFrame:
+def _rows(src: DataFrame, every_row: bool) -> tuple[DataFrame, bool]:
+    """``src``, and whether ``doc`` is known to name each row.
+
+    For ``every_row``, where ids repeat or are missing, ``doc`` becomes a written
+    row number over id (nulls last), text hash and occurrence.
+    """
+    if not every_row:
+        return src, False
+    if src.groupBy("doc").count().where("count > 1 or doc is null").isEmpty():
+        return src, True
+    order = [F.col("doc").asc_nulls_last(), F.col("__h").asc(), F.col("__i").asc()]
+    spread = src.withColumns({"__h": F.xxhash64("text"), "__i": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    # partitions are in order, and so are the numbers: partition, then place in it
+    return cut(spread.withColumn("doc", F.monotonically_increasing_id()).drop("__h", "__i"), "rows"), True
+
+
+def _gone(src: DataFrame, threshold: float, unique: bool = False) -> DataFrame:
     """(doc, ats): the line numbers to remove of each document that has some."""
-    twice = src.groupBy("doc").count().where("count > 1 and doc is not null").select(F.col("doc").alias("d"))
     usable = src.where("doc is not null and text is not null")
-    if not twice.isEmpty():
-        usable = usable.join(twice, F.col("doc") == F.col("d"), "left_anti")
+    if not unique:
+        twice = src.groupBy("doc").count().where("count > 1 and doc is not null").select(F.col("doc").alias("d"))
+        if not twice.isEmpty():
+            usable = usable.join(twice, F.col("doc") == F.col("d"), "left_anti")
     return removed_lines(usable, threshold).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("ats"))
 
 

@@ -31,7 +31,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from numera.llm import lines
 
-    found = lines.dedup(table(spark, sf_dir, "documents"))
+    found = lines.dedup(table(spark, sf_dir, "documents"), every_row=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
