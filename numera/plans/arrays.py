@@ -247,6 +247,15 @@ def _(t):
     return L.interpolate(s, q, "x", "y", "p", ["user_id"]).select("user_id", R("p", 2).alias("p"), R("y", 3).alias("y"), "relation")
 
 
+@query("k131_k133_interpolation_whole")
+def _(t):
+    """The points of k131_k133_interpolation for every user; correlated SQL subqueries are too slow for that, tests compare with numpy."""
+    s = t.events.groupBy("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("m")).agg(F.avg("value").alias("y")).select("user_id", (F.col("m") / 1e6).alias("x"), "y")
+    f = F.explode(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.73)))
+    q = s.groupBy("user_id").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("f", f).select("user_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("p"))
+    return L.interpolate(s, q, "x", "y", "p", ["user_id"]).select("user_id", R("p", 2).alias("p"), R("y", 3).alias("y"), "relation")
+
+
 @query(
     "k261_quadrature",
     """WITH g AS (SELECT i, i / 1000.0 AS x, exp(-(i / 1000.0) * (i / 1000.0)) AS f FROM (SELECT unnest(range(0, 1001)) AS i))
