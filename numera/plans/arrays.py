@@ -153,6 +153,15 @@ def _(t):
     return r.select("k", R("r").alias("r"), (F.abs("r") <= 2 / F.sqrt("n")).alias("independent"))
 
 
+@query("w008_autocorrelation_whole", "SELECT k, round(corr(v, w), 6) AS r, abs(corr(v, w)) <= 2 / sqrt(count(*)) AS independent FROM (SELECT k, value AS v, lag(value, CAST(k AS INT)) OVER (PARTITION BY k ORDER BY ts, event_id) AS w FROM events, (SELECT unnest(range(1, 6)) AS k)) WHERE w IS NOT NULL GROUP BY k")
+def _(t):
+    m = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = L.numbered(t.events.select("ts", "event_id", "value"), [m.isNull(), F.coalesce(m, F.lit(0)), F.col("event_id")])
+    late = e.select(F.explode(F.array(*(F.lit(k).cast("long") for k in range(1, 6)))).alias("k"), "place", F.col("value").alias("w")).select("k", (F.col("place") + F.col("k")).alias("place"), "w")
+    r = e.select("place", "value").join(late.where("w is not null"), "place").groupBy("k").agg(F.corr("value", "w").alias("r"), F.count(F.lit(1)).alias("n"))
+    return r.select("k", R("r").alias("r"), (F.abs("r") <= 2 / F.sqrt("n")).alias("independent"))
+
+
 @query("w010_ecdf", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) / CAST(count(*) OVER () AS DOUBLE) AS f FROM supplier")
 def _(t):
     n = t.supplier.count()

@@ -29,3 +29,22 @@ def test_interpolation_of_every_user(spark):
     assert got.keys() == want.keys() and max(got) >= 40
     for u in want:
         assert np.allclose(sorted(got[u]), want[u], atol=6e-3, rtol=1e-9)
+
+
+def test_autocorrelation_of_all_events(spark):
+    v = np.array([x for (x,) in connect(WHERE).sql("select value from events order by ts, event_id").fetchall()], float)
+    got = {r.k: (r.r, r.independent) for r in run(spark, "w008_autocorrelation_whole").collect()}
+    for k in range(1, 6):
+        r = np.corrcoef(v[k:], v[:-k])[0, 1]
+        assert abs(got[k][0] - r) < 2e-6 and got[k][1] == (abs(r) <= 2 / np.sqrt(len(v) - k))
+
+
+def test_places_by_ranges(spark):
+    from numera.operators import labelled
+
+    rows = [(i * 7919 % 5003, i % 3) for i in range(5003)]
+    for part in (rows, rows[:40], rows[:1], []):
+        df = spark.createDataFrame(part, "a long, b long").repartition(5)
+        got = labelled.numbered(df, [F.col("b"), -F.col("a")]).collect()
+        assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.place)] == sorted(part, key=lambda r: (r[1], -r[0]))
+        assert sorted(r.place for r in got) == list(range(len(part)))
