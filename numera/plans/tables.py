@@ -272,6 +272,12 @@ def _(t):
     return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey")).cast("long").alias("place"))
 
 
+@query("k041_sort_values_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
+def _(t):
+    p = F.col("o_totalprice")
+    return L.numbered(t.orders.select("o_orderkey", "o_totalprice"), [p.isNull(), F.coalesce(-p, F.lit(0)), F.col("o_orderkey")]).select("o_orderkey", (F.col("place") + 1).alias("place"))
+
+
 @query(
     "k043_rank",
     "SELECT p_partkey, rank() OVER w AS r_min, dense_rank() OVER w AS r_dense, rank() OVER w + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS r_avg FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)",

@@ -48,3 +48,8 @@ def test_places_by_ranges(spark):
         got = labelled.numbered(df, [F.col("b"), -F.col("a")]).collect()
         assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.place)] == sorted(part, key=lambda r: (r[1], -r[0]))
         assert sorted(r.place for r in got) == list(range(len(part)))
+
+
+def test_every_order_has_its_place(spark):
+    keys = [k for (k,) in connect(WHERE).sql("select o_orderkey from orders order by o_totalprice desc nulls last, o_orderkey").fetchall()]
+    assert {r.o_orderkey: r.place for r in run(spark, "k041_sort_values_whole").collect()} == {k: i + 1 for i, k in enumerate(keys)} and len(keys) > 50
