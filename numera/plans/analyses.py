@@ -276,6 +276,24 @@ def _(t):
     return graph.reachable(graph.undirected(e), e.agg(F.min("src").alias("id")))
 
 
+def _all_order_part(t):
+    e = t.lineitem.select(F.col("l_orderkey").alias("src"), (F.lit(1000000000) + F.col("l_partkey")).alias("dst"))
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
+
+
+@query("k230_connected_components_whole")
+def _(t):
+    """Over all of lineitem; the recursive SQL carries every label to every vertex, so tests compare with union-find."""
+    return graph.components(*_all_order_part(t))
+
+
+@query("a030_reachability_whole")
+def _(t):
+    """Over all of lineitem; tests compare with union-find."""
+    _, e = _all_order_part(t)
+    return graph.reachable(graph.undirected(e), e.agg(F.min("src").alias("id")))
+
+
 _PT = "p AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, s_nationkey * 4.0 AS y FROM supplier)"
 
 

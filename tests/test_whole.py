@@ -53,3 +53,22 @@ def test_places_by_ranges(spark):
 def test_every_order_has_its_place(spark):
     keys = [k for (k,) in connect(WHERE).sql("select o_orderkey from orders order by o_totalprice desc nulls last, o_orderkey").fetchall()]
     assert {r.o_orderkey: r.place for r in run(spark, "k041_sort_values_whole").collect()} == {k: i + 1 for i, k in enumerate(keys)} and len(keys) > 50
+
+
+def test_graph_of_all_lineitem(spark):
+    edges = connect(WHERE).sql("select l_orderkey, 1000000000 + l_partkey from lineitem").fetchall()
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.id: r.component for r in run(spark, "k230_connected_components_whole").collect()}
+    assert got == {x: root(x) for x in up}
+    low = min(a for a, _ in edges)
+    assert {r.id for r in run(spark, "a030_reachability_whole").collect()} == {x for x in up if root(x) == root(low)}
