@@ -424,6 +424,12 @@ def _(t):
     return coo.select("row", "col", "v", (F.row_number().over(Window.orderBy("row", "col")) - 1).cast("long").alias("place"))
 
 
+@query("k201_k204_sparse_whole", "SELECT r AS \"row\", c AS col, v, sum(1) OVER (ORDER BY r, c) - 1 AS place FROM (SELECT p_size AS r, p_partkey % 11 AS c, count(*) AS v FROM part GROUP BY ALL)")
+def _(t):
+    coo = t.part.groupBy(F.col("p_size").alias("row"), (F.col("p_partkey") % 11).alias("col")).agg(F.count(F.lit(1)).alias("v"))
+    return coo.select("row", "col", "v", (F.row_number().over(Window.orderBy("row", "col")) - 1).cast("long").alias("place"))
+
+
 @query("k254_quotient_remainder", "SELECT event_id, CAST(floor((event_id - 500) / 7.0) AS BIGINT) AS q, (event_id - 500) - 7 * CAST(floor((event_id - 500) / 7.0) AS BIGINT) AS r FROM events")
 def _(t):
     q, r = E.floor_mod(F.col("event_id") - 500, F.lit(7))

@@ -72,3 +72,11 @@ def test_graph_of_all_lineitem(spark):
     assert got == {x: root(x) for x in up}
     low = min(a for a, _ in edges)
     assert {r.id for r in run(spark, "a030_reachability_whole").collect()} == {x for x in up if root(x) == root(low)}
+
+
+def test_sparse_matrix_of_all_parts(spark):
+    con = connect(WHERE)
+    rows = con.sql("select p_size, p_partkey % 11, count(*) from part group by all order by 1, 2").fetchall()
+    got = run(spark, "k201_k204_sparse_whole").collect()
+    assert sorted((r.place, r.row, r.col, r.v) for r in got) == [(i, *r) for i, r in enumerate(rows)]
+    assert sum(r.v for r in got) == con.sql("select count(*) from part").fetchall()[0][0] and max(r.row for r in got) >= 6
