@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,20 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(hconf).delete(path, True)
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows so that column ``text`` holds about ``size`` bytes, or one row, in each.
+
+    What is made of a batch in Python takes several times its bytes.
+    """
+    for b in batches:
+        total = np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + size, side="right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup batches sorted by ``keys`` so that no run of equal keys is split."""
     held: list[pa.RecordBatch] = []

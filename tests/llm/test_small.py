@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -210,10 +211,10 @@ def brute_lines(rows, t=0.8):
     return {d: x if x is None else "\n".join(y for i, y in enumerate(x.split("\n")) if (d, i) not in gone) for d, x in rows}
 
 
-@pytest.mark.parametrize("short, named", [(48, 4), (2, 1)])
-def test_lines(spark, monkeypatch, short, named):
-    monkeypatch.setattr(lines, "SHORT", short)
-    monkeypatch.setattr(lines, "NAMED", named)
+@pytest.mark.parametrize("small", [{}, {"WINDOW": 2, "NAMED": 1, "PART": 100, "HELD": 50}, {"WINDOW": 1, "SEEN": 3, "PACK": 40}])
+def test_lines(spark, monkeypatch, small):
+    for k, v in small.items():
+        monkeypatch.setattr(lines, k, v)
     r = random.Random(5)
     vocab = [f"w{i}" for i in range(60)]
     base = [" ".join(r.choices(vocab, k=r.randint(1, 25))) for _ in range(40)] + [" ".join(f"q{i}" for i in range(150))]
@@ -225,7 +226,43 @@ def test_lines(spark, monkeypatch, short, named):
         return " ".join(w)
 
     rows = [(i, "\n".join(near(r.choice(base)) if r.random() < 0.8 else " ".join(r.choices(vocab, k=r.randint(0, 12))) for _ in range(r.randint(1, 8)))) for i in range(120)]
-    rows += [(900, None), (901, ""), (902, "\n\n a\n")]
+    rows += [(900, None), (901, ""), (902, "\n\n a\n"), (903, "Z" * 70_000 + " É b\x0bc d e " + "y" * 60), (904, "z" * 70_000 + "\té B c D e " + "Y" * 60)]
+    rows += [(905, "  p q r s t u v"), (899, "\n"), (906, "v u t S r q p \n\nv u t s r q p o")]
+    got = {q.doc_id: q.text for q in lines.dedup(docs(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_words_of_lines():
+    """Words and their hashes do not depend on how texts are parted."""
+    r = random.Random(9)
+    alphabet = "abC \n\té中"
+    texts = ["".join(r.choices(alphabet, k=r.choice([0, 1, 5, 40, 300]))) for _ in range(200)] + ["x" * 200_000 + " Ab\nab " + "Y" * 47 + " " + "y" * 49, "ab " * 60_000]
+    for part in (1, 64, 1 << 18):
+        hashed: dict = {}
+        for base, x, start, stop, line, starts, own in lines._parts(pa.array(texts), part):
+            text = np.searchsorted(own, starts[line], side="right") - 1
+            number = line - np.searchsorted(starts, own)[text]
+            for t, k, h, a, b in zip((base + text).tolist(), number.tolist(), lines._hashes(x, start, stop).tolist(), start.tolist(), stop.tolist()):
+                hashed.setdefault((t, k), []).append((h, bytes(x[a:b]).lower()))
+        want = {(t, k): y.encode().lower().split() for t, x in enumerate(texts) for k, y in enumerate(x.split("\n")) if y.split()}
+        assert {q: [w for _, w in ws] for q, ws in hashed.items()} == want
+        pairs = {x for ws in hashed.values() for x in ws}
+        assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
+
+
+@pytest.mark.parametrize("window", [16, 1024])
+def test_one_family_of_lines(spark, monkeypatch, window):
+    """Many near copies of one line, each under the same words, and lines that only just miss it."""
+    monkeypatch.setattr(lines, "WINDOW", window)
+    monkeypatch.setattr(lines, "NAMED", 1)
+    r = random.Random(3)
+    first = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(600):
+        w = list(first)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 9])):
+            w[r.randrange(40)] = f"v{r.randrange(50)}"
+        rows.append((i, " ".join(w)))
     got = {q.doc_id: q.text for q in lines.dedup(docs(spark, rows)).collect()}
     assert got == brute_lines(rows)
 
