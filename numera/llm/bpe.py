@@ -106,17 +106,18 @@ class Memo(dict):
         return ids
 
 
+#: The pattern whose matches hold white space only in front or throughout; a fixed value.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space that follows white space: there the pattern may take it into a run.
 _RUN = re.compile(r"\s ")
 
 
-def encode_by_words(text: str, memo: Memo) -> bytes:
-    """Encode ``text`` word by word through ``memo``.
+def units(text: str) -> list[str]:
+    """``text`` cut at spaces that start a match of ``SPACED``, these spaces left out.
 
-    A space that follows anything but white space always starts a match of the
-    pattern, as matches hold white space only in front or throughout.  So a text
-    whose spaces all do is the concatenation of its words, each with its space.
-    Other texts are cut at the spaces that do, and nowhere else.
+    A space that follows anything but white space always does, as matches hold
+    white space only in front or throughout.  So a text is encoded as its units,
+    each but the first with its space.
     """
     words = text.split(" ")
     if _RUN.search(text) or text[:1] == " ":
@@ -127,6 +128,12 @@ def encode_by_words(text: str, memo: Memo) -> bytes:
                 joined.append(" ".join(run))
                 run = []
         words = joined + ([" ".join(run)] if run else [])
+    return words
+
+
+def encode_by_words(text: str, memo: Memo) -> bytes:
+    """Encode ``text`` unit by unit through ``memo``."""
+    words = units(text)
     first = memo.encode(words[0])  # no space before it
     return b"".join([first, *map(memo.__getitem__, words[1:])])
 
@@ -180,13 +187,13 @@ class Tokenizer:
 
     def pieces(self, text: str) -> list[int]:
         """Ids of a text, every match of the pattern by itself."""
-        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+        if self.pattern.pattern == SPACED and text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
             return self.whole(text.encode())  # letters are one match
         return [i for p in self.pattern.findall(text) for i in self.whole(p.encode("utf-8"))]
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a whole text as native unsigned 32-bit integers; no special tokens."""
-        return encode_by_words(text, self.memo)
+        return encode_by_words(text, self.memo) if self.pattern.pattern == SPACED else self.memo.encode(text)
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""

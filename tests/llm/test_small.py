@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers as P
@@ -161,6 +162,49 @@ def test_plan_reaches_the_bound():
         assert used == Counter(counts)
         bound = max(-(-sum(n * c for n, c in counts.items()) // 2048), sum(c for n, c in counts.items() if n > 1024))
         assert p.sequences <= bound * 1.01 + 1
+    # gaps that only pairs or triples fill
+    assert packing.plan({1500: 4, 300: 4, 248: 4}).sequences == packing.plan({1400: 5, 300: 5, 200: 5, 148: 5}).sequences - 1 == 4
+    # the documents of sf0.01 and like them: as many sequences as their tokens need at least
+    counts = Counter(min(2048, int(r.lognormvariate(6, 1.2)) + 1) for _ in range(3000))
+    assert packing.plan(dict(counts)).sequences == -(-sum(n * c for n, c in counts.items()) // 2048)
+
+
+def test_sums_index():
+    """Every filling is one the counts allow, of as few lengths as any has."""
+    r = random.Random(8)
+    for _ in range(300):
+        avail = np.zeros(41, np.int64)
+        for _ in range(r.randint(1, 8)):
+            avail[r.randint(1, 40)] += r.randint(1, 2)
+        sums = packing.Sums(avail)
+        for gap in range(1, 41):
+            had = [n for n in range(41) for _ in range(avail[n])]
+            sizes = [k for k in (1, 2, 3) if any(sum(c) == gap for c in combinations(had, k))]
+            got = sums.filling(gap)
+            assert (got is None) == (not sizes)
+            if got:
+                assert sum(got) == gap and len(got) == sizes[0] and not Counter(got) - Counter(had)
+                if r.random() < 0.3:
+                    for n in got:
+                        avail[n] -= 1
+
+
+def test_encoder_parts_units(monkeypatch):
+    """Units encoded together, remembered or forgotten give the ids of whole texts."""
+    tok = Tokenizer.from_file(VOCAB)
+    tok.encode_special_tokens = True
+    encoder = packing._encoder(open(VOCAB, "rb").read())
+    r = random.Random(4)
+    every = [None, "", " ", "\n", "a", " a", "a ", "a  b", "x" * 500 + " " + "y " * 3, "word, word. Word? it's he'll. don' x', 9. 9, a.b, é,", "<|endoftext|> 中文 é"] + ["".join(r.choices(" \n\t\r\x0b\x1c\xa0 ab1!.,'é中<|endoftext|>", k=r.randint(0, 60))) for _ in range(1500)]
+    every += ["".join(r.choices("   \nab1!.,'é中", k=r.randint(0, 60))).replace("  ", " ").strip() for _ in range(800)]
+    encoder.forget()
+    monkeypatch.setattr(packing, "MEMO", 50)
+    for _ in range(2):
+        for k in range(0, len(every), 400):
+            ids, at = encoder.encode(pa.array(every[k : k + 400], pa.string()))
+            assert len(at) == len(every[k : k + 400]) + 1
+            for t, a, b in zip(every[k : k + 400], at[:-1], at[1:]):
+                assert ids[a:b].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0], repr(t)
 
 
 # --- 3 ------------------------------------------------------------------------------------------------------
