@@ -50,11 +50,93 @@ def _key(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Prefixes and suffixes of three to six characters, and inner four-grams."""
+    """Prefixes and suffixes of three to six characters, and all inner four-grams."""
     w = f"^{word}$"
     n = len(w)
     out = [w[:k] for k in range(4, min(8, n))] + [w[-k:] for k in range(4, min(7, n))]
-    return out + [w[i : i + 4] for i in range(1, min(n, 24) - 4)]
+    return out + [w[i : i + 4] for i in range(1, n - 4)]
+
+
+_U = np.uint64
+#: Weights of the places in an n-gram.
+_PLACES = np.random.default_rng(23).integers(0, (1 << 64) - 1, 8, _U) | _U(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a hash of every code point of the words, where each word starts, how long it is)."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return _mix(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U) + _U(1)), np.cumsum(n) - n, n
+
+
+def _at(points: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the n-grams of ``k`` code points that start at ``start``."""
+    total = np.full(len(start), k, _U)
+    for j in range(k):
+        total += points[start + j] * _PLACES[j]
+    return _mix(total)
+
+
+def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the ``grams`` of all words, the word of each, how many each word has), by word."""
+    points, start, n = _points([f"^{w}$" for w in words])
+    own = np.arange(len(words))
+    found, of = [], []
+    for k in (4, 5, 6, 7):
+        x = own[n > k]
+        found.append(_at(points, start[x], k))
+        of.append(x)
+        if k < 7:
+            found.append(_at(points, start[x] + n[x] - k, k))
+            of.append(x)
+    inner = np.maximum(n - 5, 0)
+    x = np.repeat(own, inner)
+    found.append(_at(points, start[x] + 1 + np.arange(len(x)) - np.repeat(np.cumsum(inner) - inner, inner), 4))
+    of.append(x)
+    every, of = np.concatenate(found), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return every[order], of[order], np.bincount(of, minlength=len(words))
+
+
+class GramTable:
+    """Rows of n-grams by their hash: open addressing, looked up for many at once."""
+
+    def __init__(self, names: list[str]):
+        points, start, n = _points(names)
+        h = np.zeros(len(names), _U)
+        for k in np.unique(n):
+            h[n == k] = _at(points, start[n == k], int(k))
+        self.shift = _U(64 - max(4, int(2 * max(len(names), 1) - 1).bit_length()))
+        self.key, self.row = np.zeros(1 << (64 - int(self.shift)), _U), np.full(1 << (64 - int(self.shift)), -1)
+        self.most = 0
+        left, slot = np.arange(len(names)), (h >> self.shift).astype(np.int64)
+        while len(left):
+            self.most += 1
+            free = left[self.row[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            got = free[first]
+            self.key[slot[got]], self.row[slot[got]] = h[got], got
+            left = np.setdiff1d(left, got, assume_unique=True)
+            slot[left] = (slot[left] + 1) % len(self.row)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        slot = (h >> self.shift).astype(np.int64)
+        out = np.where(self.key[slot] == h, self.row[slot], -1)
+        left = np.flatnonzero((out < 0) & (self.row[slot] >= 0))
+        for _ in range(self.most - 1):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) % len(self.row)
+            x = slot[left]
+            out[left] = np.where(self.key[x] == h[left], self.row[x], -1)
+            left = left[(out[left] < 0) & (self.row[x] >= 0)]
+        return out
 
 
 def words_of(text: str | None) -> list[str]:
@@ -221,25 +303,22 @@ class Model:
         self.row: dict[str, int] = {}
         self.key_row: dict[str, int] = {}
         self.table = np.zeros((2, 1 << 14, 3 * HIDDEN), np.float32)
-        if not hasattr(self, "gram_at"):
+        if not hasattr(self, "gram_row"):
             word_z, self.gram_z = self.stats.evidence()
             self.word_z = np.append(word_z, np.float32(0))
             self.word_z[self.stats.word_at.get("", -1)] = 0
             self.gram_e = self.net.p["ec"][[_hash(g) for g in self.stats.gram_at] or [0]]
-            self.gram_at, self.word_at = self.stats.gram_at, self.stats.word_at
+            self.word_at, self.gram_row = self.stats.word_at, GramTable(list(self.stats.gram_at))
 
     def vectors(self, keys: list[str]) -> np.ndarray:
         """Inputs (words, DIM) of words, from all counts."""
-        n, find = len(keys), self.gram_at.get
-        flat: list[int] = []
-        known, parts = np.zeros(n, np.int64), np.ones(n)
-        for i, w in enumerate(keys):
-            if w:
-                g = grams(w)
-                parts[i] = max(len(g), 1)
-                own = [k for x in g if (k := find(x)) is not None]
-                known[i] = len(own)
-                flat += own
+        n = len(keys)
+        h, of, parts = gram_hashes(keys)
+        row = self.gram_row.find(h)
+        # the empty key has no n-gram
+        own = (row >= 0) & (np.fromiter(map(len, keys), np.int64, n) > 0)[of]
+        flat, known = row[own], np.bincount(of[own], minlength=n)
+        parts = np.maximum(parts, 1).astype(np.float64)
         x = np.zeros((n, DIM), np.float32)
         x[:, 0] = self.word_z[[self.word_at.get(w, -1) for w in keys]]
         x[:, 3] = np.minimum([len(w) for w in keys], 20) / 20

@@ -42,3 +42,16 @@ def test_every_four_gram_of_a_run_enters():
         assert w in toxicity.words_of(w)
     assert toxicity.words_of(None) == [] and toxicity.words_of("a b") == ["a", "b"]
     assert {"alpha", "beta", "gamma"} <= set(toxicity.words_of("alpha/beta-gamma/delta/epsilon"))
+
+
+def test_gram_table_finds_what_a_dictionary_finds():
+    r = random.Random(1)
+    words = ["", "a", "ab", "abc", "abcd", "é中x$^", "y" * 5000] + ["".join(r.choices("abcdé中", k=r.randint(0, 40))) for _ in range(1500)]
+    names = list(dict.fromkeys(g for w in words[::2] for g in toxicity.grams(w)))
+    table, at = toxicity.GramTable(names), {g: i for i, g in enumerate(names)}
+    h, of, parts = toxicity.gram_hashes(words)
+    row = table.find(h)
+    bounds = [0, *parts.cumsum().tolist()]
+    for i, w in enumerate(words):
+        assert sorted(row[bounds[i] : bounds[i + 1]].tolist()) == sorted(at.get(g, -1) for g in toxicity.grams(w))
+    assert (of[:-1] <= of[1:]).all() and (toxicity.GramTable([]).find(h) < 0).all()
