@@ -6,9 +6,18 @@ along orthonormal directions add up to no more than it.  So along every
 direction the difference is at most the distance, and it exceeds a window of
 half-width ``h`` along at most ``floor(d2 / h**2)`` directions: a pair that
 collides in fewer windows than the rest cannot be linked.  The count asked for
-is therefore calibrated to a recall of one.  Rows are dealt by sorted cells of
-the first two projections, whose width is the largest distance; pairs that
-reach the count are verified by their cosine in double precision.
+is therefore calibrated to a recall of one.  Every query's window is looked up
+in a sorted projection, the pairs in it are counted along the others until too
+many miss, and those that reach the count are verified by their cosine in double
+precision.
+
+Labels of up to ``WHOLE`` vectors are compared that way as they are.  Larger ones
+are dealt first, by tables of ``g`` projections each, cut into cells of eight
+times the mean difference of a linked pair, at random places: vectors of one
+cell are compared.  ``g`` grows with the logarithm of the label, and so many
+tables are used that a pair at the threshold whose differences are as even as
+they can be, which is the worst case, shares no cell with a probability under
+``MISS``.  A pair counts in the first table where it shares a cell.
 """
 
 from __future__ import annotations
@@ -27,8 +36,11 @@ PROJECTIONS = 24
 TILE = 4096
 BLOCK = 256
 SEED = 20240607
-#: Half of the neighbouring cells of a two-dimensional grid, the own cell first.
-OFFSETS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+#: Vectors of a label that are compared without dealing, and dimensions from which larger ones are dealt.
+WHOLE, LEAST_DIM = 16_384, 24
+MISS = 1e-9
+#: Projections counted for all pairs of a block; pairs still open go on one by one.
+FIRST = 6
 
 
 def directions(dim: int, count: int, seed: int = SEED) -> np.ndarray:
@@ -49,12 +61,12 @@ def _by_dim(rows: list[np.ndarray]):
         yield int(d), own, _unit(np.stack([rows[i] for i in own]))
 
 
-def collide(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, projections: int):
-    """Yield (i, j) index arrays of the pairs of ``left`` x ``right`` rows of ``x`` with cosine >= threshold."""
+def collide(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, projections: int, seen: list | None = None):
+    """Yield (i, j) index arrays of the pairs of ``left`` x ``right`` rows of ``x`` with cosine >= threshold; ``seen`` gets how many pairs were counted and verified."""
     d2 = 2 - 2 * threshold
     m = min(x.shape[1], projections)
     h = math.sqrt(d2 / 4) * (1 + 1e-9)
-    least = m - min(m, math.floor(d2 / h**2))
+    misses = min(m, math.floor(d2 / h**2))
     p = x @ directions(x.shape[1], projections)
     right = right[np.argsort(p[right, 0], kind="stable")]
     sorted_p = p[right, 0]
@@ -66,11 +78,18 @@ def collide(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float
         c = right[s:e]
         if not len(c):
             continue
-        count = np.zeros((len(q), len(c)), np.int8)
-        for k in range(m):
-            count += np.abs(p32[q, k][:, None] - p32[c, k][None, :]) <= h + 1e-6
-        i, j = np.nonzero(count >= least)
+        missed = np.zeros((len(q), len(c)), np.int8)
+        for k in range(min(FIRST, m)):
+            missed += np.abs(p32[q, k][:, None] - p32[c, k][None, :]) > h + 1e-6
+        i, j = np.nonzero(missed <= misses)
+        missed = missed[i, j]
         i, j = q[i], c[j]
+        for k in range(FIRST, m):
+            missed = missed + (np.abs(p32[i, k] - p32[j, k]) > h + 1e-6)
+            ok = missed <= misses
+            i, j, missed = i[ok], j[ok], missed[ok]
+        if seen is not None:
+            seen.append((len(q) * len(c), len(i)))
         for t in range(0, len(i), 1 << 16):
             a, z = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
             ok = np.einsum("ij,ij->i", x[a], x[z]) >= threshold
@@ -78,69 +97,96 @@ def collide(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float
             yield a[ok], z[ok]
 
 
-def links(classes: DataFrame, threshold: float = THRESHOLD, projections: int = PROJECTIONS, tile: int = TILE) -> DataFrame:
-    """(rep, n, root): for each tile a class was compared in, the vectors it links to and the group there."""
-    width = math.sqrt(2 - 2 * threshold) * (1 + 1e-9)
+def shape(n: int, dim: int, threshold: float, whole: int = WHOLE) -> tuple[int, int]:
+    """(projections a table, tables) for ``n`` vectors of one label; (0, 1) if they are compared as they are."""
+    if n <= whole or dim < LEAST_DIM:
+        return 0, 1
+    # a cell spans eight times the root mean square difference of a linked pair, out of a spread of 1 / sqrt(dim)
+    share = min(0.95, 8 * math.sqrt(2 - 2 * threshold) / (2 * math.sqrt(math.pi)))
+    g = min(dim // 2, max(10, math.ceil(math.log(n / whole * 64) / -math.log(share))))
+    return g, math.ceil(math.log(MISS) / math.log(1 - (1 - 1 / 8) ** g))
+
+
+def cells(x: np.ndarray, g: int, tables: int, threshold: float) -> np.ndarray:
+    """(n, tables): a 40-bit hash of the cell of every row of ``x`` in every table."""
+    if not g:
+        return np.zeros((len(x), 1), np.int64)
+    dim = x.shape[1]
+    width = 8 * math.sqrt((2 - 2 * threshold) / dim)
+    p = x @ directions(dim, dim) / width
+    r = np.random.default_rng((SEED, dim, g))
+    out = np.empty((len(x), tables), np.int64)
+    for t in range(tables):
+        own = r.permutation(dim)[:g]
+        at = np.floor(p[:, own] + r.random(g)).astype(np.int64)
+        h = (at * r.integers(1 << 62, size=g) | 1).astype(np.uint64).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, t] = (h >> np.uint64(24)).astype(np.int64)
+    return out
+
+
+def links(classes: DataFrame, threshold: float = THRESHOLD, projections: int = PROJECTIONS, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
+    """(rep, n, root): for each cell a class was compared in, the vectors it links to and the group there."""
+    kind = dict(classes.dtypes)["v"]
+    plan = F.struct("label", "dim")
+    sized = classes.withColumn("dim", F.size("v"))
+    many = sized.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > whole).select(plan.alias("plan"), "m")
 
     def deal(batches):
         for b in batches:
             rows = list_matrix(b.column(b.schema.get_field_index("v")))
-            cell = np.zeros((len(rows), 3), np.int64)
+            m = b.column(b.schema.get_field_index("m")).fill_null(0).to_numpy()
+            idx, key, table = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for d, own, x in _by_dim(rows):
-                p = x @ directions(d, projections)
-                cell[own, 0] = d
-                cell[own, 1] = np.floor(p[:, 0] / width)
-                if p.shape[1] > 1:
-                    cell[own, 2] = np.floor(p[:, 1] / width)
-            idx, key, side = [], [], []
-            for o, (dx, dy) in enumerate(OFFSETS):
-                for s, sign in ((0, 0), (1, 1)) if o else ((0, 0),):
-                    at = cell - np.array([0, dx * sign, dy * sign])
-                    idx.append(np.arange(len(rows)))
-                    key.append(at[:, 0] << 40 | (at[:, 1] + 4096) << 24 | (at[:, 2] + 4096) << 8 | o)
-                    side.append(np.full(len(rows), s, np.int32))
+                for n in np.unique(m[own]):
+                    some = np.flatnonzero(m[own] == n)
+                    g, t = shape(int(n), d, threshold, whole)
+                    at = cells(x[some], g, t, threshold)
+                    idx.append(np.repeat(own[some], t))
+                    key.append(at.ravel())
+                    table.append(np.tile(np.arange(t, dtype=np.int32), len(some)))
             out = b.take(pa.array(np.concatenate(idx)))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(key)), pa.array(np.concatenate(side))], [*out.schema.names, "key", "side"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(key)), pa.array(np.concatenate(table))], [*out.schema.names, "key", "table"])
 
-    dealt = classes.select("label", "rep", "c", "v").mapInArrow(deal, "label long, rep long, c long, v array<float>, key long, side int")
-    size = dealt.groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 1).alias("r")).where("n > 1")
-    size = size.where((F.col("key").bitwiseAND(F.lit(255)) == 0) | ((F.col("r") > 0) & (F.col("r") < F.col("n"))))
+    asked = sized.withColumn("plan", plan).join(many, "plan", "left").select("label", "dim", "m", "rep", "c", "v")
+    dealt = asked.mapInArrow(deal, f"label long, dim int, m long, rep long, c long, v {kind}, key long, table int")
+    group = ["label", "dim", "table", "key"]
+    size = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     pairs = (
-        dealt.join(size, ["label", "key"])
+        dealt.join(size, group)
         .withColumn("t", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("label", "key", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "t", "side", "rep", "c", "v")
+        .select(*group, F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "t", "m", "rep", "c", "v")
     )
-    keys = ["label", "key", "ta", "tb"]
+    keys = [*group, "ta", "tb"]
 
     def run(batches):
         for t in whole_runs(batches, keys):
             cols = [t.column(k).to_numpy() for k in keys]
-            mine, side, rep, c = (t.column(k).to_numpy() for k in ("t", "side", "rep", "c"))
+            mine, rep, c = (t.column(k).to_numpy() for k in ("t", "rep", "c"))
+            m = t.column("m").combine_chunks().fill_null(0).to_numpy()
             rows = list_matrix(t.column("v"))
             at = run_bounds(*cols)
             for s, e in zip(at[:-1], at[1:]):
                 x = _unit(np.stack(rows[s:e]))
-                tt, sd, ids = mine[s:e], side[s:e], rep[s:e]
+                ids, table = rep[s:e], int(cols[2][s])
+                g, tables = shape(int(m[s]), x.shape[1], threshold, whole)
+                before = cells(x, g, tables, threshold)[:, :table]
                 every = np.arange(e - s)
-                if cols[1][s] & 255 == 0:
-                    sides = [(every[tt == cols[2][s]], every[tt == cols[3][s]])]
-                elif cols[2][s] == cols[3][s]:
-                    sides = [(every[sd == 0], every[sd == 1])]
-                else:
-                    sides = [(every[(sd == 0) & (tt == cols[p][s])], every[(sd == 1) & (tt == cols[5 - p][s])]) for p in (2, 3)]
+                own = cols[4][s] == cols[5][s]
+                left, right = (every, every) if own else (every[mine[s:e] == cols[4][s]], every[mine[s:e] == cols[5][s]])
                 n, order = np.zeros(e - s, np.int64), np.argsort(ids, kind="stable")
                 place = np.empty(e - s, np.int64)
                 place[order] = every
                 lab = every.copy()
-                own = cols[1][s] & 255 == 0 and cols[2][s] == cols[3][s]
-                for left, right in sides:
-                    for i, j in collide(x, left, right, threshold, projections):
-                        np.add.at(n, i, c[s + j])
-                        if not own:  # a tile against itself meets each pair from both ends
-                            np.add.at(n, j, c[s + i])
-                        link_labels(e - s, lab, place[i], place[j])
+                for i, j in collide(x, left, right, threshold, projections):
+                    if table:
+                        new = ~(before[i] == before[j]).any(axis=1)
+                        i, j = i[new], j[new]
+                    np.add.at(n, i, c[s + j])
+                    if not own:  # a tile against itself meets each pair from both ends
+                        np.add.at(n, j, c[s + i])
+                    link_labels(e - s, lab, place[i], place[j])
                 hit = np.flatnonzero(n)
                 if len(hit):
                     root = ids[order[lab[place[hit]]]]
@@ -158,20 +204,23 @@ def near_duplicates(
     with a null label, and vectors that are null, empty, zero, or hold null or
     non-finite components, link with nothing; neither do vectors of different
     length.  Identical vectors of a label form one class, so they are compared
-    once.  Extra columns are not read.
+    once.  Rows repeated under one id are vectors of their own, each in the
+    component of its vector, named by the smallest id there; a null id links with
+    nothing.  An empty table gives an empty result.  Extra columns are not read.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<float>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast(kind).alias("v"))
     usable = finite_vector("v") & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     v = v.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.col("v")))
-    classes = cut(v.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("c")), "embedding")
+    classes = v.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("c"))
+    # written, so the numbers hold
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "embedding")
     linked = cut(links(classes, threshold, projections), "links")
     comp = components(linked.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     near = linked.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = (
-        classes.join(near, "rep", "left")
-        .join(comp, F.col("rep") == F.col("node"), "left")
-        .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    )
+    grouped = classes.join(near, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = grouped.join(least, "root").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), "component_id")
     out = v.join(named, ["label", "v"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

@@ -76,12 +76,62 @@ def test_embedding(spark, monkeypatch):
                     todo.append(j)
     for tile in (4096, 16):
         out = embedding.links.__defaults__
-        monkeypatch.setattr(embedding.links, "__defaults__", (*out[:2], tile))
+        monkeypatch.setattr(embedding.links, "__defaults__", (*out[:2], tile, out[3]))
         got = {q.vec_id: (q.n_links, q.component_id, q.kept) for q in embedding.near_duplicates(df).collect()}
         assert got == {i: (len(link[i]), comp[i], comp[i] == i) for i in comp}
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked_by_brute_force(rows):
+    """(links of every row, component named by its smallest id) by all pairs; rows are (id, vector, label)."""
+    x = embedding._unit(np.array([v for _, v, _ in rows]))
+    near = x @ x.T >= 0.98
+    lab = np.array([y for _, _, y in rows])
+    near &= lab[:, None] == lab[None, :]
+    np.fill_diagonal(near, False)
+    comp = np.arange(len(rows))
+    for i in range(len(rows)):
+        todo = [i] if comp[i] == i else []
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()] & (comp > i)).tolist():
+                comp[j] = i
+                todo.append(j)
+    least = {c: min(rows[k][0] for k in np.flatnonzero(comp == c)) for c in set(comp.tolist())}
+    return near.sum(axis=1), [least[c] for c in comp.tolist()]
+
+
+def test_embedding_tables(spark, monkeypatch):
+    """Labels large enough to be dealt by tables, one of them with a dense group, and repeated ids."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(500, 32)), np.repeat(r.normal(size=(60, 32)), 5, axis=0) + 0.08 * r.normal(size=(300, 32)), r.normal(size=32) + 0.09 * r.normal(size=(250, 32))])
+    rows = [(i if i % 40 else 77, [float(c) for c in np.float32(v)], int(i % 2)) for i, v in enumerate(x)]
+    monkeypatch.setattr(embedding.links, "__defaults__", (0.98, 24, 64, 100))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = Counter((q.vec_id, q.n_links, q.component_id) for q in embedding.near_duplicates(df).collect())
+    n, comp = linked_by_brute_force(rows)
+    assert n.sum() > 1000 and got == Counter((i, int(k), c) for (i, _, _), k, c in zip(rows, n, comp))
+    doubles = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 1e-9], 0), (3, [1.0, 0.2031], 0)], "vec_id long, embedding array<double>, label int")
+    assert [q.n_links for q in embedding.near_duplicates(doubles).orderBy("vec_id").collect()] == [1, 1, 0]
+
+
+def test_few_pairs_are_compared():
+    """Over three sizes of clustered vectors the pairs that share a cell stay few, and their share falls."""
+    shares = []
+    for n in (4_000, 16_000, 64_000):
+        r = np.random.default_rng(1)
+        x = embedding._unit(np.repeat(r.normal(size=(n // 4, 64)), 4, axis=0) + 0.1 * r.normal(size=(n, 64)))
+        g, tables = embedding.shape(n, 64, 0.98, whole=1000)
+        at = embedding.cells(x, g, tables, 0.98)
+        pairs = sum(int((c * (c - 1) // 2).sum()) for k in range(tables) for c in [np.unique(at[:, k], return_counts=True)[1]])
+        shares.append(pairs / (n * (n - 1) / 2))
+        # linked pairs share a cell
+        i = np.arange(0, n, 4)
+        linked = np.einsum("ij,ij->i", x[i], x[i + 1]) >= 0.98
+        assert (at[i[linked]] == at[i[linked] + 1]).any(axis=1).all()
+    print("share of pairs compared:", shares)
+    assert max(shares) < 0.05 and shares[0] > shares[1] > shares[2]
+
+
 def test_no_pair_is_missed_by_the_counts():
     r = np.random.default_rng(0)
     x = embedding._unit(r.normal(size=(300, 32)) + np.repeat(r.normal(size=(30, 32)) * 6, 10, axis=0))
