@@ -13,6 +13,8 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+OPENING = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/]")
+SPECIAL = re.compile("[>\"']")
 ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,14 +70,69 @@ class Page:
         return len(self.parent) - 1
 
 
+class Tags:
+    """Comments, declarations and tags of a page, in one pass from the right and one from the left, whatever the markup.
+
+    A tag ends at the first ``>`` outside quotes or, where a quote stays open to
+    the end of the page, at the first ``>``; without any ``>`` behind it ``<`` is
+    text.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.at = [m.start() for m in SPECIAL.finditer(source)]
+        n = len(self.at)
+        #: where a tag ends whose attributes go on at each special character, and the next ``>``; -1 where there is none
+        self.end, self.bracket = [-1] * (n + 1), [-1] * (n + 1)
+        quote = {'"': n, "'": n}
+        for i in range(n - 1, -1, -1):
+            c = source[self.at[i]]
+            if c == ">":
+                self.end[i] = self.bracket[i] = self.at[i]
+            else:
+                self.bracket[i] = self.bracket[i + 1]
+                self.end[i] = self.end[quote[c] + 1] if quote[c] < n else -1
+                quote[c] = i
+
+    def close(self, at: int, quoted: bool) -> int:
+        """Where a tag that has reached ``at`` ends; -1 if it doesn't."""
+        i = bisect_left(self.at, at)
+        return self.end[i] if quoted and self.end[i] >= 0 else self.bracket[i]
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, stop, "/" of a closing tag, name, attributes) of the next one from ``at``; comments and declarations have no name."""
+        source = self.source
+        m = OPENING.search(source, at)
+        if not m:
+            return None
+        if m[0] != "<!--":
+            stop = self.close(m.end(), bool(m[2]))
+            if stop >= 0:
+                return m.start(), stop + 1, m[1] or "", (m[2] or "").lower(), source[m.end() : stop] if m[2] else ""
+            # no bracket follows, so only a comment can
+            start = source.find("<!--", m.start() + 1)
+            if start < 0:
+                return None
+        else:
+            start = m.start()
+        stop = source.find("-->", start + 4)
+        return start, stop + 3 if stop >= 0 else len(source), "", "", ""
+
+
 def parse(source: str) -> Page:
     """A tolerant tree of block elements; inline markup, comments and raw elements leave no nodes."""
     page = Page()
     stack: list[tuple[str, int]] = [("", page.add(-1, "html", ""))]
     links, run, at, n = 0, None, 0, len(source)
+    tags, opened = Tags(source), Counter()
+
+    def leave(k: int) -> None:
+        opened.subtract(name for name, _ in stack[k:])
+        del stack[k:]
+
     while at <= n:
-        m = TOKEN.search(source, at)
-        text = source[at : m.start() if m else n]
+        m = tags.next(at)
+        text = source[at : m[0] if m else n]
         if text:
             node = stack[-1][1]
             if run is None or run[0] != node:
@@ -86,15 +144,14 @@ def parse(source: str) -> Page:
             page.linked[node] += size if links else 0
         if not m:
             break
-        at = m.end()
-        close, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, close, name, attrs = m
         if not name:
             continue
-        name = name.lower()
         if name in RAW:
             if not close and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else n
+                end = re.compile(rf"</{re.escape(name)}\b", re.I).search(source, at)
+                end = tags.close(end.end(), False) if end else -1
+                at = end + 1 if end >= 0 else n
                 if name in ("noscript", "textarea", "select", "title"):
                     run = None
             continue
@@ -111,33 +168,35 @@ def parse(source: str) -> Page:
             continue
         run = None
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] > 0 else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    leave(k)
                     links = 0
                     break
             continue
         if name in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k][0] not in ("span", "font"):
                     break
             links = 0
         if name in IMPLIED:
             same, stop = IMPLIED[name]
-            for k in range(len(stack) - 1, 0, -1):
+            same = same.split()
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in same) else ():
                 if stack[k][0] in stop:
                     break
-                if stack[k][0] in same.split():
-                    del stack[k:]
+                if stack[k][0] in same:
+                    leave(k)
                     break
-        if name in ("html", "body") and any(s[0] == name for s in stack):
+        if name in ("html", "body") and opened[name] > 0:
             continue
         node = page.add(stack[-1][1], name, attrs)
         if not attrs.endswith("/"):
             stack.append((name, node))
+            opened[name] += 1
     return page
 
 
@@ -170,7 +229,7 @@ def features(page: Page) -> np.ndarray:
     for i in range(n):
         t = page.tag[i]
         x[i, AT.get(f"tag_{t}", AT["tag_other"])] = 1
-        marks.append(_marks(page.attrs[i]) if page.attrs[i] else ())
+        marks.append((_marks if len(page.attrs[i]) < 1000 else _marks.__wrapped__)(page.attrs[i]) if page.attrs[i] else ())
         for k in marks[i]:
             x[i, k] = 1
         p = page.parent[i]
