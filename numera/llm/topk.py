@@ -13,6 +13,7 @@ highest of all.
 from __future__ import annotations
 
 import math
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,30 @@ from numera.llm.common import cut, drop_cut, finite_vector, list_matrix, run_bou
 TILE = 8192
 BUCKETS = 4096
 BLOCK = 128
+#: Inner products from here on are not compared: they would not fit a long safely.
+LIMIT, LOST = 2**62, -(2**63)
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products as int64."""
-    bound = q.shape[1] * (np.abs(q).max(initial=0) * np.abs(c).max(initial=0))
-    if bound < 2**53:
+    """Exact integer inner products as int64; ``LOST`` for those of 2**62 or more in size."""
+    d = q.shape[1]
+    most = [np.abs(x).max(axis=1, initial=0) for x in (q, c)]
+    if d * most[0].max(initial=0) * most[1].max(initial=0) < 2**53:
         return (q @ c.T).astype(np.int64)
-    return np.array((q.astype(object) @ c.astype(object).T), dtype=object).astype(np.int64)
+    # rows of large components one by one in whole numbers, the others as they come
+    small = [m < math.sqrt(2**53 / d) for m in most]
+    out = np.empty((len(q), len(c)), np.int64)
+    out[np.ix_(*small)] = (q[small[0]] @ c[small[1]].T).astype(np.int64)
+
+    def whole(rows: np.ndarray, cols: np.ndarray) -> None:
+        left, right = ([[int(v) for v in r] for r in x] for x in (q[rows], c[cols]))
+        for i, a in zip(np.flatnonzero(rows), left):
+            every = (sum(map(mul, a, b)) for b in right)
+            out[i, cols] = [v if abs(v) < LIMIT else LOST for v in every]
+
+    whole(~small[0], np.ones(len(c), bool))
+    whole(small[0], ~small[1])
+    return out
 
 
 def _tiles(batches, k: int, each):
@@ -67,15 +84,15 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_c
     different length are not compared.  Ties go to the smaller id; a query with
     fewer candidates returns them all, one without any returns no row.  Among rows
     repeated under one query id the smallest vector asks; as candidates all stay.
+    Pairs whose product is 2**62 or more in size take no part.  An empty table
+    gives an empty result; extra columns are not read.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(finite_vector("v") & F.col("vec_id").isNotNull())
     q = v.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, top, dim = v.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("v", lambda x: F.abs(F.floor(x.cast("double") * 256))))), F.max(F.size("v"))).first()
+    n, top, dim = v.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double") * 256) + 1))), F.max(F.size("v"))).first()
     nq = q.count()
     ct, qt = max(1, math.ceil((n or 0) / TILE)), max(1, math.ceil(nq / TILE))
-    reach = int(dim or 0) * int(top or 0) ** 2
-    if reach >= 2**62:
-        raise ValueError("integer inner products would not fit a long")
+    reach = min(int(dim or 0) * int(min(top or 0, 2**62)) ** 2, LIMIT - 1)
     cand = v.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(qt - 1)))).select(
         (F.col("t") * ct + F.pmod(F.xxhash64("vec_id"), F.lit(ct))).cast("long").alias("tile"),
         F.lit(1).alias("side"), "vec_id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "v",
@@ -93,7 +110,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_c
         def each(qid, lo, hi, cid, s):
             kept_q, kept_b = [], []
             for r in range(len(qid)):
-                x = s[r][cid != qid[r]]
+                x = s[r][(cid != qid[r]) & (s[r] != LOST)]
                 x = x[x <= hi[r]]
                 if len(x) > k:
                     x = np.partition(x, len(x) - k)[-k:]
@@ -133,7 +150,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_c
     def final(qid, lo, hi, cid, s):
         a, b, c = [], [], []
         for r in range(len(qid)):
-            own = np.flatnonzero((s[r] >= lo[r]) & (cid != qid[r]))
+            own = np.flatnonzero((s[r] >= lo[r]) & (cid != qid[r]) & (s[r] != LOST))
             own = own[np.argsort(-s[r][own], kind="stable")[:k]]
             a.append(np.full(len(own), qid[r]))
             b.append(cid[own])
