@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -296,6 +297,16 @@ def test_html_pages(spark):
 # --- 4 ------------------------------------------------------------------------------------------------------
 
 
+def test_html_takes_time_in_proportion():
+    """Tags, quotes, comments and elements that never close: two megabytes of each take a few seconds at most."""
+    for x in ("<a " * 700_000, '<a href="' * 220_000, '<a ">" ' * 300_000 + "'", "<" * 2_000_000, "<!--" * 500_000, "<script>" + "</script " * 220_000, "<div>" * 200_000 + "</p>" * 250_000, "<ul><li>" * 250_000):
+        start = time.process_time()
+        html.parse(x)
+        assert time.process_time() - start < 12, x[:20]
+    page = html.parse("a<b <p>x</p> <!-- <p> --><q title='>'>y</q><p class=\">z")
+    assert [("".join(t).split(), page.tag[k]) for k, t in page.blocks] == [(["ax"], "html"), (["y"], "html"), (["z"], "p")]
+
+
 def brute_lines(rows, t=0.8):
     every = sorted((d, i, frozenset(x.encode().lower().split())) for d, x in rows if d is not None and x is not None for i, x in enumerate(x.split("\n")))
     gone = set()
@@ -388,6 +399,10 @@ def test_top_k(spark, monkeypatch):
     for tile in (8192, 40):
         monkeypatch.setattr(topk, "TILE", tile)
         assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == want
+    # a product that does not fit a long takes its own pair out, and no other
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (50, [1.0, 0.0]), (51, [2.0, -1e5]), (52, [0.5, 1e12])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(huge, F.col("vec_id") % 50 == 0).collect()))
+    assert got == [(50, 1, 51, 256 * 512), (50, 2, 52, 256 * 128)]
     few = df.where("vec_id in (0, 3, 7)")
     assert topk.top_k(few, F.col("vec_id") % 50 == 0).count() == 2
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
