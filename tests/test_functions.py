@@ -152,3 +152,16 @@ def test_stream_equals_batch(spark):
     batch = windows.tumbling(spark.read.parquet(f"{where}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     stream = windows.drain(windows.tumbling(windows.read_events(spark, where)))
     assert sorted(map(tuple, batch.select("start", "event_type", "n").collect())) == sorted(map(tuple, stream.select("start", "event_type", "n").collect()))
+
+
+def test_promotion():
+    from numera.functions.dtypes import promote
+
+    want = {
+        ("int32", "float16"): "float32", ("int64", "float16"): "float64", ("int64", "float32"): "float64", ("int16", "float64"): "float64", ("int32", "uint32"): "int64",
+        ("uint64", "int8"): "float64", ("int16", "uint8"): "int16", ("int8", "uint8"): "int16", ("bool", "uint8"): "uint8", ("bool", "int8"): "int8", ("bool", "float16"): "float16",
+        ("python.int", "bool"): "bool", ("python.int", "uint8"): "uint8", ("python.float", "int8"): "float64", ("python.float", "float16"): "float16", ("python.complex", "float32"): "complex64",
+        ("python.complex", "int64"): "complex128", ("python.int", "python.complex"): "python.complex", ("complex64", "float64"): "complex128", ("complex64", "int32"): "complex64", ("text", "int8"): "PROMOTION_UNRESOLVED",
+    }
+    for (a, b), c in want.items():
+        assert promote(a, b) == promote(b, a) == c, (a, b)
