@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder ``spark.checkpoint.dir`` and read it back; a local one only where none is set."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` that all executors share; a local one only where none is set on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="numera-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/numera-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/numera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -28,18 +36,30 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest vertex reachable, by minimum-label propagation with pointer jumping."""
-    both = undirected(edges.select("src", "dst")).distinct()
-    lab = vertices.select("id", F.col("id").alias("c"))
-    while True:
-        near = both.join(lab.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.min("c").alias("m"))
-        step = lab.join(near, lab.id == near.dst, "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        hop = step.select(F.col("id").alias("c"), F.col("c").alias("c2"))
-        new = checkpoint(step.join(hop, "c", "left").select("id", "old", F.least("c", F.coalesce("c2", "c")).alias("c")))
-        done = new.where("old != c").isEmpty()
-        lab = new.select("id", "c")
-        if done:
-            return lab.select("id", F.col("c").alias("component"))
+    """(id, component): the smallest vertex reachable.
+
+    Large-star and small-star steps in turn: a vertex links its larger, then its
+    smaller neighbours to the smallest one it knows, until the edges are stars.
+    A step is a grouped minimum, combined before it is shuffled, and an
+    equi-join; rounds grow with the logarithm of the longest path.
+    """
+    e = checkpoint(edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+
+    def mark(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    seen = mark(e)
+    while seen[0]:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = both.join(low, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = checkpoint(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        seen, before = mark(e), seen
+        if seen == before:
+            break
+    return vertices.join(e, vertices.id == e.a, "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
 def shortest_paths(edges: DataFrame, source: int, limit: float | None = None) -> DataFrame:

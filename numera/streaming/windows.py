@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numera.operators.graph import checkpoint
+from numera.operators.graph import shared_dir
 
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -48,11 +48,24 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run ``stream`` over the rows there are now and return its result, kept in the shared folder."""
+    """Run ``stream`` over the rows there are now and return its result, a Parquet table in the shared folder.
+
+    With ``complete`` output every batch writes the whole result to a folder of
+    its own, of which the last holds; with ``append`` all batches count.  The
+    checkpoint lies beside them, so a query that is stopped goes on from there.
+    """
     spark = stream.sparkSession
-    name = f"numera_{uuid.uuid4().hex}"
-    anchor = checkpoint(spark.range(0))  # names the shared folder
-    folder = anchor.inputFiles()[0].rsplit("/", 1)[0] if anchor.inputFiles() else spark.conf.get("spark.checkpoint.dir")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/stream-{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_dir(spark)}/numera-stream-{uuid.uuid4().hex}"
+    schema = stream.schema
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(schema).parquet(f"{folder}/rows")
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        last[:] = [number]
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/batch-{last[0]}") if last else spark.createDataFrame([], schema)
