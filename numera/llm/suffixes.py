@@ -18,6 +18,11 @@ by the next eight bytes, then within equal parts by the following eight), and
 the lengths of common prefixes of neighbours, with the same for the reversed
 left contexts, tell which strings occur twice.  Suffixes with equal heads never
 part at a splitter, so no repeat spans a boundary.
+
+A head with more than ``HOT`` different contexts (a passage that very many
+documents share, each in its own surroundings) is not held in one task: its
+contexts are taken apart into their strings, whose 128-bit hashes are counted
+and joined, which splits and combines wherever the rows are.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ SEED = 99
 CHUNK = 1 << 20
 #: Suffixes of a bucket that are compared at once, at least; a head is never parted.
 FLUSH = 20_000
+#: Different contexts of a head that one task compares.
+HOT = 1 << 16
 
 
 def _table() -> np.ndarray:
@@ -215,6 +222,29 @@ def repeated_starts(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_r
     return out
 
 
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc, s, e): of ``contexts`` (doc, pos, l, r, whole, ...), the ranges of their strings that occur in several, by hash."""
+
+    def strings(batches):
+        for b in batches:
+            for row in range(0, b.num_rows, 512):
+                doc, pos, l, r, whole = (c.to_pylist() for c in b.slice(row, 512).columns[:5])
+                out: list[tuple] = []
+                for d, p, a, z, w in zip(doc, pos, l, r, whole):
+                    both, n = a + z, len(a)
+                    for o in range(max(0, length - len(z)), n + 1):
+                        h = xxhash.xxh3_128_intdigest(both[n - o : n - o + length], o)
+                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), d, p, o, w))
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h1", "h2", "doc", "pos", "o", "whole"])
+
+    every = contexts.select("doc", "pos", "l", "r", "whole").mapInArrow(strings, "h1 long, h2 long, doc long, pos int, o int, whole boolean")
+    twice = every.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    found = every.where("not whole").join(twice, ["h1", "h2"]).groupBy("doc", "pos").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+    return found.select("doc", (F.col("pos") - F.col("high")).alias("s"), (F.col("pos") - F.col("low") + length).alias("e"))
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, s, e): byte ranges to remove, which may overlap; ``docs`` has (doc, text, ...)."""
     window = length - gram - 16
@@ -228,7 +258,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         .withColumn("next", F.lead("full").over(in_head))
         .withColumn("mixed", F.min("full").over(by_head) != F.max("full").over(by_head))
         .select(
-            "doc", "pos", "rest",
+            "doc", "pos", "rest", "head",
             (F.col("ready") | F.coalesce(same("prev"), F.lit(False)) | F.coalesce(same("next"), F.lit(False))).alias("whole"),
             (F.col("mixed") & (F.col("full") != F.lit(b"")) & ~F.coalesce(same("prev"), F.lit(False))).alias("compare"),
         )
@@ -236,12 +266,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     )
     marked = cut(marked, "anchors")
     # contexts are read from the texts of the documents that have anchors to compare
-    wanted = marked.where("compare").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "whole"))).alias("at"))
+    hot = marked.where("compare").groupBy("head").count().where(F.col("count") > HOT).select("head", F.lit(True).alias("hot"))
+    asked = marked.where("compare").join(hot, "head", "left").withColumn("hot", F.col("hot").isNotNull())
+    wanted = asked.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "whole", "hot"))).alias("at"))
     texts = docs.join(wanted, "doc")
 
     def contexts(batches):
         for b in batches:
-            doc, pos, left, right, done = [], [], [], [], []
+            doc, pos, left, right, done, many = [], [], [], [], [], []
             col = {n: b.column(k).to_pylist() for k, n in enumerate(b.schema.names) if n in ("doc", "text", "at")}
             for d, t, at in zip(col["doc"], col["text"], col["at"]):
                 t = t.encode("utf-8")
@@ -252,11 +284,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     left.append(t[max(0, p - window + 1) : p])
                     right.append(t[p : p + length])
                     done.append(x["whole"])
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc, pos, left, right, done), kinds)], ["doc", "pos", "l", "r", "whole"])
+                    many.append(x["hot"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc, pos, left, right, done, many), kinds)], ["doc", "pos", "l", "r", "whole", "hot"])
 
-    suffixes = texts.mapInArrow(contexts, "doc long, pos int, l binary, r binary, whole boolean").withColumn("lead", F.substring("r", 1, share))
-    buckets = suffixes.repartitionByRange("lead").sortWithinPartitions("lead")
+    suffixes = texts.mapInArrow(contexts, "doc long, pos int, l binary, r binary, whole boolean, hot boolean").withColumn("lead", F.substring("r", 1, share))
+    buckets = suffixes.where("not hot").drop("hot").repartitionByRange("lead").sortWithinPartitions("lead")
 
     def compare(batches):
         held: list[tuple] = []
@@ -287,6 +320,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             yield flush()
 
     edges = buckets.mapInArrow(compare, "doc long, s int, e int")
+    if not hot.isEmpty():
+        edges = edges.union(_counted(cut(suffixes.where("hot"), "contexts"), length))
     start = F.col("pos") - F.least("pos", F.lit(window - 1))
     whole = marked.where("whole").select("doc", start.alias("s"), (F.col("pos") + F.col("rest")).alias("e")).where(f"e - s >= {length}")
     return edges.union(whole)
@@ -301,8 +336,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     equal rows repeats the other.  Extra columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # equal rows have equal ranges, so the key need not tell them apart
-    src = src.withColumn("doc", F.xxhash64("doc_id", "text"))
+    # an id names its row if it is the only one; else a hash does, and equal rows, which have equal ranges, share it
+    named = src.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    src = src.withColumn("doc", F.col("doc_id") if named else F.xxhash64("doc_id", "text"))
     ranges = repeated(src, length, gram).groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
 
     def apply(batches):

@@ -454,7 +454,9 @@ def test_pii(spark):
 # --- 8 ------------------------------------------------------------------------------------------------------
 
 
-def test_suffixes(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [8192, 10])
+def test_suffixes(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "FLUSH", 50)
     monkeypatch.setattr(suffixes, "CHUNK", 1 << 11)
     r = random.Random(3)
