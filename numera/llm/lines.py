@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import cut, drop_cut, release, run_bounds, small_batches, whole_runs
+from numera.llm.common import cut, drop_cut, release, run_bounds, small_batches
 
 THRESHOLD = 0.8
 #: Counters of words, and those of one slice of the table.
@@ -46,6 +47,8 @@ LONG = 48
 SEEN = 1 << 17
 #: Postings of a bucket compared at once, and so many pairs held; words of the corpus for each bucket.
 HELD, BUCKET = 1 << 21, 1 << 21
+#: Postings of a bucket that a task takes at once; what meets across such parts is left to joins that Spark can split.
+MOST = 1 << 22
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -258,9 +261,25 @@ def postings(docs: DataFrame, threshold: float, counts, buckets: int) -> DataFra
     return docs.select("doc", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{f} binary" for f in _FIELDS))
 
 
-def _unpacked(t: pa.Table) -> list[np.ndarray]:
-    """The fields of packed rows, one after another."""
-    return [np.concatenate([_values(x.as_buffer(), kind) for x in t.column(f)]) for f, kind in _FIELDS.items()]
+def _chunks(batches, most: int) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+    """(bucket, fields, whether the bucket comes in several parts) from packed rows sorted by bucket."""
+
+    def fields():
+        return [np.concatenate([_values(b.column(f)[r].as_buffer(), kind) for b, r in held]) for f, kind in _FIELDS.items()]
+
+    held: list[tuple[pa.RecordBatch, int]] = []
+    size, bucket, parted = 0, -1, False
+    for b in batches:
+        for r, (k, n) in enumerate(zip(b.column("bucket").to_pylist(), pc.binary_length(b.column("k")).to_pylist())):
+            if held and (k != bucket or size + n // 4 > most):
+                parted |= k == bucket
+                yield bucket, fields(), parted
+                parted &= k == bucket
+                held, size = [], 0
+            bucket, size = k, size + n // 4
+            held.append((b, r))
+    if held:
+        yield bucket, fields(), parted
 
 
 def _passes(n, pos, b1, b2, i, j, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +343,8 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     Line (doc, at) repeats an earlier line (0); it may match the earlier line
     (doc2, at2), their bits differing by ``differ`` (1); it may match further
     ones (2).  Every posting (k, shape, b1, b2) under a word where some line may
-    (3).
+    (3), and in a bucket of several parts the first line of every set (b1, b2) of
+    a part (4).
     """
     columns = {"doc2": pa.int64(), "at2": pa.int32(), "differ": pa.int32(), "k": pa.int64(), "shape": pa.int64(), "b1": pa.int64(), "b2": pa.int64()}
 
@@ -335,9 +355,7 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, ["kind", "doc", "at", *columns])
 
     def run(batches):
-        for t in whole_runs(batches, ["bucket"]):
-            bucket = t.column("bucket")[0].as_py()
-            k, s, doc, at, shape, b1, b2 = _unpacked(t)
+        for bucket, (k, s, doc, at, shape, b1, b2), parted in _chunks(batches, MOST):
             x = np.flatnonzero(shape == _GONE)
             yield batch(0, doc[x], at[x])
             x = np.flatnonzero(shape == _SET)
@@ -345,6 +363,9 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
             again = np.zeros(len(x), bool)
             again[1:] = (b1[x[1:]] == b1[x[:-1]]) & (b2[x[1:]] == b2[x[:-1]])
             yield batch(0, doc[x[again]], at[x[again]])
+            if parted:
+                y = x[~again]
+                yield batch(4, doc[y], at[y], b1=b1[y].view(np.int64), b2=b2[y].view(np.int64))
             x = np.flatnonzero(shape >= 0)
             x = x[np.argsort(k[x].astype(_U) << _U(32) | np.minimum(shape[x] >> _SHAPE, 4095).astype(_U) << _U(20) | (s[x] & np.uint32(0xFFFFF)))]
             # one row for each set under a word, its first line
@@ -356,6 +377,9 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
             several = np.flatnonzero(np.bincount(group)[group] > 1) if len(x) else group
             x[several] = x[several][np.lexsort((at[x[several]], doc[x[several]], group[several]))]
             x = x[new]
+            if parted:
+                yield batch(2, doc[x], at[x])
+                yield batch(3, doc[x], at[x], k=k[x] | np.int64(bucket) << 32, shape=shape[x], b1=b1[x].view(np.int64), b2=b2[x].view(np.int64))
             size = np.diff(run_bounds(k[x]))
             x = x[np.repeat(size > 1, size)]
             # rows of over 4095 words are not yet in order
@@ -368,10 +392,12 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 y = x[edges[i] : edges[j]]
                 later, earlier, differ, more = _named(k[y], doc[y], at[y], shape[y] >> _SHAPE, shape[y] & 0xFFFFFFFF, b1[y], b2[y], threshold, WINDOW, NAMED, HELD)
                 yield batch(1, doc[y[later]], at[y[later]], doc2=doc[y[earlier]], at2=at[y[earlier]], differ=differ)
+                i = j
+                if parted:  # all of them have gone there
+                    continue
                 yield batch(2, doc[y[more]], at[y[more]])
                 z = y[np.isin(k[y], k[y[more]])]
                 yield batch(3, doc[z], at[z], k=k[z] | np.int64(bucket) << 32, shape=shape[z], b1=b1[z].view(np.int64), b2=b2[z].view(np.int64))
-                i = j
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "kind int, doc long, at int, doc2 long, at2 int, differ int, k long, shape long, b1 long, b2 long")
@@ -413,6 +439,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = cut(candidates(postings(docs, threshold, counts, buckets), threshold), "lines")
     release(spark)
     exact = found.where("kind = 0").select("doc", "at")
+    parted = found.where("kind = 4").select("doc", "at", "b1", "b2")
+    if not parted.isEmpty():
+        first = parted.groupBy("b1", "b2").agg(F.min(F.struct("doc", "at")).alias("x"))
+        exact = exact.union(parted.join(first, ["b1", "b2"]).where(F.struct("doc", "at") != F.col("x")).select("doc", "at"))
     asked = found.where("kind = 1")
     ends = asked.select("doc", "at").union(asked.select("doc2", "at2")).union(found.where("kind = 3").select("doc", "at"))
     sets = cut(line_sets(docs, ends.groupBy("doc").agg(F.collect_set("at").alias("ats"))), "sets")

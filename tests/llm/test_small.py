@@ -316,7 +316,7 @@ def brute_lines(rows, t=0.8):
     return {d: x if x is None else "\n".join(y for i, y in enumerate(x.split("\n")) if (d, i) not in gone) for d, x in rows}
 
 
-@pytest.mark.parametrize("small", [{}, {"WINDOW": 2, "NAMED": 1, "PART": 100, "HELD": 50}, {"WINDOW": 1, "SEEN": 3, "PACK": 40}])
+@pytest.mark.parametrize("small", [{}, {"WINDOW": 2, "NAMED": 1, "PART": 100, "HELD": 50}, {"WINDOW": 1, "SEEN": 3, "PACK": 40}, {"MOST": 30, "SEEN": 2, "PACK": 20}])
 def test_lines(spark, monkeypatch, small):
     for k, v in small.items():
         monkeypatch.setattr(lines, k, v)
@@ -355,10 +355,12 @@ def test_words_of_lines():
         assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
 
 
-@pytest.mark.parametrize("window", [16, 1024])
-def test_one_family_of_lines(spark, monkeypatch, window):
+@pytest.mark.parametrize("window, most", [(16, 1 << 22), (1024, 1 << 22), (1024, 200)])
+def test_one_family_of_lines(spark, monkeypatch, window, most):
     """Many near copies of one line, each under the same words, and lines that only just miss it."""
     monkeypatch.setattr(lines, "WINDOW", window)
+    monkeypatch.setattr(lines, "MOST", most)
+    monkeypatch.setattr(lines, "PACK", min(most, 1 << 19) // 4)
     monkeypatch.setattr(lines, "NAMED", 1)
     r = random.Random(3)
     first = [f"w{i}" for i in range(40)]
