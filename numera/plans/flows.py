@@ -7,7 +7,7 @@ import inspect
 
 from pyspark.sql import functions as F
 
-from numera.operators import graph, lineage
+from numera.operators import dependency, graph, lineage
 from numera.plans.catalog import query
 from numera.sources import files
 from numera.streaming import windows
@@ -153,3 +153,73 @@ def _(t):
     f = t.orders.select(F.col("o_orderkey").cast("string").alias("subject"), F.lit("positive").alias("predicate"), (F.col("o_totalprice") > 0).cast("string").alias("value"))
     ask = f.select("subject", "predicate", F.lit("true").alias("expected"))
     return lineage.query_facts(f, ask).select(F.col("subject").cast("long").alias("o_orderkey"), (F.col("status") == "PROVEN_TRUE").alias("valid"))
+
+
+_GRAPH = """nodes AS (
+  SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Store' ELSE 'Value' END AS semantic, 'Pure' AS effect, o_orderstatus AS location FROM orders
+  UNION ALL SELECT 'l' || l_orderkey || '.' || l_linenumber, 'BinaryOperation', CASE WHEN l_returnflag = 'R' THEN 'Unknown' ELSE 'Pure' END, NULL FROM lineitem
+  UNION ALL SELECT 'p' || p_partkey, 'Load', 'Pure', NULL FROM part UNION ALL SELECT 's' || s_suppkey, 'Load', 'Pure', NULL FROM supplier),
+ edges AS (
+  SELECT 'v' || l_orderkey || '.' || l_linenumber AS edge_id, CASE WHEN l_linenumber = 1 THEN 'WRITES' ELSE 'VALUE_DEPENDS_ON' END AS kind, 'l' || l_orderkey || '.' || l_linenumber AS source,
+    'o' || l_orderkey AS target, 'value' AS role, CASE WHEN l_linestatus = 'F' THEN 'RESOLVED' ELSE 'INFERRED' END AS confidence FROM lineitem
+  UNION ALL SELECT 'a' || l_orderkey || '.' || l_linenumber, CASE WHEN l_discount > 0.09 THEN 'GUESSED' ELSE 'READS' END, 'p' || l_partkey, 'l' || l_orderkey || '.' || l_linenumber, 'lhs', 'RESOLVED' FROM lineitem
+  UNION ALL SELECT 'b' || CASE WHEN l_quantity > 49 THEN l_orderkey || '' ELSE l_orderkey || '.' || l_linenumber END, 'READS', 's' || CASE WHEN l_tax > 0.07 THEN -l_suppkey ELSE l_suppkey END,
+    'l' || l_orderkey || '.' || l_linenumber, 'rhs', 'RESOLVED' FROM lineitem)"""
+
+
+def _graph(t):
+    """Orders as outputs or values, lineitems as the operations on a part and a supplier that they are made of; some edges are at fault."""
+    text = lambda *c: F.concat(*(F.col(x[1:]).cast("string") if x[0] == "$" else F.lit(x) for x in c))
+    none = F.lit(None).cast("string")
+    node = lambda df, i, semantic, effect, location: df.select(i.alias("id"), semantic.alias("semantic"), effect.alias("effect"), location.alias("location"))
+    line, pure, load = text("l", "$l_orderkey", ".", "$l_linenumber"), F.lit("Pure"), F.lit("Load")
+    nodes = (
+        node(t.orders, text("o", "$o_orderkey"), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Store")).otherwise(F.lit("Value")), pure, F.col("o_orderstatus"))
+        .union(node(t.lineitem, line, F.lit("BinaryOperation"), F.when(F.col("l_returnflag") == "R", F.lit("Unknown")).otherwise(pure), none))
+        .union(node(t.part, text("p", "$p_partkey"), load, pure, none))
+        .union(node(t.supplier, text("s", "$s_suppkey"), load, pure, none))
+    )
+    edge = lambda i, kind, source, target, role, sure: t.lineitem.select(*(c.alias(n) for c, n in zip((i, kind, source, target, role, sure), ("edge_id", "kind", "source", "target", "role", "confidence"))))
+    resolved, reads = F.lit("RESOLVED"), F.lit("READS")
+    b = F.when(F.col("l_quantity") > 49, text("b", "$l_orderkey")).otherwise(text("b", "$l_orderkey", ".", "$l_linenumber"))
+    supplier = F.concat(F.lit("s"), F.when(F.col("l_tax") > 0.07, -F.col("l_suppkey")).otherwise(F.col("l_suppkey")).cast("string"))
+    edges = (
+        edge(text("v", "$l_orderkey", ".", "$l_linenumber"), F.when(F.col("l_linenumber") == 1, F.lit("WRITES")).otherwise(F.lit("VALUE_DEPENDS_ON")), line, text("o", "$l_orderkey"), F.lit("value"), F.when(F.col("l_linestatus") == "F", resolved).otherwise(F.lit("INFERRED")))
+        .union(edge(text("a", "$l_orderkey", ".", "$l_linenumber"), F.when(F.col("l_discount") > 0.09, F.lit("GUESSED")).otherwise(reads), text("p", "$l_partkey"), line, F.lit("lhs"), resolved))
+        .union(edge(b, reads, supplier, line, F.lit("rhs"), resolved))
+    )
+    return nodes, edges
+
+
+@query(
+    "a001_dependency_diagnostics",
+    f"""WITH {_GRAPH},
+ known AS (SELECT e.* FROM edges e WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+ has AS (SELECT n.id, n.semantic, coalesce(list(k.role) FILTER (k.role IS NOT NULL), []) AS roles, coalesce(list(k.kind) FILTER (k.kind IS NOT NULL), []) AS kinds FROM nodes n LEFT JOIN known k ON k.target = n.id GROUP BY n.id, n.semantic)
+SELECT 'INVALID_DEPENDENCY_GRAPH' AS code, message, subject FROM (
+ SELECT 'node IDs must be present and unique' AS message, id AS subject FROM nodes GROUP BY id HAVING count(*) > 1
+ UNION ALL SELECT 'edge IDs must be present and unique', edge_id FROM edges GROUP BY edge_id HAVING count(*) > 1
+ UNION ALL SELECT 'unknown edge kind', edge_id FROM edges WHERE kind = 'GUESSED'
+ UNION ALL SELECT 'edge endpoint does not exist', edge_id FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)
+ UNION ALL SELECT 'Store needs write target and value', id FROM has WHERE semantic = 'Store' AND NOT (list_contains(kinds, 'WRITES') AND list_contains(kinds, 'VALUE_DEPENDS_ON'))
+ UNION ALL SELECT 'binary node needs lhs and rhs', id FROM has WHERE semantic = 'BinaryOperation' AND NOT (list_contains(roles, 'lhs') AND list_contains(roles, 'rhs'))
+ UNION ALL SELECT 'ambiguous output location', NULL FROM nodes WHERE semantic = 'Store' HAVING count(DISTINCT location) > 1)""",
+)
+def _(t):
+    return dependency.diagnostics(*_graph(t))
+
+
+@query(
+    "a002_output_slice",
+    f"""WITH RECURSIVE {_GRAPH},
+ r(id) AS (SELECT id FROM nodes WHERE semantic = 'Store' UNION SELECT e.source FROM r JOIN edges e ON e.target = r.id)
+SELECT n.id, n.effect = 'Unknown' AS unknown, CAST((SELECT count(*) FROM edges e WHERE e.target = n.id AND confidence <> 'RESOLVED') AS BIGINT) AS unresolved FROM nodes n WHERE n.id IN (SELECT id FROM r)""",
+)
+def _(t):
+    return dependency.output_slice(*_graph(t))
+
+
+@query("a001_illegal_cycles", f"WITH {_GRAPH} SELECT 'UNSUPPORTED_DEPENDENCY_CYCLE' AS code, CAST([] AS VARCHAR[]) AS members FROM nodes WHERE false")
+def _(t):
+    """Edges run from parts and suppliers to lineitems to orders, so there is no cycle; tests compare graphs that have some."""
+    return dependency.illegal_cycles(*_graph(t))
