@@ -180,8 +180,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        # the library finds added tokens before it cuts a text: texts that hold one go to it whole, the others are encoded in parts
+        self.whole = Tokenizer.from_str(vocabulary)
+        self.added = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.tok = Tokenizer.from_str(vocabulary)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = True
         names = self.tok.get_vocab()
         self.size = np.zeros(max(names.values()) + 1, np.int64)
         self.size[list(names.values())] = [len(x) for x in names]  # a character stands for a byte
@@ -232,6 +235,24 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, END behind each; where those of each begin, and the end of all); a null text is empty."""
         texts = texts.cast(pa.string()).fill_null("")
+        holds = np.zeros(len(texts), bool)
+        for name in self.added:
+            holds |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        ids, at = self._plain(texts.filter(pa.array(~holds)))
+        if not holds.any():
+            return ids, at
+        parts, k = [], 0
+        for i in range(len(texts)):
+            if holds[i]:
+                found = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids
+                parts.append(np.array([*found, END], "<u4"))
+            else:
+                parts.append(ids[at[k] : at[k + 1]])
+                k += 1
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts, none null, without strings of added tokens."""
         if pc.any(pc.match_substring_regex(texts, _RUNS)).as_py():
             lists = pa.array([units(t) for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
@@ -302,17 +323,18 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     ``capacity``, the first of which may be shorter.  Repeated ids keep all
     their rows; an empty table gives an empty result.  Extra columns are not read.
     """
-    cutted = cut(pieces(docs, vocabulary, id_col, text_col, capacity), "pieces")
+    # rows are spread by a number of their own: one id or one text may hold any part of them
+    cutted = cut(pieces(docs, vocabulary, id_col, text_col, capacity).withColumn("spread", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     # at most ``capacity`` rows
     counts = {r[0]: r[1] for r in cutted.groupBy("length").count().collect()}
     runs = plan(counts, capacity).runs()
     total = sum(counts.values())
-    b = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, -(-total // bucket)))).alias("b")
+    b = F.pmod("spread", F.lit(max(1, -(-total // bucket)))).alias("b")
     sized = cutted.groupBy("length", b).agg(F.count(F.lit(1)).alias("c"))
     before = sized.select("length", "b", (F.sum("c").over(Window.partitionBy("length").orderBy("b")) - F.col("c")).alias("before"))
     numbered = (
         cutted.withColumn("b", b)
-        .withColumn("k", F.row_number().over(Window.partitionBy("length", "b").orderBy("doc_id", "piece")) - 1)
+        .withColumn("k", F.row_number().over(Window.partitionBy("length", "b").orderBy("spread")) - 1)
         .join(before, ["length", "b"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("k")).alias("ordinal"))
     )

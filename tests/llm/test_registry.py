@@ -39,7 +39,7 @@ def where(spark, tmp_path_factory):
     docs = table(spark, "documents")
     some = docs.orderBy("doc_id").limit(3).collect()
     long_line = " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randrange(900)) for _ in range(30_000))
-    added = [(900_001, None), (900_002, ""), (900_003, " \n\n "), (900_004, long_line), (900_005, long_line + " tail"), (900_006, "x" * 100_000), (None, "a text without an id, of seven more words"), (None, None)]
+    added = [(900_001, None), (900_002, ""), (900_003, " \n\n "), (900_004, long_line), (900_005, long_line + " tail"), (900_006, "x" * 100_000), (900_008, "x <|endoftext|> y<|endoftext|>"), (None, "a text without an id, of seven more words"), (None, None)]
     added += [(x.doc_id, x.text) for x in some] + [(some[0].doc_id, "another text under an id in use"), (900_007, some[1].text)]
     vocab = sorted({w for x in docs.select("text").collect() for w in (x.text or "").split()})
     toxic = [(800_000 + i, " ".join(r.choices(vocab, k=25) + r.choices(["vilest", "vileness", "vilely"], k=3) + r.choices(vocab, k=25))) for i in range(120)]
@@ -133,7 +133,6 @@ def test_line_dedup(spark, where, rows):
 
 def check_packing(rows, got):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want, total = Counter(), 0
     for i, t in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]

@@ -178,7 +178,6 @@ def test_bpe_on_odd_white_space(monkeypatch):
 
 def test_packing(spark):
     tok = Tokenizer.from_file(VOCAB)
-    tok.encode_special_tokens = True
     rows = [*ROWS, (7, ROWS[7][1]), (None, "x")]
     out = packing.pack(docs(spark, rows), VOCAB, bucket=10).collect()
     want = Counter()
@@ -201,6 +200,13 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), VOCAB).count() == 0
 
 
+def test_packing_of_one_id(spark):
+    """A third of all rows repeat one row: every one has its own place, and no task numbers them all."""
+    rows = [(5, "one text under one id")] * 400 + [(10 + i, f"text {i} " * (i % 7)) for i in range(800)]
+    out = packing.pack(docs(spark, rows), VOCAB, bucket=100).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows) and len({(r.sequence_id, r.offset) for r in out}) == len(rows)
+
+
 def test_plan_reaches_the_bound():
     r = random.Random(2)
     for counts in ({1000: 7, 1048: 7}, {512: 8, 1024: 3}, {2047: 5, 1: 5}, {700: 3, 648: 3}, {1025: 10}, Counter(r.randint(1, 2048) for _ in range(5000)), Counter(min(2048, int(r.lognormvariate(5, 1)) + 1) for _ in range(20000))):
@@ -243,11 +249,12 @@ def test_sums_index():
 def test_encoder_parts_units(monkeypatch):
     """Units encoded together, remembered or forgotten give the ids of whole texts."""
     tok = Tokenizer.from_file(VOCAB)
-    tok.encode_special_tokens = True
     encoder = packing._encoder(open(VOCAB, "rb").read())
     r = random.Random(4)
     every = [None, "", " ", "\n", "a", " a", "a ", "a  b", "x" * 500 + " " + "y " * 3, "word, word. Word? it's he'll. don' x', 9. 9, a.b, é,", "<|endoftext|> 中文 é"] + ["".join(r.choices(" \n\t\r\x0b\x1c\xa0 ab1!.,'é中<|endoftext|>", k=r.randint(0, 60))) for _ in range(1500)]
     every += ["".join(r.choices("   \nab1!.,'é中", k=r.randint(0, 60))).replace("  ", " ").strip() for _ in range(800)]
+    every += ["".join(r.choices([" ", "\n", "a", "b1", "é", "<|endoftext|>"], k=r.randint(0, 12))) for _ in range(400)]
+    assert encoder.encode(pa.array(["x <|endoftext|> y"]))[0].tolist() == [87, 220, 50256, 331, 0]
     encoder.forget()
     monkeypatch.setattr(packing, "MEMO", 50)
     for _ in range(2):
