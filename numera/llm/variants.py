@@ -60,8 +60,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
-def _places(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(64 - BITS)
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(64 - bits)
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,7 +93,7 @@ def neighbours(words: list[str], alphabet: list[str], is_set: np.ndarray | None
     def passed(h: np.ndarray) -> np.ndarray:
         if is_set is None:
             return np.ones(h.shape, bool)
-        p = _places(h)
+        p = _places(h, (8 * len(is_set)).bit_length() - 1)
         return (is_set[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
     letters = np.array([ord(c) for c in alphabet], np.uint64)
@@ -132,18 +132,18 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     The alphabet is that of the words.  An empty table has none.
     """
-    spark = words.sparkSession
+    spark, bits = words.sparkSession, BITS
     alphabet = sorted(r.c for r in words.select(F.explode(F.split("word", "")).alias("c")).distinct().where("c != ''").collect())
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, prefix, _ in _by_length(b.column(0).to_pylist()):
-                p = _places(prefix[-1])
+                p = _places(prefix[-1], bits)
                 yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["block", "bit"])
 
-    # at most 2**(BITS - 6) rows
+    # at most 2**(bits - 6) rows
     blocks = words.select("word").mapInArrow(hashed, "block long, bit long").groupBy("block").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (BITS - 6), np.int64)
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[blocks["block"].to_numpy()] = blocks["bits"].to_numpy()
     sent = spark.sparkContext.broadcast((alphabet, table.view(np.uint8)))
 
