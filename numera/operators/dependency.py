@@ -26,6 +26,7 @@ ROLES = {
     "Loop": (("index", "lower", "upper"), "Loop needs index, lower, and upper dependencies"),
 }
 STORE_KINDS = ("WRITES", "VALUE_DEPENDS_ON")
+EXTRACTED, FAILED = "EXTRACTED", "EXPRESSION_EXTRACTION_FAILED"
 
 
 def _ends(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,3 +114,19 @@ def output_slice(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     open_ = edges.where("confidence != 'RESOLVED'").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("unresolved"))
     own = nodes.select("id", (F.col("effect") == "Unknown").alias("unknown"))
     return reached.join(own, "id").join(open_, "id", "left").select("id", "unknown", F.coalesce("unresolved", F.lit(0)).cast("long").alias("unresolved"))
+
+
+def checked_slice(nodes: DataFrame, edges: DataFrame) -> tuple[str, DataFrame, DataFrame]:
+    """(status, sliced nodes, edges between them): nothing is sliced from a graph with a fault or an illegal cycle."""
+    faults = diagnostics(nodes, edges).select("code").union(illegal_cycles(nodes, edges).select("code"))
+    if not faults.isEmpty():
+        return FAILED, output_slice(nodes.limit(0), edges.limit(0)), edges.limit(0)
+    found = checkpoint(output_slice(nodes, edges))
+    ends = lambda c: found.select(F.col("id").alias(c))
+    return EXTRACTED, found, edges.join(ends("source"), "source", "left_semi").join(ends("target"), "target", "left_semi").select(edges.columns)
+
+
+def slice_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (status, nodes, edges): how ``checked_slice`` ends, and the sizes of what it gives."""
+    status, found, inner = checked_slice(nodes, edges)
+    return found.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(inner.agg(F.count(F.lit(1)).alias("edges"))).select(F.lit(status).alias("status"), "nodes", "edges")  # one row each

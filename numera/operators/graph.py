@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """``checkpoint``, and aggregates of the rows, taken by the job that writes them."""
+    seen = Observation()
+    names = list(sums)
+    out = checkpoint(df.observe(seen, *(sums[n].alias(n) for n in names)))
+    return out, dict(seen.get)
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the files of a ``checkpoint`` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both orientations of every edge."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
@@ -41,24 +57,23 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: a vertex links its larger, then its
     smaller neighbours to the smallest one it knows, until the edges are stars.
     A step is a grouped minimum, combined before it is shuffled, and an
-    equi-join; rounds grow with the logarithm of the longest path.
+    equi-join; a round is one job, which also counts its edges, and rounds grow
+    with the logarithm of the longest path.
     """
-    e = checkpoint(edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-
-    def mark(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    seen = mark(e)
-    while seen[0]:
+    sums = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    e, seen = observed(edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), **sums)
+    while seen["n"]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(low, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpoint(small.union(low.select("a", F.col("m").alias("b"))).distinct())
-        seen, before = mark(e), seen
-        if seen == before:
+        old = e
+        e, now = observed(small.union(low.select("a", F.col("m").alias("b"))).distinct(), **sums)
+        drop(old)
+        if now == seen:
             break
+        seen = now
     return vertices.join(e, vertices.id == e.a, "left").select("id", F.coalesce("b", "id").alias("component"))
 
 

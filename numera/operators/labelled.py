@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from numera.operators.graph import checkpoint
+
 HOW = {"INNER": "inner", "OUTER": "full_outer", "LEFT": "left", "RIGHT": "right"}
 
 
@@ -64,24 +66,20 @@ def segmented_min(df: DataFrame, offsets: DataFrame, pos: str, value: str, offse
     return df.join(F.broadcast(seg), (F.col(pos) >= F.col("s")) & (F.col(pos) < F.col("stop"))).groupBy("seg").agg(F.min(value).alias("v"))
 
 
-def numbered(df: DataFrame, keys: Sequence[Column], place: str = "place", parts: int = 64) -> DataFrame:
-    """``df`` with the 0-based place of every row in the ascending order of ``keys`` (not null, unique together).
+def numbered(df: DataFrame, keys: Sequence[Column], place: str = "place", parts: int | None = None) -> DataFrame:
+    """``df`` with the 0-based place of every row in the ascending order of ``keys`` (unique together; nulls first).
 
-    Rows are dealt by ranges between keys of a bounded sample, numbered within
-    their range, and moved on by the sizes of the ranges before.
+    Rows are dealt to ``parts`` ranges (by default as many as shuffles have) and
+    written in order to the shared folder; a row's place is its own in its range,
+    moved on by the sizes of the ranges before, one row each.
     """
-    k = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys)))
-    sample = sorted(tuple(r.k) for r in df.select(k.alias("k"), F.xxhash64(*keys).alias("h")).orderBy("h").limit(parts * 32).collect())
-    bounds = sample[32::32]
-    types = [f.dataType for f in df.select(k.alias("k")).schema["k"].dataType.fields]
-    part = sum((F.when(k >= F.struct(*(F.lit(v).cast(d).alias(f"k{i}") for i, (v, d) in enumerate(zip(b, types)))), 1).otherwise(0) for b in bounds), F.lit(0))
-    dealt = df.withColumn("__part", part)
-    before, at = F.lit(0), 0
-    for r in dealt.groupBy("__part").count().orderBy("__part").collect():
-        before = F.when(F.col("__part") == r[0], F.lit(at)).otherwise(before)
-        at += r[1]
-    row = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return dealt.withColumn(place, (row - 1 + before).cast("long")).drop("__part")
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpoint(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    placed = dealt.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(place))
 
 
 def interpolate(support: DataFrame, queries: DataFrame, x: str, y: str, q: str, by: Sequence[str] = (), kind: str = "linear", outside: str = "null") -> DataFrame:

@@ -243,18 +243,18 @@ def _(t):
 
 # --- graphs ------------------------------------------------------------------------------------------------------
 
-_EDGES = "e AS (SELECT l_orderkey AS a, 1000000000 + l_partkey AS b FROM lineitem WHERE l_quantity > 49)"
+_EDGES = "e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
 
 
 def _order_part(t):
-    e = t.lineitem.where("l_quantity > 49").select(F.col("l_orderkey").alias("src"), (F.lit(1000000000) + F.col("l_partkey")).alias("dst"))
-    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    return v, e
+    e = t.lineitem.select(F.col("l_orderkey").alias("src"), (F.lit(1000000000) + F.col("l_partkey")).alias("dst"))
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
 
 
 @query(
     "k230_connected_components",
-    f"WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id",
+    f"""WITH RECURSIVE {_EDGES}, c(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM u
+ UNION SELECT u.b, min(c.component) FROM c JOIN u ON u.a = c.id JOIN recurring.c r ON r.id = u.b WHERE c.component < r.component GROUP BY u.b) SELECT id, component FROM c""",
 )
 def _(t):
     return graph.components(*_order_part(t))
@@ -270,30 +270,12 @@ def _(t):
     return graph.shortest_paths(e, 0).select("id", "dist")
 
 
-@query("a030_reachability", f"WITH RECURSIVE {_EDGES}, r(id) AS (SELECT min(a) FROM e UNION SELECT u.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) u ON u.a = r.id) SELECT id FROM r")
+@query("a030_reachability", f"WITH RECURSIVE {_EDGES}, r(id) AS (SELECT min(a) FROM e UNION SELECT u.b FROM r JOIN u ON u.a = r.id) SELECT id FROM r")
 def _(t):
     _, e = _order_part(t)
     return graph.reachable(graph.undirected(e), e.agg(F.min("src").alias("id")))
 
 
-def _all_order_part(t):
-    e = t.lineitem.select(F.col("l_orderkey").alias("src"), (F.lit(1000000000) + F.col("l_partkey")).alias("dst"))
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
-
-
-@query("k230_connected_components_whole")
-def _(t):
-    """Over all of lineitem; the recursive SQL carries every label to every vertex, so tests compare with union-find."""
-    return graph.components(*_all_order_part(t))
-
-
-@query("a030_reachability_whole")
-def _(t):
-    """Over all of lineitem; tests compare with union-find."""
-    _, e = _all_order_part(t)
-    return graph.reachable(graph.undirected(e), e.agg(F.min("src").alias("id")))
-
-
 _PT = "p AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, s_nationkey * 4.0 AS y FROM supplier)"
 
 

@@ -143,17 +143,7 @@ def _(t):
     return d.select("event_id", R(mid, 5).alias("v"))
 
 
-@query("w008_autocorrelation", "SELECT k, round(corr(v, w), 6) AS r, abs(corr(v, w)) <= 2 / sqrt(count(*)) AS independent FROM (SELECT k, value AS v, lag(value, CAST(k AS INT)) OVER (PARTITION BY k ORDER BY ts, event_id) AS w FROM events, (SELECT unnest(range(1, 6)) AS k) WHERE user_id % 10 = 3) WHERE w IS NOT NULL GROUP BY k")
-def _(t):
-    e = t.events.where("user_id % 10 = 3").withColumn("g", F.lit(1))
-    w = Window.partitionBy("g").orderBy("ts", "event_id")
-    lags = e.select("value", *(F.lag("value", k).over(w).alias(f"w{k}") for k in range(1, 6)))
-    each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"w{k}").alias("w")) for k in range(1, 6))))
-    r = lags.select("value", each.alias("x")).where("x.w is not null").groupBy(F.col("x.k").alias("k")).agg(F.corr("value", "x.w").alias("r"), F.count(F.lit(1)).alias("n"))
-    return r.select("k", R("r").alias("r"), (F.abs("r") <= 2 / F.sqrt("n")).alias("independent"))
-
-
-@query("w008_autocorrelation_whole", "SELECT k, round(corr(v, w), 6) AS r, abs(corr(v, w)) <= 2 / sqrt(count(*)) AS independent FROM (SELECT k, value AS v, lag(value, CAST(k AS INT)) OVER (PARTITION BY k ORDER BY ts, event_id) AS w FROM events, (SELECT unnest(range(1, 6)) AS k)) WHERE w IS NOT NULL GROUP BY k")
+@query("w008_autocorrelation", "SELECT k, round(corr(v, w), 6) AS r, abs(corr(v, w)) <= 2 / sqrt(count(*)) AS independent FROM (SELECT k, value AS v, lag(value, CAST(k AS INT)) OVER (PARTITION BY k ORDER BY ts, event_id) AS w FROM events, (SELECT unnest(range(1, 6)) AS k)) WHERE w IS NOT NULL GROUP BY k")
 def _(t):
     m = F.unix_micros(F.col("ts").cast("timestamp"))
     e = L.numbered(t.events.select("ts", "event_id", "value"), [m.isNull(), F.coalesce(m, F.lit(0)), F.col("event_id")])
@@ -164,8 +154,9 @@ def _(t):
 
 @query("w010_ecdf", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) / CAST(count(*) OVER () AS DOUBLE) AS f FROM supplier")
 def _(t):
-    n = t.supplier.count()
-    return t.supplier.select("s_suppkey", (F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")) / F.lit(float(n))).alias("f"))
+    at = L.numbered(t.supplier.select("s_suppkey", "s_acctbal"), [F.col("s_acctbal"), F.col("s_suppkey")])
+    n = at.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return at.crossJoin(F.broadcast(n)).select("s_suppkey", ((F.col("place") + 1) / F.col("n").cast("double")).alias("f"))
 
 
 # --- selection ---------------------------------------------------------------------------------------
@@ -242,23 +233,14 @@ def _(t):
 
 # --- interpolation and quadrature ------------------------------------------------------------------------
 
-_SUP = "s AS (SELECT user_id, epoch(ts) AS x, avg(value) AS y FROM events WHERE user_id < 40 GROUP BY 1, 2), q AS (SELECT user_id, min(x) + (max(x) - min(x)) * f AS p FROM s, (VALUES (0.1), (0.5), (0.73)) v(f) GROUP BY user_id, f)"
-
-
 @query(
     "k131_k133_interpolation",
-    f"WITH {_SUP}, n AS (SELECT q.user_id, q.p, (SELECT max(x) FROM s WHERE s.user_id = q.user_id AND x <= p) AS xa, (SELECT min(x) FROM s WHERE s.user_id = q.user_id AND x >= p) AS xb FROM q) SELECT n.user_id, round(p, 2) AS p, round(CASE WHEN xa = xb THEN a.y ELSE a.y + (b.y - a.y) * (p - xa) / (xb - xa) END, 3) AS y, 'APPROXIMATION_OF' AS relation FROM n JOIN s a ON a.user_id = n.user_id AND a.x = xa JOIN s b ON b.user_id = n.user_id AND b.x = xb",
+    """WITH s AS (SELECT user_id, epoch(ts) AS x, avg(value) AS y FROM events GROUP BY 1, 2), q AS (SELECT user_id, min(x) + (max(x) - min(x)) * f AS p FROM s, (VALUES (0.1), (0.5), (0.73)) v(f) GROUP BY user_id, f),
+ a AS (SELECT q.user_id, q.p, s.x AS xa, s.y AS ya FROM q ASOF JOIN s ON s.user_id = q.user_id AND q.p >= s.x), b AS (SELECT a.*, s.x AS xb, s.y AS yb FROM a ASOF JOIN s ON s.user_id = a.user_id AND a.p <= s.x)
+SELECT user_id, round(p, 2) AS p, round(CASE WHEN xa = xb THEN ya ELSE ya + (yb - ya) * (p - xa) / (xb - xa) END, 3) AS y, 'APPROXIMATION_OF' AS relation FROM b""",
 )
 def _(t):
-    s = t.events.where("user_id < 40").groupBy("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("m")).agg(F.avg("value").alias("y")).select("user_id", (F.col("m") / 1e6).alias("x"), "y")
-    f = F.explode(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.73)))
-    q = s.groupBy("user_id").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("f", f).select("user_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("p"))
-    return L.interpolate(s, q, "x", "y", "p", ["user_id"]).select("user_id", R("p", 2).alias("p"), R("y", 3).alias("y"), "relation")
-
-
-@query("k131_k133_interpolation_whole")
-def _(t):
-    """The points of k131_k133_interpolation for every user; correlated SQL subqueries are too slow for that, tests compare with numpy."""
+    """Three points between the events of every user."""
     s = t.events.groupBy("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("m")).agg(F.avg("value").alias("y")).select("user_id", (F.col("m") / 1e6).alias("x"), "y")
     f = F.explode(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.73)))
     q = s.groupBy("user_id").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("f", f).select("user_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("p"))
@@ -418,16 +400,23 @@ def _(t):
     return t.orders.select("o_orderkey", s.try_cast("double").alias("v"))
 
 
-@query("k201_k204_sparse", "SELECT r AS \"row\", c AS col, v, sum(1) OVER (ORDER BY r, c) - 1 AS place FROM (SELECT p_size AS r, p_partkey % 11 AS c, count(*) AS v FROM part WHERE p_size < 6 GROUP BY ALL)")
+@query("k201_k204_sparse", "SELECT r AS \"row\", c AS col, v, sum(1) OVER (ORDER BY r, c) - 1 AS place FROM (SELECT p_size AS r, p_partkey % 11 AS c, count(*) AS v FROM part GROUP BY ALL)")
 def _(t):
-    coo = t.part.where("p_size < 6").groupBy(F.col("p_size").alias("row"), (F.col("p_partkey") % 11).alias("col")).agg(F.count(F.lit(1)).alias("v"))
-    return coo.select("row", "col", "v", (F.row_number().over(Window.orderBy("row", "col")) - 1).cast("long").alias("place"))
+    """The stored values in the order of rows and columns, each with its place."""
+    coo = t.part.groupBy(F.col("p_size").alias("row"), (F.col("p_partkey") % 11).alias("col")).agg(F.count(F.lit(1)).alias("v"))
+    return L.numbered(coo, [F.col("row"), F.col("col")])
 
 
-@query("k201_k204_sparse_whole", "SELECT r AS \"row\", c AS col, v, sum(1) OVER (ORDER BY r, c) - 1 AS place FROM (SELECT p_size AS r, p_partkey % 11 AS c, count(*) AS v FROM part GROUP BY ALL)")
+@query(
+    "k202_k204_row_pointers",
+    """WITH m AS (SELECT p_size AS r, list(DISTINCT p_partkey % 11 ORDER BY p_partkey % 11) AS cols FROM part GROUP BY p_size)
+SELECT r AS \"row\", CAST(sum(len(cols)) OVER (ORDER BY r) - len(cols) AS BIGINT) AS ptr, CAST(sum(len(cols)) OVER (ORDER BY r) AS BIGINT) AS stop, cols FROM m""",
+)
 def _(t):
+    """Compressed rows: where each row's values begin and end among all stored ones, and the columns they stand in."""
     coo = t.part.groupBy(F.col("p_size").alias("row"), (F.col("p_partkey") % 11).alias("col")).agg(F.count(F.lit(1)).alias("v"))
-    return coo.select("row", "col", "v", (F.row_number().over(Window.orderBy("row", "col")) - 1).cast("long").alias("place"))
+    at = L.numbered(coo, [F.col("row"), F.col("col")])
+    return at.groupBy("row").agg(F.min("place").alias("ptr"), (F.max("place") + 1).alias("stop"), F.array_sort(F.collect_list("col")).alias("cols"))
 
 
 @query("k254_quotient_remainder", "SELECT event_id, CAST(floor((event_id - 500) / 7.0) AS BIGINT) AS q, (event_id - 500) - 7 * CAST(floor((event_id - 500) / 7.0) AS BIGINT) AS r FROM events")

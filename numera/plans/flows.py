@@ -219,7 +219,46 @@ def _(t):
     return dependency.output_slice(*_graph(t))
 
 
-@query("a001_illegal_cycles", f"WITH {_GRAPH} SELECT 'UNSUPPORTED_DEPENDENCY_CYCLE' AS code, CAST([] AS VARCHAR[]) AS members FROM nodes WHERE false")
+_CYCLES = """o AS (SELECT o_custkey AS c, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY o_custkey),
+ edges AS (SELECT 'o' || o_orderkey AS source, 'c' || o_custkey AS target, false AS recurs FROM orders UNION ALL SELECT 'c' || c, 'o' || lo, c % 3 = 1 FROM o UNION ALL SELECT 'o' || lo, 'o' || hi, false FROM o WHERE c % 2 = 0 AND lo < hi)"""
+
+
+def _cycles(t):
+    """Orders flow to their customer, who feeds back to the first of them, which on every other customer feeds the last; some feedback recurs, some customers are loops."""
+    tag = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
+    o = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    edge = lambda df, a, b, kind: df.select(F.concat_ws(">", a, b).alias("edge_id"), kind.alias("kind"), a.alias("source"), b.alias("target"), F.lit("value").alias("role"), F.lit("RESOLVED").alias("confidence"))
+    flows = F.lit("VALUE_DEPENDS_ON")
+    edges = edge(t.orders, tag("o", "o_orderkey"), tag("c", "o_custkey"), flows)
+    edges = edges.union(edge(o, tag("c", "o_custkey"), tag("o", "lo"), F.when(F.col("o_custkey") % 3 == 1, dependency.RECURRENCE).otherwise(flows)))
+    edges = edges.union(edge(o.where("o_custkey % 2 = 0 and lo < hi"), tag("o", "lo"), tag("o", "hi"), flows))
+    node = lambda df, i, semantic: df.select(i.alias("id"), semantic.alias("semantic"), F.lit("Pure").alias("effect"), F.lit(None).cast("string").alias("location"))
+    nodes = node(t.orders, tag("o", "o_orderkey"), F.lit("Assignment")).union(node(o, tag("c", "o_custkey"), F.when(F.col("o_custkey") % 3 == 2, "Loop").otherwise("Accumulator")))
+    return nodes, edges
+
+
+@query(
+    "a001_illegal_cycles",
+    f"""WITH RECURSIVE {_CYCLES}, r(x, y) AS (SELECT source, target FROM edges UNION SELECT r.x, e.target FROM r JOIN edges e ON e.source = r.y),
+ m AS (SELECT a.x, a.y FROM r a JOIN r b ON b.x = a.y AND b.y = a.x), g AS (SELECT x AS id, max(y) AS root FROM m GROUP BY x)
+SELECT 'UNSUPPORTED_DEPENDENCY_CYCLE' AS code, list(id ORDER BY id) AS members FROM g GROUP BY root
+HAVING NOT bool_or(id LIKE 'c%' AND CAST(substr(id, 2) AS BIGINT) % 3 = 2) AND NOT bool_or(EXISTS (FROM edges e JOIN g s ON s.id = e.source JOIN g t ON t.id = e.target WHERE e.recurs AND s.root = g.root AND t.root = g.root))""",
+)
+def _(t):
+    return dependency.illegal_cycles(*_cycles(t))
+
+
+@query(
+    "a002_gated_slice",
+    f"""WITH RECURSIVE {_GRAPH}, r(id) AS (SELECT id FROM nodes WHERE semantic = 'Store' UNION SELECT e.source FROM r JOIN edges e ON e.target = r.id) SELECT 'given' AS graph, 'EXPRESSION_EXTRACTION_FAILED' AS status, CAST(0 AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS edges
+UNION ALL SELECT 'customers', 'EXTRACTED', count(*) + count(DISTINCT o_custkey), 2 * count(*) FROM orders JOIN customer ON c_custkey = o_custkey""",
+)
 def _(t):
-    """Edges run from parts and suppliers to lineitems to orders, so there is no cycle; tests compare graphs that have some."""
-    return dependency.illegal_cycles(*_graph(t))
+    """Outputs are sliced only from a graph without faults: the lineitem graph has some, sums of orders per customer have none."""
+    tag = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
+    o = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    node = lambda df, i, semantic: df.select(i.alias("id"), F.lit(semantic).alias("semantic"), F.lit("Pure").alias("effect"), F.lit("total").alias("location"))
+    nodes = node(o, tag("o", "o_orderkey"), "Assignment").union(node(o.select("o_custkey").distinct(), tag("c", "o_custkey"), "Store"))
+    edge = lambda kind: o.select(F.concat_ws(">", tag("o", "o_orderkey"), F.lit(kind)).alias("edge_id"), F.lit(kind).alias("kind"), tag("o", "o_orderkey").alias("source"), tag("c", "o_custkey").alias("target"), F.lit("value").alias("role"), F.lit("RESOLVED").alias("confidence"))
+    said = lambda name, g: dependency.slice_summary(*g).select(F.lit(name).alias("graph"), "status", "nodes", "edges")
+    return said("given", _graph(t)).unionByName(said("customers", (nodes, edge("WRITES").union(edge("VALUE_DEPENDS_ON")))))

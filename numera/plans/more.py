@@ -24,23 +24,14 @@ def _(t):
 @query(
     "n038_type_promotion",
     """
-WITH t(name, weak, kind, bits, signed) AS (VALUES ('bool', 0, 0, 1, 0), ('int8', 0, 1, 8, 1), ('int16', 0, 1, 16, 1), ('int32', 0, 1, 32, 1), ('int64', 0, 1, 64, 1),
-  ('uint8', 0, 1, 8, 0), ('uint16', 0, 1, 16, 0), ('uint32', 0, 1, 32, 0), ('uint64', 0, 1, 64, 0), ('float16', 0, 2, 16, 1), ('float32', 0, 2, 32, 1), ('float64', 0, 2, 64, 1),
-  ('complex64', 0, 3, 64, 1), ('complex128', 0, 3, 128, 1), ('python.int', 1, 1, 0, 1), ('python.float', 1, 2, 0, 1), ('python.complex', 1, 3, 0, 1)),
- p AS (SELECT x.name AS a, y.name AS b, x.weak AS wx, y.weak AS wy, x.kind AS kx, y.kind AS ky, x.bits AS nx, y.bits AS ny, x.signed AS sx, y.signed AS sy,
-  CASE WHEN x.kind = 3 THEN x.bits ELSE 2 * x.bits END AS cx, CASE WHEN y.kind = 3 THEN y.bits ELSE 2 * y.bits END AS cy,
-  CASE WHEN x.weak = 1 THEN y.name ELSE x.name END AS c, CASE WHEN x.weak = 1 THEN y.kind ELSE x.kind END AS kc, CASE WHEN x.weak = 1 THEN y.bits ELSE x.bits END AS nc,
-  CASE WHEN x.weak = 1 THEN x.kind ELSE y.kind END AS kw FROM t x, t y)
-SELECT a, b, CASE
-  WHEN wx = 1 AND wy = 1 THEN CASE WHEN kx >= ky THEN a ELSE b END
-  WHEN wx + wy = 1 THEN CASE WHEN kw <= kc OR kw = 1 THEN c WHEN kw = 2 THEN 'float64' WHEN nc <= 32 THEN 'complex64' ELSE 'complex128' END
-  WHEN a = 'bool' THEN b WHEN b = 'bool' THEN a
-  WHEN kx = 3 OR ky = 3 THEN CASE WHEN greatest(cx, cy) > 64 THEN 'complex128' ELSE 'complex64' END
-  WHEN kx = 2 OR ky = 2 THEN CASE WHEN greatest(nx, ny) > 32 THEN 'float64' WHEN greatest(nx, ny) > 16 THEN 'float32' ELSE 'float16' END
-  WHEN sx = sy THEN CASE WHEN nx >= ny THEN a ELSE b END
-  WHEN sx = 1 AND nx > ny THEN a WHEN sy = 1 AND ny > nx THEN b
-  ELSE CASE CASE WHEN sx = 0 THEN nx ELSE ny END WHEN 8 THEN 'int16' WHEN 16 THEN 'int32' WHEN 32 THEN 'int64' ELSE 'float64' END END AS result
-FROM p""",
+WITH t(name, weak, cls, w, sg) AS (VALUES ('bool', false, 0, 1, 0), ('int8', false, 1, 8, 1), ('int16', false, 1, 16, 1), ('int32', false, 1, 32, 1), ('int64', false, 1, 64, 1),
+  ('uint8', false, 1, 8, 0), ('uint16', false, 1, 16, 0), ('uint32', false, 1, 32, 0), ('uint64', false, 1, 64, 0), ('float16', false, 2, 16, 1), ('float32', false, 2, 32, 1), ('float64', false, 2, 64, 1),
+  ('complex64', false, 3, 32, 1), ('complex128', false, 3, 64, 1), ('python.int', true, 1, 0, 1), ('python.float', true, 2, 0, 1), ('python.complex', true, 3, 0, 1)),
+ -- what a type asks of one that is to hold it beside another: a class, a width of each component, a sign; a Python int asks for nothing, a Python float beside whole numbers for a whole double
+ need AS (SELECT x.name AS a, y.name AS b, x.weak AND y.weak AS weak, x.sg, x.cls = 1 AND NOT x.weak AS whole, x.w AS width,
+  CASE WHEN x.weak AND NOT y.weak AND x.cls = 1 THEN 0 ELSE x.cls END AS cls, CASE WHEN x.weak AND NOT y.weak AND x.cls = 2 AND y.cls < 2 THEN 64 ELSE x.w END AS w FROM t x, t y),
+ holds AS (SELECT n.a, n.b, c.name, c.cls, c.w FROM need n JOIN t c ON c.weak = n.weak AND c.cls >= n.cls AND c.w >= n.w AND (c.cls <> 1 OR NOT n.whole OR c.sg = n.sg OR (c.sg = 1 AND c.w > n.width)))
+SELECT x.a, x.b, x.name AS result FROM holds x JOIN holds y ON y.a = x.b AND y.b = x.a AND y.name = x.name QUALIFY row_number() OVER (PARTITION BY x.a, x.b ORDER BY x.cls, x.w, x.name) = 1""",
 )
 def _(t):
     """The promotion of every pair of types."""

@@ -262,17 +262,10 @@ def _(t):
 @query("k037_k042_assign_rename_index", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_suppkey AS k, s_acctbal * 2 AS twice FROM supplier")
 def _(t):
     d = t.supplier.withColumns({"twice": F.col("s_acctbal") * 2}).withColumnsRenamed({"s_suppkey": "k"})
-    return d.select((F.row_number().over(Window.orderBy("k")) - 1).cast("long").alias("pos"), "k", "twice")
+    return L.numbered(d.select("k", "twice"), [F.col("k")], "pos")
 
 
-@query("k041_sort_values", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders QUALIFY place <= 50")
-def _(t):
-    # a limit over an order is a top-k per partition and one merge; the place is then numbered over k rows
-    top = t.orders.orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").limit(50)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey")).cast("long").alias("place"))
-
-
-@query("k041_sort_values_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
+@query("k041_sort_values", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
 def _(t):
     p = F.col("o_totalprice")
     return L.numbered(t.orders.select("o_orderkey", "o_totalprice"), [p.isNull(), F.coalesce(-p, F.lit(0)), F.col("o_orderkey")]).select("o_orderkey", (F.col("place") + 1).alias("place"))

@@ -1,4 +1,4 @@
-"""Queries over whole tables, whose older counterparts are held to a part by their SQL."""
+"""Queries over whole tables against numpy and union-find, beside their SQL."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ def test_interpolation_of_every_user(spark):
         q = np.array([x[0] + (x[-1] - x[0]) * f for f in (0.1, 0.5, 0.73)])
         want[u] = sorted(zip(q, np.interp(q, x, y)))
     got = {}
-    for r in run(spark, "k131_k133_interpolation_whole").collect():
+    for r in run(spark, "k131_k133_interpolation").collect():
         got.setdefault(r.user_id, []).append((r.p, r.y))
         assert r.relation == "APPROXIMATION_OF"
     assert got.keys() == want.keys() and max(got) >= 40
@@ -33,7 +33,7 @@ def test_interpolation_of_every_user(spark):
 
 def test_autocorrelation_of_all_events(spark):
     v = np.array([x for (x,) in connect(WHERE).sql("select value from events order by ts, event_id").fetchall()], float)
-    got = {r.k: (r.r, r.independent) for r in run(spark, "w008_autocorrelation_whole").collect()}
+    got = {r.k: (r.r, r.independent) for r in run(spark, "w008_autocorrelation").collect()}
     for k in range(1, 6):
         r = np.corrcoef(v[k:], v[:-k])[0, 1]
         assert abs(got[k][0] - r) < 2e-6 and got[k][1] == (abs(r) <= 2 / np.sqrt(len(v) - k))
@@ -52,7 +52,7 @@ def test_places_by_ranges(spark):
 
 def test_every_order_has_its_place(spark):
     keys = [k for (k,) in connect(WHERE).sql("select o_orderkey from orders order by o_totalprice desc nulls last, o_orderkey").fetchall()]
-    assert {r.o_orderkey: r.place for r in run(spark, "k041_sort_values_whole").collect()} == {k: i + 1 for i, k in enumerate(keys)} and len(keys) > 50
+    assert {r.o_orderkey: r.place for r in run(spark, "k041_sort_values").collect()} == {k: i + 1 for i, k in enumerate(keys)} and len(keys) > 50
 
 
 def test_graph_of_all_lineitem(spark):
@@ -68,15 +68,15 @@ def test_graph_of_all_lineitem(spark):
     for a, b in edges:
         a, b = sorted((root(a), root(b)))
         up[b] = a
-    got = {r.id: r.component for r in run(spark, "k230_connected_components_whole").collect()}
+    got = {r.id: r.component for r in run(spark, "k230_connected_components").collect()}
     assert got == {x: root(x) for x in up}
     low = min(a for a, _ in edges)
-    assert {r.id for r in run(spark, "a030_reachability_whole").collect()} == {x for x in up if root(x) == root(low)}
+    assert {r.id for r in run(spark, "a030_reachability").collect()} == {x for x in up if root(x) == root(low)}
 
 
 def test_sparse_matrix_of_all_parts(spark):
     con = connect(WHERE)
     rows = con.sql("select p_size, p_partkey % 11, count(*) from part group by all order by 1, 2").fetchall()
-    got = run(spark, "k201_k204_sparse_whole").collect()
+    got = run(spark, "k201_k204_sparse").collect()
     assert sorted((r.place, r.row, r.col, r.v) for r in got) == [(i, *r) for i, r in enumerate(rows)]
     assert sum(r.v for r in got) == con.sql("select count(*) from part").fetchall()[0][0] and max(r.row for r in got) >= 6
