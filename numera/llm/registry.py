@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numera.llm.common import table
+from numera.llm.common import dealt, table
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +19,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from numera.llm import bpe
 
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_digests(dealt(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from numera.llm import html
 
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(dealt(table(spark, sf_dir, "pages")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from numera.llm import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(dealt(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from numera.llm import pii
 
-    found = pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(dealt(table(spark, sf_dir, "documents")))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start, x.stop)), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x.kind == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
@@ -69,7 +69,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from numera.llm import toxicity
 
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(dealt(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
@@ -83,7 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from numera.llm import variants
 
-    return variants.spelling_forms(table(spark, sf_dir, "documents"), rewrite=variants.damaged)
+    return variants.spelling_forms(dealt(table(spark, sf_dir, "documents")), rewrite=variants.damaged)
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from numera.llm import periodic
 
-    found = periodic.runs_and_rest(table(spark, sf_dir, "documents"), rewrite=periodic.planted)
+    found = periodic.runs_and_rest(dealt(table(spark, sf_dir, "documents")), rewrite=periodic.planted)
     # exact order of length/period by cross products: the later run wins only if it is strictly longer, runs being in order
     best = F.expr("reduce(runs, get(runs, 0), (a, r) -> if(r.length * a.period > a.length * r.period, r, a))")
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")

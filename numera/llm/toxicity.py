@@ -4,8 +4,10 @@ A word enters as a vector of word inputs (how much its presence speaks for the
 label, from counts over the training documents), character inputs (the same for
 its prefixes, suffixes and inner n-grams) and learned embeddings of the hashed
 word and of its hashed n-grams.  The network reads windows of ``WINDOW`` words
-in both directions, attention pools the states, and a logistic layer scores the
-window; a document's score comes from the highest of all its overlapping
+in both directions, attention pools the states and the evidence of the words, and
+a logistic layer on both scores the window; the weights of the evidence start at
+one and are drawn back there, so that few labelled documents still make a usable
+score; a document's score comes from the highest of all its overlapping
 windows, calibrated on the training documents.  Forward and backward passes are
 numpy.
 
@@ -33,6 +35,10 @@ HIDDEN, EMBED, BUCKETS = 8, 4, 4096
 STATS = 4
 #: Times that the windows to learn from are chosen anew.
 TURNS = 3
+#: Step of training, and weight decay: ``DECAY`` over the number of documents of label 1, evidence weights being drawn to their start.
+RATE, DECAY, MOST_DECAY = 0.01, 3.0, 0.1
+#: A missed document of label 1 counts as so many false alarms in the calibration.
+MISSED = 2.0
 DIM = STATS + 2 * EMBED
 #: Words whose rows are kept; the table starts anew beyond.
 MEMO = 150_000
@@ -201,7 +207,9 @@ class Network:
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
         g = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"ew": g(BUCKETS, EMBED) * 3, "ec": g(BUCKETS, EMBED) * 3, "v": g(2 * HIDDEN, HIDDEN), "a": g(HIDDEN, 1)[:, 0], "o": g(2 * HIDDEN, 1)[:, 0], "ob": np.zeros(1, np.float32)}
+        self.p = {"ew": g(BUCKETS, EMBED) * 3, "ec": g(BUCKETS, EMBED) * 3, "v": g(2 * HIDDEN, HIDDEN), "a": g(HIDDEN, 1)[:, 0], "o": g(2 * HIDDEN, 1)[:, 0], "ob": np.full(1, -2, np.float32)}
+        # what speaks for the label draws attention and counts, until training says more
+        self.p |= {"ae": np.array([1, 1, 1, 0], np.float32), "oe": np.array([1, 1, 1, 0], np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": g(DIM, 3 * HIDDEN), f"u{d}": g(HIDDEN, 2 * HIDDEN), f"n{d}": g(HIDDEN, HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
@@ -223,20 +231,20 @@ class Network:
             out[t] = state
         return out, trace
 
-    def attend(self, hs: np.ndarray, mask: np.ndarray):
-        """Logits, and what the backward pass needs; ``hs`` is (T, B, 2H)."""
+    def attend(self, hs: np.ndarray, ev: np.ndarray, mask: np.ndarray):
+        """Logits, and what the backward pass needs; ``hs`` is (T, B, 2H), ``ev`` (T, B, STATS) the words' evidence, pooled by the same attention."""
         p = self.p
         e = np.tanh(hs @ p["v"])
-        s = np.where(mask > 0, e @ p["a"], -1e9)
+        s = np.where(mask > 0, e @ p["a"] + ev @ p["ae"], -1e9)
         w = np.exp(s - s.max(axis=0)) * mask
         w /= np.maximum(w.sum(axis=0), 1e-9)
-        pool = (w[:, :, None] * hs).sum(axis=0)
-        return pool @ p["o"] + p["ob"][0], e, w, pool
+        pool, seen = (w[:, :, None] * hs).sum(axis=0), (w[:, :, None] * ev).sum(axis=0)
+        return pool @ p["o"] + seen @ p["oe"] + p["ob"][0], e, w, pool, seen
 
-    def logits(self, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    def logits(self, xf: np.ndarray, xb: np.ndarray, ev: np.ndarray, mask: np.ndarray) -> np.ndarray:
         hf, _ = self.direction(xf, mask, "f", False)
         hb, _ = self.direction(xb, mask, "b", False)
-        return self.attend(np.concatenate([hf, hb], axis=2), mask)[0]
+        return self.attend(np.concatenate([hf, hb], axis=2), ev, mask)[0]
 
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
         """Gradients of the logistic loss over windows ``x`` (T, B, DIM), and of ``x`` itself."""
@@ -244,15 +252,16 @@ class Network:
         xw = {d: x @ p[f"w{d}"] + p[f"c{d}"] for d in "fb"}
         hs, traces = zip(*(self.direction(xw[d], mask, d, True) for d in "fb"))
         both = np.concatenate(hs, axis=2)
-        logit, e, w, pool = self.attend(both, mask)
+        ev = x[:, :, :STATS]
+        logit, e, w, pool, seen = self.attend(both, ev, mask)
         prob = _sig(logit)
         dl = ((prob - y) / len(y)).astype(np.float32)
-        g = {"o": pool.T @ dl, "ob": np.array([dl.sum()], np.float32)}
+        g = {"o": pool.T @ dl, "oe": seen.T @ dl, "ob": np.array([dl.sum()], np.float32)}
         dpool = dl[:, None] * p["o"]
-        dw = (both * dpool[None]).sum(axis=2)
+        dw = (both * dpool[None]).sum(axis=2) + (ev @ p["oe"]) * dl
         dboth = w[:, :, None] * dpool[None]
         ds = w * (dw - (w * dw).sum(axis=0))
-        g["a"] = np.einsum("tb,tbh->h", ds, e)
+        g["a"], g["ae"] = np.einsum("tb,tbh->h", ds, e), np.einsum("tb,tbs->s", ds, ev)
         de = ds[:, :, None] * p["a"] * (1 - e * e)
         g["v"] = np.einsum("tbi,tbh->ih", both, de)
         dboth += de @ p["v"].T
@@ -303,6 +312,7 @@ class Model:
         self.row: dict[str, int] = {}
         self.key_row: dict[str, int] = {}
         self.table = np.zeros((2, 1 << 14, 3 * HIDDEN), np.float32)
+        self.seen = np.zeros((1 << 14, STATS), np.float32)
         if not hasattr(self, "gram_row"):
             word_z, self.gram_z = self.stats.evidence()
             self.word_z = np.append(word_z, np.float32(0))
@@ -347,9 +357,11 @@ class Model:
                 n = len(at)
                 while n + len(made) > self.table.shape[1]:
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+                    self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
                 x, p = self.vectors(made), self.net.p
                 for k, d in enumerate("fb"):
                     self.table[k, n : n + len(made)] = x @ p[f"w{d}"] + p[f"c{d}"]
+                self.seen[n : n + len(made)] = x[:, :STATS]
                 at.update(zip(made, range(n, n + len(made))))
             row.update(zip(new, map(at.__getitem__, keys)))
         return np.fromiter(map(row.__getitem__, words), np.int64, len(words))
@@ -388,7 +400,7 @@ class Model:
             pos = start[s : s + 2048][None, :] + np.arange(WINDOW)[:, None]
             mask = (pos < end[s : s + 2048][None, :]).astype(np.float32)
             own = rows[np.minimum(pos, len(rows) - 1)]
-            logit = self.net.logits(self.table[0][own], self.table[1][own], mask)
+            logit = self.net.logits(self.table[0][own], self.table[1][own], self.seen[own], mask)
             np.maximum.at(best, doc[s : s + 2048], logit)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -498,7 +510,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
                 at_word = (base[win_doc[own]] + win_start[own])[None, :] + np.arange(WINDOW)[:, None]
                 mask = at_word < base[win_doc[own] + 1][None, :]
                 word = joined[np.minimum(at_word, len(joined) - 1)]
-                out[own] = net.logits(proj[y][0][word], proj[y][1][word], mask.astype(np.float32))
+                out[own] = net.logits(proj[y][0][word], proj[y][1][word], stat[y][word], mask.astype(np.float32))
         return out
 
     def projected() -> list:
@@ -507,6 +519,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
 
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     t, batch = 0, 256
+    rest, decay = {k: net.p[k].copy() for k in ("ae", "oe")}, min(MOST_DECAY, DECAY / stats.n[1])
     for turn in range(TURNS):
         # windows to learn from: the likeliest of a document, by the words at first, then by the network;
         # of documents of label 0 several, as none of theirs may pass
@@ -546,7 +559,8 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
                     m1, m2 = moment[k]
                     m1 += 0.1 * (g[k] - m1)
                     m2 += 0.001 * (g[k] ** 2 - m2)
-                    v -= (0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                    pull = 0 if k == "ob" else decay * (v - rest.get(k, 0))
+                    v -= (RATE * ((m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8) + pull)).astype(np.float32)
     # calibration over the whole training documents, each without itself in the statistics
     best = np.full(len(pos), -np.inf)
     np.maximum.at(best, win_doc, logits(projected()))
@@ -554,7 +568,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 15, seed: int = 5) -
     mid, spread = best.mean(), best.std() + 1e-6
     u, a, b = (best - mid) / spread, 1.0, 0.0
     for _ in range(400):
-        e = _sig(a * u + b) - y
+        e = (_sig(a * u + b) - y) * np.where(y > 0, MISSED, 1.0)
         a, b = a - 1.0 * ((e * u).mean() + 1e-3 * a), b - 1.0 * e.mean()
     return Model(stats, net, float(a / spread), float(b - a * mid / spread), float(np.median(best[y == 0])))
 
@@ -582,7 +596,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; a null text is empty.  Extra columns are not read."""
+    """(doc_id, score) of every whole text, a row for each row.
+
+    A null text is empty; equal texts score alike, whatever their ids; null and
+    repeated ids stay as they are; extra columns are not read, whatever their
+    names; an empty table gives an empty one.
+    """
     # the counts come from the bounded sample, so the size is bounded too
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -595,7 +614,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` whose whole text scores below ``cut``, with all their columns."""
+    """The rows of ``docs`` whose whole text scores below ``cut``, with all their columns; repeated rows stay or go together, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -209,6 +209,21 @@ def test_toxicity_held_out(spark):
     assert len(toxic) > 100 and np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.02
 
 
+def rank_quality(score, y):
+    """The share of pairs of different labels that the scores put in order, ties half."""
+    a, b = (np.array([s for s, t in zip(score, y) if t == k]) for k in (1, 0))
+    return ((a[:, None] > b).sum() + (a[:, None] == b).sum() / 2) / (len(a) * len(b))
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.85), ("sf0.1", 0.95)])
+def test_toxicity_ranks_held_out(spark, sf, least):
+    """The scores tell labels apart in documents kept from training, where many are labelled and where 33 toxic ones are."""
+    lab = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").join(lab.select("doc_id", "toxic"), "doc_id").repartition(8)
+    got = toxicity.score(docs.where(toxicity.held_out(F.col("doc_id"))), toxicity.fit(docs.drop("toxic"), lab)).join(lab, "doc_id").collect()
+    assert rank_quality([r.score for r in got], [r.toxic for r in got]) >= least
+
+
 def test_simhash(spark, where, rows):
     want = {i: None for i, _ in rows}
     fps = [(i, slow_fingerprint(t)) for i, t in rows]

@@ -520,7 +520,7 @@ def test_gradients():
     y = np.array([1.0, 0, 1, 0])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     g, dx, _ = net.step(x, mask, y)
-    for k in ("wf", "ub", "nf", "v", "a", "o", "cb"):
+    for k in ("wf", "ub", "nf", "v", "a", "o", "cb", "ae", "oe"):
         at = tuple(r.integers(0, s) for s in net.p[k].shape)
         old, h, loss = net.p[k][at], 1e-4, []
         for d in (h, -h):
