@@ -297,32 +297,6 @@ def _(t):
     return t.embeddings.select("vec_id", R(F.sqrt(add(lambda x: x * x)), 5).alias("l2"), R(add(F.abs), 5).alias("l1"), R(F.array_max(F.transform(d, F.abs)), 5).alias("linf"))
 
 
-@query("k138_k140_small_dense")
-def _(t):
-    """Per label: extreme eigenvalues of the second-moment matrix of the first three components, and a solved system."""
-    import numpy as np
-    import pandas as pd
-
-    e = t.embeddings.select("label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)))
-    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    m = e.groupBy("label").agg(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}{j}") for i, j in pairs))
-
-    def solve(batches):
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                a = np.zeros((3, 3))
-                for i, j in pairs:
-                    a[i, j] = a[j, i] = getattr(r, f"m{i}{j}")
-                a += np.eye(3) * 1e-9
-                x = np.linalg.solve(a, np.ones(3))
-                w = np.linalg.eigh(a)[0]
-                rows.append((r.label, float(w[0]), float(w[-1]), float(np.linalg.svd(a)[1][0]), float(np.abs(a @ x - 1).max())))
-            yield pd.DataFrame(rows, columns=["label", "eig_min", "eig_max", "singular_max", "residual"])
-
-    return m.mapInPandas(solve, "label int, eig_min double, eig_max double, singular_max double, residual double")
-
-
 # --- shapes --------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from numera.plans import analyses, arrays, flows, more, programs, semantics, tables  # noqa: F401  importing registers
+from numera.plans import analyses, arrays, flows, more, numerics, programs, semantics, tables  # noqa: F401  importing registers
 from numera.plans.catalog import QUERIES, SQL
 
 
