@@ -43,9 +43,14 @@ WORDS = {
 }
 GROUP = {w: g for g, ws in WORDS.items() for w in ws.split()}
 FEATURES = ["bias", *(f"tag_{t}" for t in TAGS), "tag_other", *(f"word_{g}" for g in WORDS), "hidden", "no_text", "short", "long", "links", "some_links", "in_article", "in_body", "in_other"]
+#: What the text itself and its surroundings say, whatever names a page uses.
+FEATURES += ["sentence", "no_sentence", "in_prose", "prose_beside", "heading_beside", "parent_links", "most_text", "no_marks", "own_marks", "before_all", "behind_all"]
 AT = {f: i for i, f in enumerate(FEATURES)}
 #: Elements whose descendants are marked as lying inside something other than the article.
 OTHER_TAGS = frozenset("nav footer aside form head".split())
+#: The stop of a sentence.
+STOP = re.compile("[.!?\u2026\u3002][\"')\u201d\u00bb]*(?=\\s|$)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OTHER_MARKS = frozenset(AT[f"word_{g}"] for g in ("chrome", "side", "notice", "advert", "form", "comment", "share")) | {AT["hidden"]}
 
 
@@ -246,6 +251,38 @@ def features(page: Page) -> np.ndarray:
     x[:, AT["in_article"]] = inside
     x[:, AT["in_body"]] = body
     x[:, AT["in_other"]] = other
+    # sentences, and where the prose of the page lies: plain text outside anything marked as something else
+    says = np.zeros(n, bool)
+    for node, pieces in page.blocks:
+        t = "".join(pieces).strip()
+        says[node] |= " " in t and bool(STOP.search(t))
+    parent = np.array(page.parent)
+    kid = np.flatnonzero(parent >= 0)
+    apart = np.array(other) | np.array([page.tag[i] in OTHER_TAGS or not OTHER_MARKS.isdisjoint(marks[i]) for i in range(n)], bool)
+    plain = np.where(apart, 0, text - linked)
+    prose = np.where(says, plain, 0)
+    within = prose.copy()
+    for i in range(n - 1, 0, -1):
+        within[parent[i]] += within[i]
+    whole = max(within[0], 1.0)
+    beside, heads = np.zeros(n), np.zeros(n)
+    np.add.at(beside, parent[kid], prose[kid])
+    np.add.at(heads, parent[kid], [page.tag[k] in HEADINGS for k in kid])
+    x[:, AT["sentence"]] = says & (ratio <= 0.6)
+    x[:, AT["no_sentence"]] = (text > 0) & ~says
+    x[:, AT["most_text"]] = within > 0.5 * whole
+    x[kid, AT["in_prose"]] = within[parent[kid]] > 0.3 * whole
+    x[kid, AT["prose_beside"]] = beside[parent[kid]] - prose[kid] > 0.15 * whole
+    x[kid, AT["heading_beside"]] = heads[parent[kid]] > 0
+    x[kid, AT["parent_links"]] = (ratio[parent[kid]] > 0.5) & (total[parent[kid]] > 0)
+    x[:, AT["no_marks"]] = ~np.array([bool(m) for m in marks], bool)
+    x[:, AT["own_marks"]] = apart & ~np.array(other)
+    # before the first prose of the page, and behind the last
+    first = np.flatnonzero((prose > 0.02 * whole) & says)
+    if len(first):
+        at = np.arange(n)
+        x[:, AT["before_all"]] = at < first[0]
+        x[:, AT["behind_all"]] = at > first[-1]
     return x
 
 
@@ -255,7 +292,8 @@ def marginals(parent: np.ndarray, depth: np.ndarray, unary: np.ndarray, pair: np
     ``unary`` is n x 2 and ``pair`` is 2 x 2 (parent, child), all in logs.
     """
     n = len(parent)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1) if n else []
     inner = unary.copy()
     up = np.zeros((n, 2))  # message of a node to its parent
     for own in reversed(levels[1:]):
@@ -286,7 +324,7 @@ def _forest(pages: list[Page]):
     return base, parent, depth, x
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[str]]]:
+def labelled_pages(count: int = 320, seed: int = 11) -> list[tuple[str, list[str]]]:
     """The small table of labelled pages: (html, the text blocks that are content)."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
@@ -294,6 +332,8 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[str
     pages = []
     for _ in range(count):
         good: list[str] = []
+        bare = rng.random() < 0.45  # a page whose names say nothing
+        name = lambda: rng.choice(["", f" class={word()}", f" id={word()}", f' class="{word()} c{rng.randint(1, 99)}"', " class=top", " class=txt", " class=col", " class=box", " style='margin:0'"]) if bare else ""  # noqa: E731,B023
 
         def keep(tag: str, a: int, b: int) -> str:
             t = say(a, b)
@@ -304,7 +344,11 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[str
             return f"<{tag}>{t}{link}</{tag}>"
 
         menu = lambda c: f'<{c}><ul>{"".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(rng.randint(3, 9)))}</ul></{c.split()[0]}>'
-        before = [menu(rng.choice(["nav", "div class=menu", 'div id="navbar"', "nav class=breadcrumb"]))]
+        before = [menu(f"div{name()}" if bare else rng.choice(["nav", "div class=menu", 'div id="navbar"', "nav class=breadcrumb"]))]
+        if bare and rng.random() < 0.5:
+            before.append(f"<div{name()}>" + " | ".join(f"<a href=/{word()}>{word()}</a>" for _ in range(rng.randint(2, 7))) + "</div>")
+        if bare and rng.random() < 0.3:
+            before.append(f"<div{name()}>{word().capitalize()} {word()}</div>")
         if rng.random() < 0.5:
             before.append(f'<header class="site-header"><h2>{say(1, 3)}</h2><p>{say(3, 8)}</p></header>')
         if rng.random() < 0.6:
@@ -336,13 +380,25 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[str
                 body.append(f"<aside><p>{say(4, 40)}</p></aside>")
             elif r < 0.97:
                 body.append(f"<section>{keep('h3', 1, 5)}{keep('p', 3, 50)}</section>")
+            elif r < 0.98:
+                body.append(f'<div class="{rng.choice(["related-content", "related-posts box", "share-links", "read-more related", "newsletter-signup content"])}"><h3>{say(1, 4)}</h3><p>{say(3, 30)}</p></div>')
             else:
                 body.append(f"<form><p>{say(2, 12)}</p><label>{say(1, 3)}</label><input></form>")
+        if rng.random() < 0.15:
+            body.append("<dl>" + "".join(keep("dt", 1, 3) + keep("dd", 2, 20) for _ in range(2)) + "</dl>")
+        if rng.random() < 0.15:
+            body.append("<figure><img src=x>" + keep("figcaption", 2, 12) + "</figure>")
+        if rng.random() < 0.1:
+            body.append("<pre>" + (code := word() + " " + word()) + "</pre>")
+            good.append(code)
         comments = ""
         if rng.random() < 0.5:
             c = rng.choice(['section class="comments"', 'div id="comments"', 'div class="reader-comments"', 'ol class="comment-list"', "div id=disqus_thread"])
             comments = f'<{c}><h3>{say(1, 3)}</h3>' + "".join(f'<div class="{rng.choice(["comment", "reply", "c"])}"><p>{say(3, 70)}</p></div>' for _ in range(rng.randint(1, 4))) + f"</{c.split()[0]}>"
         wrap = rng.choice(["article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post entry"', "main><article"])
+        if bare:
+            wrap = rng.choice(["div", "div", "div><div", "section", "div><div><div", "center"])
+            wrap = "><".join(w + name() for w in wrap.split("><"))
         inside = rng.random() < 0.4
         close = "".join(f"</{w.split()[0]}>" for w in reversed(wrap.split("><")))
         main = f"<{wrap}>" + "".join(body) + (comments if inside else "") + close
@@ -353,7 +409,15 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[str
             after.append(f'<form class="{rng.choice(["search", "signup", "login"])}"><p>{say(2, 20)}</p><input type=text></form>')
         if rng.random() < 0.85:
             after.append(rng.choice([f"<footer>{say(3, 15)}</footer>", f"<footer><p>{say(3, 20)}</p></footer>", f'<div class="footer">{say(2, 12)}</div>']))
-        pages.append(("<html><head><title>x</title></head><body>" + "".join(before) + main + "".join(after) + "</body></html>", good))
+        if bare and rng.random() < 0.6:
+            after.append(f"<div{name()}>" + " ".join(f"<a href=/{word()}>{word()}</a>" for _ in range(rng.randint(2, 5))) + f" {word().capitalize()} 2{rng.randint(100, 999)}</div>")
+        left, right = "".join(before), "".join(after)
+        if bare and rng.random() < 0.3:  # laid out in a table
+            rows = [f"<tr><td colspan=2>{before[0]}</td></tr>", f"<tr><td{name()}>{menu('div')}</td><td{name()}>{main if rng.random() < 0.5 else ''.join(body) + (comments if inside else '')}</td></tr>", f"<tr><td colspan=2>{right}</td></tr>"]
+            left, main, right = "".join(before[1:]), f"<table{name()}>" + "".join(rows) + "</table>", ""
+        if bare and rng.random() < 0.4:
+            left, right = f"<div{name()}>{left}", f"{right}</div>"
+        pages.append(("<html><head><title>x</title></head><body>" + left + main + right + "</body></html>", good))
     return pages
 
 
@@ -362,7 +426,7 @@ def _clean(pieces: list[str]) -> str:
 
 
 @lru_cache(maxsize=1)
-def train(count: int = 240, seed: int = 11, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(count: int = 320, seed: int = 11, steps: int = 250, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features,) and pair potentials (2, 2), by gradient ascent on the likelihood of the labelled pages."""
     pages, target = [], []
     for source, good in labelled_pages(count, seed):
