@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from numera.operators import numerics
+from numera.operators import numerics, overlay
 from numera.plans.catalog import query
 
 R = lambda c, d=6: F.round(c, d)
@@ -81,3 +82,35 @@ def _(t):
         one = numerics.flat_clusters(points, numerics.linkage(pairs, m), 400.0).select(F.lit(m).alias("method"), "id", "cluster")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_BOXES = "r AS (SELECT c_nationkey AS g, c_acctbal / 100 AS x, c_custkey % 53 * 1.7 AS y, 2.0 + c_custkey % 7 AS w, 1.0 + c_custkey % 5 AS h FROM customer)"
+
+
+def _boxes(t):
+    x, y, w, h = F.col("c_acctbal") / 100, F.col("c_custkey") % 53 * 1.7, F.lit(2.0) + F.col("c_custkey") % 7, F.lit(1.0) + F.col("c_custkey") % 5
+    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return t.customer.select(F.col("c_nationkey").alias("group"), F.col("c_custkey").alias("poly"), F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)).alias("ring"))
+
+
+@query(
+    "k247_polygon_union",
+    f"""WITH {_BOXES}, s AS (SELECT g, v AS a, lead(v) OVER (PARTITION BY g ORDER BY v) AS b FROM (SELECT DISTINCT g, unnest([x, x + w]) AS v FROM r)),
+ i AS (SELECT s.g, a, b, y AS lo, y + h AS hi FROM s JOIN r ON r.g = s.g AND r.x <= a AND r.x + w >= b WHERE b IS NOT NULL),
+ m AS (SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY g, a ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM i), k AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY g, a ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM m)
+SELECT g AS "group", round(sum((b - a) * (hi - lo)), 5) AS area FROM (SELECT g, a, b, isle, min(lo) AS lo, max(hi) AS hi FROM k GROUP BY ALL) GROUP BY g""",
+)
+def _(t):
+    """The area each nation's customers cover as boxes; SQL adds up slabs, the boundary is what is left of cut sides here."""
+    m = overlay.union_measures(overlay.union_boundary(_boxes(t), 8.0))
+    return m.select("group", R("area", 5).alias("area"))
+
+
+@query("k249_buffer_union")
+def _(t):
+    """Area, length and rings of the union of buffers around segments between suppliers of a nation; tests hold unions against point sampling."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = t.supplier.select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("poly"), (F.col("s_acctbal") / 100).alias("x1"), (F.col("s_suppkey") % 40 * 1.0).alias("y1"), F.coalesce(F.lead(F.col("s_acctbal") / 100).over(w), F.col("s_acctbal") / 100).alias("x2"), F.coalesce(F.lead(F.col("s_suppkey") % 40 * 1.0).over(w), F.col("s_suppkey") % 40 * 1.0).alias("y2"))
+    edge = overlay.union_boundary(overlay.buffered(s, F.lit(1.5), 4), 16.0)
+    rings = overlay.union_rings(edge).groupBy("group").agg(F.count(F.lit(1)).alias("rings"))
+    return overlay.union_measures(edge).join(rings, "group").select("group", R("area", 4).alias("area"), R("length", 4).alias("length"), "rings")

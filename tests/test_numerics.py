@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from numera.operators import numerics
+from numera.operators import numerics, overlay
 from numera.plans import library
 from tests.oracle import connect
 
@@ -122,3 +123,54 @@ def test_dense_factors(spark):
         a = v[f.g].T @ v[f.g]
         assert f.residual < 1e-9 and np.allclose(f.eigenvalues, np.linalg.eigvalsh(a)[::-1], atol=1e-8) and np.allclose(f.singular_values[: min(v[f.g].shape)], np.linalg.svd(v[f.g])[1], atol=1e-6)
         assert np.allclose((a + np.eye(5)) @ f.solution, 1)
+
+
+def covered(rings, xs, ys):
+    """Which points lie in any of the rings, by crossings."""
+    x, y = np.meshgrid(xs, ys)
+    out = np.zeros(x.shape, bool)
+    for ring in rings:
+        odd = np.zeros(x.shape, bool)
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if y1 != y2:
+                odd ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        out |= odd
+    return out
+
+
+def test_unions_of_polygons(spark):
+    """Areas of unions equal those of sampled points: random stars, shared sides, equal and nested polygons, holes between them."""
+    r = random.Random(8)
+    groups = {}
+    for g in range(4):
+        rings = []
+        for _ in range(9):
+            cx, cy, n = r.uniform(0, 10), r.uniform(0, 10), r.randrange(3, 8)
+            ring = [(cx + r.uniform(0.5, 2.5) * np.cos(2 * np.pi * k / n), cy + r.uniform(0.5, 2.5) * np.sin(2 * np.pi * k / n)) for k in range(n)]
+            rings.append(ring if r.random() < 0.5 else ring[::-1])
+        groups[g] = rings
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    groups[10] = [square(0, 0, 1), square(1, 0, 1), square(0, 1, 1), square(0, 0, 1)]  # shared sides and one twice
+    groups[11] = [square(0, 0, 4), square(1, 1, 1), square(4, 4, 1)]  # nested, and one that touches at a corner
+    groups[12] = [square(0, 0, 1), square(2, 0, 1), square(1, 1, 1), square(1, -1, 1), square(0, 0, 3.5)[:3]]
+    groups[13] = [[(0, 0), (3, 0), (3, 1), (0, 1)], [(0, 2), (3, 2), (3, 3), (0, 3)], [(0, 0), (1, 0), (1, 3), (0, 3)], [(2, 0), (3, 0), (3, 3), (2, 3)]]  # a hole
+    groups[14] = [[(0, 0), (1, 1)], square(0, 0, 0.5)]  # no polygon, and one
+    rows = [(g, i, [{"x": float(x), "y": float(y)} for x, y in ring]) for g, rings in groups.items() for i, ring in enumerate(rings)]
+    df = spark.createDataFrame(rows, "group long, poly long, ring array<struct<x:double,y:double>>").repartition(4)
+    edge = overlay.union_boundary(df, 1.5).cache()
+    got = {x.group: x for x in overlay.union_measures(edge).collect()}
+    exact = {10: (3, 8), 11: (17, 20), 13: (8, 16), 14: (0.25, 2)}
+    for g, (area, length) in exact.items():
+        assert abs(got[g].area - area) < 1e-6 and abs(got[g].length - length) < 1e-6
+    for g in (0, 1, 2, 3, 12):
+        xs = np.linspace(-4, 14, 1801) + 0.00123
+        share = covered([x for x in groups[g] if len(x) > 2], xs, xs).sum() * (xs[1] - xs[0]) ** 2
+        assert abs(got[g].area - share) < 0.01 * share, g
+    rings = {}
+    for x in overlay.union_rings(edge).collect():
+        rings[x.group] = rings.get(x.group, 0) + 1
+    assert rings[13] == 2 and rings[10] == 1
+    assert overlay.union_boundary(df.limit(0), 1.0).count() == 0
+    point = spark.createDataFrame([(0, 0, 1.0, 1.0, 1.0, 1.0), (1, 1, 0.0, 0.0, 3.0, 4.0)], "group long, poly long, x1 double, y1 double, x2 double, y2 double")
+    fine = {x.group: x.area for x in overlay.union_measures(overlay.union_boundary(overlay.buffered(point, F.lit(2.0), 64), 4.0)).collect()}
+    assert abs(fine[0] - np.pi * 4) < 0.01 and abs(fine[1] - (np.pi * 4 + 5 * 4)) < 0.01
