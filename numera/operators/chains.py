@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numera.operators.graph import checkpoint
+from numera.operators.graph import checkpoint, components, reachable
 
 # fixed values: how a chain ends
 RESOLVED, DANGLING, CYCLE, AMBIGUOUS = "RESOLVED", "DANGLING", "CYCLE", "AMBIGUOUS"
@@ -140,3 +140,27 @@ def divergence_roots(divergent: DataFrame, lineage: DataFrame) -> DataFrame:
         front = checkpoint(new)
         found = checkpoint(found.unionByName(front))
     return bad.join(found, "id", "left")
+
+
+def backward_slice(assigns: DataFrame, loads: DataFrame, aliases: DataFrame, required: DataFrame, by: str = "function") -> DataFrame:
+    """(by, pos): the statements of straight-line functions that the required names depend on.
+
+    ``assigns`` and ``loads`` (by, pos, name) say what a statement at ``pos``
+    sets and reads, ``aliases`` (by, name, other) which names may be one object,
+    ``required`` (by, name) what is wanted at the end.  A read depends on the
+    last statement before it that sets the name; of names with aliases on every
+    earlier one that sets any of the group, as none is known to replace another.
+    """
+    tag = lambda c: F.concat_ws("/", F.col(by).cast("string"), F.col(c).cast("string"))
+    pairs = aliases.where("name != other").select(tag("name").alias("src"), tag("other").alias("dst"))
+    grouped = components(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), pairs)
+    named = lambda df, *cols: df.select(by, *cols, tag("name").alias("id")).join(grouped, "id", "left").select(by, *cols, F.coalesce("component", "id").alias("v"), F.col("component").isNotNull().alias("shared"))
+    sets = checkpoint(named(assigns, F.col("pos").cast("long").alias("pos")).distinct())
+    end = F.lit(1 << 62).cast("long")
+    reads = named(loads, F.col("pos").cast("long").alias("pos")).unionByName(named(required.withColumn("pos", end), "pos")).distinct()
+    before = reads.select(by, F.col("pos").alias("at"), "v", "shared").join(sets.select(by, "v", "pos"), [by, "v"]).where("pos < at")
+    last = before.groupBy(by, "v", "at").agg(F.max("pos").alias("last"))
+    uses = before.join(last, [by, "v", "at"]).where("shared or pos = last").select(tag("at").alias("src"), tag("pos").alias("dst"))
+    start = required.select(by).distinct().withColumn("at", end).select(tag("at").alias("id"))
+    found = reachable(checkpoint(uses.distinct()), start).withColumnRenamed("id", "s")
+    return sets.select(by, "pos").distinct().withColumn("s", tag("pos")).join(found, "s", "left_semi").select(by, "pos")

@@ -106,3 +106,22 @@ def _(t):
     bad = o.select(tag("order:", "o_orderkey").alias("id")).union(c.select(tag("customer:", "c_custkey"))).union(c.select(tag("nation:", "c_nationkey")).distinct())
     lineage = t.orders.select(tag("order:", "o_orderkey").alias("src"), tag("customer:", "o_custkey").alias("dst")).union(t.customer.select(tag("customer:", "c_custkey"), tag("nation:", "c_nationkey")))
     return chains.divergence_roots(bad, lineage)
+
+
+@query(
+    "a003_backward_slice",
+    """WITH RECURSIVE b AS (SELECT l_orderkey AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_suppkey % 5 AS w, l_partkey % 5 AS r, l_returnflag = 'A' AS alias FROM lineitem),
+ u AS (SELECT f, w AS x, r AS y FROM b WHERE alias AND w <> r UNION SELECT f, r, w FROM b WHERE alias AND w <> r),
+ c(f, x, y) AS (SELECT f, x, x FROM u UNION SELECT c.f, c.x, u.y FROM c JOIN u ON u.f = c.f AND u.x = c.y), m AS (SELECT f, x, min(y) AS g FROM c GROUP BY f, x),
+ s AS (SELECT b.f, b.i, coalesce(m.g + 100, b.w) AS v FROM b LEFT JOIN m ON m.f = b.f AND m.x = b.w),
+ d AS (SELECT b.f, b.i AS j, coalesce(m.g + 100, b.r) AS v FROM b LEFT JOIN m ON m.f = b.f AND m.x = b.r UNION SELECT DISTINCT b.f, 1000000, coalesce(m.g + 100, 0) FROM b LEFT JOIN m ON m.f = b.f AND m.x = 0),
+ e AS (SELECT d.f, d.j, s.i FROM d JOIN s ON s.f = d.f AND s.v = d.v AND s.i < d.j QUALIFY d.v >= 100 OR s.i = max(s.i) OVER (PARTITION BY d.f, d.j, d.v)),
+ k(f, i) AS (SELECT f, i FROM e WHERE j = 1000000 UNION SELECT e.f, e.i FROM k JOIN e ON e.f = k.f AND e.j = k.i) SELECT f AS function, i AS pos FROM k""",
+)
+def _(t):
+    """Every order as straight-line code: each line sets one of five names from another, some make both the same object; what name 0 depends on at the end."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    b = t.lineitem.select(F.col("l_orderkey").alias("function"), F.row_number().over(w).cast("long").alias("pos"), (F.col("l_suppkey") % 5).alias("w"), (F.col("l_partkey") % 5).alias("r"), (F.col("l_returnflag") == "A").alias("alias"))
+    named = lambda c: b.select("function", "pos", F.col(c).alias("name"))
+    aliases = b.where("alias").select("function", F.col("w").alias("name"), F.col("r").alias("other"))
+    return chains.backward_slice(named("w"), named("r"), aliases, b.select("function").distinct().withColumn("name", F.lit(0).cast("long")))

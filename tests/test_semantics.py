@@ -290,3 +290,48 @@ def test_traces(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("q", "q2"), ("q2", "q"), ("ok", "a")], "src string, dst string")
     bad = spark.createDataFrame([(x,) for x in ("a", "b", "c", "x", "q", "q2")], "id string")
     assert {x.id: (x.root, x.distance) for x in chains.divergence_roots(bad, e).collect()} == {"a": ("a", 0), "b": ("a", 1), "c": ("x", 1), "x": ("x", 0), "q": (None, None), "q2": (None, None)}
+
+
+def test_sensitivities_are_slopes(spark):
+    """Derivatives over all paths equal differences of values a small step apart."""
+    nodes = [("x", "Input", 1.3), ("y", "Input", 0.7), ("p", "Multiply", None), ("s", "Sin", None), ("q", "Divide", None), ("m", "Mean", None), ("e", "Exp", None), ("d", "Subtract", None), ("top", "Add", None), ("big", "Maximum", None), ("alone", "Input", 2.0)]
+    edges = [("x", "p", 0), ("y", "p", 1), ("p", "s", 0), ("s", "q", 0), ("y", "q", 1), ("x", "m", 0), ("q", "m", 0), ("p", "m", 0), ("y", "e", 0), ("m", "d", 0), ("e", "d", 1), ("d", "top", 0), ("x", "top", 0), ("x", "big", 0), ("y", "big", 0)]
+    f = lambda x, y: (x + math.sin(x * y) / y + x * y) / 3 - math.exp(y) + x
+    n = spark.createDataFrame([(*v, 0.0) for v in nodes], "id string, op string, value double, bound double")
+    e = spark.createDataFrame(edges, "src string, dst string, pos int")
+    out = propagation.propagate(n, e)
+    got = {(x.output, x.input): x.derivative for x in propagation.sensitivities(n, e, out, spark.createDataFrame([("top",), ("big",), ("alone",), ("none",)], "id string")).collect()}
+    h = 1e-6
+    assert abs(got["top", "x"] - (f(1.3 + h, 0.7) - f(1.3 - h, 0.7)) / (2 * h)) < 1e-6 and abs(got["top", "y"] - (f(1.3, 0.7 + h) - f(1.3, 0.7 - h)) / (2 * h)) < 1e-6
+    assert got["big", "x"] is None and got["big", "y"] is None and got["alone", "alone"] == 1 and len(got) == 5
+
+
+def test_backward_slices(spark):
+    r = random.Random(6)
+    code, want = [], set()
+    for f in range(30):
+        lines = [(p, r.choice("abcd"), r.sample("abcd", r.randrange(0, 3))) for p in range(r.randrange(1, 9))]
+        alias = [tuple(r.sample("abcd", 2)) for _ in range(r.choice([0, 0, 1, 2]))]
+        group = {v: {v} for v in "abcd"}
+        for x, y in alias:
+            both = group[x] | group[y]
+            for v in both:
+                group[v] = both
+        needed, todo, seen = set(), [(99, "a")], set()
+        while todo:
+            at, v = todo.pop()
+            if (at, v) in seen:
+                continue
+            seen.add((at, v))
+            found = [p for p, w, _ in lines if p < at and w in group[v]]
+            for p in found if len(group[v]) > 1 else found[-1:]:
+                needed.add(p)
+                todo += [(p, x) for x in dict((q, ld) for q, _, ld in lines)[p]]
+        want |= {(f, p) for p in needed}
+        code.append((f, lines, alias))
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    got = chains.backward_slice(
+        df([(f, p, w) for f, lines, _ in code for p, w, _ in lines], "function long, pos long, name string"), df([(f, p, x) for f, lines, _ in code for p, _, ld in lines for x in ld], "function long, pos long, name string"),
+        df([(f, *a) for f, _, alias in code for a in alias], "function long, name string, other string"), df([(f, "a") for f, _, _ in code], "function long, name string"),
+    )
+    assert {tuple(x) for x in got.collect()} == want
