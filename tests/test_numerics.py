@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from numera.operators import numerics, overlay
+from numera.operators import numerics, overlay, quantiles
 from numera.plans import library
 from tests.oracle import connect
 
@@ -174,3 +174,20 @@ def test_unions_of_polygons(spark):
     point = spark.createDataFrame([(0, 0, 1.0, 1.0, 1.0, 1.0), (1, 1, 0.0, 0.0, 3.0, 4.0)], "group long, poly long, x1 double, y1 double, x2 double, y2 double")
     fine = {x.group: x.area for x in overlay.union_measures(overlay.union_boundary(overlay.buffered(point, F.lit(2.0), 64), 4.0)).collect()}
     assert abs(fine[0] - np.pi * 4) < 0.01 and abs(fine[1] - (np.pi * 4 + 5 * 4)) < 0.01
+
+
+def test_quantiles_of_any_values(spark):
+    """Ties, one value, infinities, huge and tiny ranges, null groups and values: as numpy has them."""
+    r = np.random.default_rng(4)
+    groups = {
+        0: r.normal(size=3000), 1: np.array([5.0]), 2: r.integers(0, 3, 500).astype(float), 3: np.r_[r.normal(size=50) * 1e300, 1e308, -1e308], 4: 1 + r.normal(size=400) * 1e-15, None: r.lognormal(size=200) ** 9,
+    }
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [(0, None), (2, float("nan")), (7, None)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(5)
+    at = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(x.g, x.q): x.v for x in quantiles.quantiles(df, ["g"], "v", at).collect()}
+    assert len(got) == len(groups) * len(at)
+    for g, v in groups.items():
+        for q in at:
+            assert np.isclose(got[g, q], np.quantile(v, q), rtol=1e-12, atol=0), (g, q)
+    assert quantiles.quantiles(df.limit(0), ["g"], "v", at).count() == 0
