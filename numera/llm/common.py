@@ -41,6 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Paths of the tables ``cut`` has written, until they are removed.
+_made: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -50,9 +54,24 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/numera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables ``cut`` has written so far."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Remove all that ``cut`` has written since ``mark`` gave ``since``, but the table it wrote last."""
+    jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for where in _made[since:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(hconf).delete(path, True)
+    del _made[since:-1]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of stages that no live DataFrame refers to.
 
