@@ -222,17 +222,30 @@ def shared_tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of every whole text; a null text is empty and has none."""
+    """(doc_id, ids): the ids of every whole text; a null text is empty and has none.
+
+    Repeated rows and ids keep their rows, equal texts give equal results, extra
+    columns are not read whatever their names, and an empty table gives an empty one.
+    """
     return _apply(docs, vocabulary, pattern, id_col, text_col, False)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encode`` and ``decode`` without moving the ids."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encode`` and ``decode`` without moving the ids.
+
+    A null text is empty.
+    Repeated rows and ids keep their rows, equal texts give equal results, extra
+    columns are not read whatever their names, and an empty table gives an empty one.
+    """
     return _apply(docs, vocabulary, pattern, id_col, text_col, True)
 
 
 def decode(ids: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, bytes): the bytes of each id list; a null list is empty."""
+    """(doc_id, bytes): the bytes of each id list; a null list is empty.
+
+    Repeated rows and ids keep their rows, extra columns are not read, and an
+    empty table gives an empty one.
+    """
     spark = ids.sparkSession
     with open(vocabulary, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())

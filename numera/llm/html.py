@@ -474,7 +474,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every page.
 
     A null page is empty and has the empty text; pages without content too.
-    Repeated rows keep their rows.  Extra columns are not read.
+    Repeated rows keep their rows.  Extra columns are not read, and an empty table
+    gives an empty one.
     """
     # a few kilobytes of weights, whatever the number of pages
     model = pages.sparkSession.sparkContext.broadcast(train())

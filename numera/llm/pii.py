@@ -358,6 +358,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, base, spans): lists of (kind, start, end) in code points for every whole text.
 
     A null text is empty.  Repeated rows keep their rows; extra columns are not read.
+    An empty table gives an empty one.
     """
     model = docs.sparkSession.sparkContext.broadcast(train())  # a few kilobytes
     one = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
@@ -375,7 +376,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by its kind in brackets; null texts stay null."""
+    """``docs`` with every span of ``text_col`` replaced by its kind in brackets; null texts stay null, repeated rows stay, an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(train())
     at = docs.columns.index(text_col)
 

@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id; classes link at ``max_bits`` or fewer differing bits.  Null and
     empty texts have fingerprint zero and link like any other.  Rows repeated
     under one id keep their rows.  A null id takes part in no component (null).
-    Extra columns of ``docs`` are not read.
+    Extra columns of ``docs`` are not read, and an empty table gives an empty one.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))

@@ -333,7 +333,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     Strings are compared as UTF-8 bytes within documents and across them, never
     over a document's end; a string that repeats inside one document counts.
     Texts shorter than ``length`` keep all; a null text is empty.  Each of two
-    equal rows repeats the other.  Extra columns are not read.
+    equal rows repeats the other.  Extra columns are not read, and an empty table
+    gives an empty one.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # an id names its row if it is the only one; else a hash does, and equal rows, which have equal ranges, share it
