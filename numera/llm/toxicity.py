@@ -197,6 +197,11 @@ def _hash(x: str) -> int:
     return zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b``, each row rounded alike wherever it stands: a BLAS rounds by a row's place, so by the texts beside this one."""
+    return np.einsum("...i,i->..." if b.ndim == 1 else "...i,ij->...j", a, b)
+
+
 def _sig(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -219,11 +224,12 @@ class Network:
         u, c = p[f"u{d}"], p[f"n{d}"]
         state = np.zeros((xw.shape[1], h), np.float32)
         out, trace = np.zeros((n, xw.shape[1], h), np.float32), []
+        times = np.matmul if keep else _product
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
             x, m = xw[t], mask[t][:, None]
-            zr = _sig(x[:, : 2 * h] + state @ u)
+            zr = _sig(x[:, : 2 * h] + times(state, u))
             z, r = zr[:, :h], zr[:, h:]
-            k = np.tanh(x[:, 2 * h :] + (r * state) @ c)
+            k = np.tanh(x[:, 2 * h :] + times(r * state, c))
             new = state + m * z * (k - state)
             if keep:
                 trace.append((t, state, z, r, k))
@@ -231,20 +237,20 @@ class Network:
             out[t] = state
         return out, trace
 
-    def attend(self, hs: np.ndarray, ev: np.ndarray, mask: np.ndarray):
+    def attend(self, hs: np.ndarray, ev: np.ndarray, mask: np.ndarray, times=np.matmul):
         """Logits, and what the backward pass needs; ``hs`` is (T, B, 2H), ``ev`` (T, B, STATS) the words' evidence, pooled by the same attention."""
         p = self.p
-        e = np.tanh(hs @ p["v"])
-        s = np.where(mask > 0, e @ p["a"] + ev @ p["ae"], -1e9)
+        e = np.tanh(times(hs, p["v"]))
+        s = np.where(mask > 0, times(e, p["a"]) + times(ev, p["ae"]), -1e9)
         w = np.exp(s - s.max(axis=0)) * mask
         w /= np.maximum(w.sum(axis=0), 1e-9)
         pool, seen = (w[:, :, None] * hs).sum(axis=0), (w[:, :, None] * ev).sum(axis=0)
-        return pool @ p["o"] + seen @ p["oe"] + p["ob"][0], e, w, pool, seen
+        return times(pool, p["o"]) + times(seen, p["oe"]) + p["ob"][0], e, w, pool, seen
 
     def logits(self, xf: np.ndarray, xb: np.ndarray, ev: np.ndarray, mask: np.ndarray) -> np.ndarray:
         hf, _ = self.direction(xf, mask, "f", False)
         hb, _ = self.direction(xb, mask, "b", False)
-        return self.attend(np.concatenate([hf, hb], axis=2), ev, mask)[0]
+        return self.attend(np.concatenate([hf, hb], axis=2), ev, mask, _product)[0]
 
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
         """Gradients of the logistic loss over windows ``x`` (T, B, DIM), and of ``x`` itself."""
@@ -360,7 +366,7 @@ class Model:
                     self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
                 x, p = self.vectors(made), self.net.p
                 for k, d in enumerate("fb"):
-                    self.table[k, n : n + len(made)] = x @ p[f"w{d}"] + p[f"c{d}"]
+                    self.table[k, n : n + len(made)] = _product(x, p[f"w{d}"]) + p[f"c{d}"]
                 self.seen[n : n + len(made)] = x[:, :STATS]
                 at.update(zip(made, range(n, n + len(made))))
             row.update(zip(new, map(at.__getitem__, keys)))
