@@ -307,9 +307,7 @@ def _(t):
 @query("k264_k265_single_link_clusters", f"WITH RECURSIVE {_PT}, u AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 4), r(id, c) AS (SELECT id, id FROM p UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id) SELECT id, min(c) AS cluster FROM r GROUP BY id")
 def _(t):
     # single linkage cut at a distance is the components of the pairs within it
-    p = _points(t)
-    e = graph.grid_neighbours(p, p, 4.0).where("q < id").select(F.col("q").alias("src"), F.col("id").alias("dst"))
-    return graph.components(p.select("id"), e).withColumnRenamed("component", "cluster")
+    return graph.within(_points(t), 4.0)
 
 
 # --- geometry ----------------------------------------------------------------------------------------------------
