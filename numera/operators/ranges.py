@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from numera.functions import intervals as I
-from numera.operators.graph import checkpoint
+from numera.operators.graph import checkpoint, drop
 
 INF = float("inf")
 # fixed values: how a range or a region ends
@@ -39,6 +39,9 @@ def flow_ranges(nodes: DataFrame, edges: DataFrame, widen_after: int = 3, narrow
     goes to infinity, so rounds end; then ``narrow`` rounds compute every range
     anew from its inputs, which a guard behind a widened loop pulls in again.
     RANGE_EMPTY: nothing reaches the node.
+
+    Sides of joins are not broadcast: written as Parquet, repeating names take a
+    fraction of what they would in the driver's memory.
     """
     e = checkpoint(edges.select("src", "dst", *(F.col(c).cast("double").alias(c) for c in ("scale", "offset", "low", "high"))))
     need = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("need"))
@@ -48,12 +51,12 @@ def flow_ranges(nodes: DataFrame, edges: DataFrame, widen_after: int = 3, narrow
 
     def incoming(state: DataFrame, at: DataFrame | None) -> DataFrame:
         """The range that the inputs of the nodes ``at`` (all, if None) give now."""
-        into = e if at is None else e.join(at.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        got = into.join(state.where("lo is not null").select(F.col("id").alias("src"), "lo", "hi"), "src")
+        into = e if at is None else e.join(at.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi")
+        got = into.join(state.where("lo is not null").select(F.col("id").alias("src"), "lo", "hi").hint("merge"), "src")
         a, b = _moved(F.col("lo"), F.col("hi"))
         got = got.select("dst", a.alias("a"), b.alias("b")).where("a is not null")
         sums = got.groupBy(F.col("dst").alias("id")).agg(F.min("a").alias("min_a"), F.max("b").alias("max_b"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.count(F.lit(1)).alias("n"))
-        j = (own if at is None else own.join(at, "id", "left_semi")).join(sums, "id", "left")
+        j = (own if at is None else own.join(at.hint("merge"), "id", "left_semi")).join(sums.hint("merge"), "id", "left")
         add = (F.col("op") == "SUM") & (F.col("need") > 0)
         full = F.col("n") == F.col("need")
         return j.select(
@@ -63,22 +66,23 @@ def flow_ranges(nodes: DataFrame, edges: DataFrame, widen_after: int = 3, narrow
         )
 
     for k in range(max_rounds):
-        at = e.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        at = e.join(front.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         new = incoming(state, at)
-        j = state.join(new, "id", "left")
+        j = state.join(new.hint("merge"), "id", "left")
         down = F.col("new_lo").isNotNull() & (F.col("lo").isNull() | (F.col("new_lo") < F.col("lo")))
         up = F.col("new_hi").isNotNull() & (F.col("hi").isNull() | (F.col("new_hi") > F.col("hi")))
         # a node that has been reached before and moves again is in a loop or behind one
         wide = F.col("lo").isNotNull() & (F.lit(k) >= widen_after)
         lo = F.when(down & wide, F.lit(-INF)).when(down, F.col("new_lo")).otherwise(F.col("lo"))
         hi = F.when(up & wide, F.lit(INF)).when(up, F.col("new_hi")).otherwise(F.col("hi"))
-        state = checkpoint(j.select("id", lo.alias("lo"), hi.alias("hi"), (down | up).cast("int").alias("moved")))
+        old, state = state, checkpoint(j.select("id", lo.alias("lo"), hi.alias("hi"), (down | up).cast("int").alias("moved")))
+        drop(old)
         front = state.where("moved = 1").select("id")
         if front.isEmpty():
             break
     for _ in range(narrow):
         new = incoming(state, None)
-        state = checkpoint(state.join(new, "id").select("id", F.when(F.col("new_lo").isNotNull(), F.greatest("lo", "new_lo")).alias("lo"), F.when(F.col("new_hi").isNotNull(), F.least("hi", "new_hi")).alias("hi"), F.lit(0).alias("moved")))
+        state = checkpoint(state.join(new.hint("merge"), "id").select("id", F.when(F.col("new_lo").isNotNull(), F.greatest("lo", "new_lo")).alias("lo"), F.when(F.col("new_hi").isNotNull(), F.least("hi", "new_hi")).alias("hi"), F.lit(0).alias("moved")))
     status = F.when(F.col("lo").isNull(), EMPTY).when((F.col("lo") == -INF) | (F.col("hi") == INF), WIDENED).otherwise(RESOLVED)
     return state.select("id", "lo", "hi", status.alias("status"))
 
