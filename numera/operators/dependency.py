@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numera.operators.graph import checkpoint, reachable
+from numera.operators.graph import checkpoint, reachable, release
 
 # fixed values: kinds of edges, codes, and what a node of a kind needs, with what is said where it lacks it
 EDGE_KINDS = ("DEFINES", "READS", "WRITES", "VALUE_DEPENDS_ON", "INDEX_DEPENDS_ON", "CONDITION_DEPENDS_ON", "LOOP_BOUND_DEPENDS_ON", "PREVIOUS_ACCUMULATOR_VALUE", "CONTROL_GUARDS", "RESULT_OF")
@@ -39,17 +39,34 @@ def _ends(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(code, message, subject): every fault of the graph but its cycles."""
+    """(code, message, subject): every fault of the graph but its cycles.
+
+    Nodes are shuffled once, edges once by each end and once by their id; a step
+    is written before the next one, so no two steps' shuffles lie on disk at once.
+    """
+    spark = nodes.sparkSession
     said = lambda df, message, subject: df.select(F.lit(INVALID).alias("code"), F.lit(message).alias("message"), F.col(subject).alias("subject"))
-    known, lost = _ends(nodes, edges)
-    twice = lambda df, c: df.groupBy(c).count().where(F.col(c).isNull() | (F.col("count") > 1))
-    needs = nodes.select("id", "semantic").where("id is not null").distinct()
-    given = known.groupBy(F.col("target").alias("id")).agg(F.collect_set("role").alias("roles"), F.collect_set(F.when(F.col("kind").isin(*STORE_KINDS), F.col("kind"))).alias("kinds"))
-    has = needs.join(given, "id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("roles", "kinds")})
+    ids = checkpoint(nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("semantic").alias("semantics")))
+    release(spark)
+    names = ids.where("id is not null").select("id", F.lit(True).alias("there"))
+    began = checkpoint(edges.join(names.select(F.col("id").alias("source"), "there"), "source", "left").select("edge_id", "kind", "target", "role", F.col("there").isNotNull().alias("began")))
+    release(spark)
+    twice = checkpoint(edges.groupBy("edge_id").count().where("edge_id is null or count > 1").select("edge_id"))
+    release(spark)
+    own = lambda c: F.collect_set(F.when(F.col("began"), F.col(c)))
+    given = began.where("target is not null").groupBy(F.col("target").alias("id")).agg(own("role").alias("roles"), own("kind").alias("kinds"))
+    # every node, and every target that is none
+    both = checkpoint(ids.join(given.withColumn("aim", F.lit(True)), "id", "full_outer"))
+    release(spark, ids)
+    missing = checkpoint(both.where("n is null").select(F.col("id").alias("target"), "aim"))
+    lost = checkpoint(began.where("began").join(missing, "target", "left").where("aim or target is null").select("edge_id").union(began.where("not began").select("edge_id")))
+    release(spark, began)
+    has = both.where("n is not null and id is not null").select("id", F.explode("semantics").alias("semantic"), "roles", "kinds")
+    has = has.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("roles", "kinds")})
     lacks = lambda c, wanted: reduce(lambda a, b: a | b, (~F.array_contains(c, w) for w in wanted))
     out = [
-        said(twice(nodes, "id"), "node IDs must be present and unique", "id"),
-        said(twice(edges, "edge_id"), "edge IDs must be present and unique", "edge_id"),
+        said(both.where("n > 1 or (n is not null and id is null)"), "node IDs must be present and unique", "id"),
+        said(twice, "edge IDs must be present and unique", "edge_id"),
         said(edges.where(~F.coalesce(F.col("kind").isin(*EDGE_KINDS), F.lit(False))), "unknown edge kind", "edge_id"),
         said(lost, "edge endpoint does not exist", "edge_id"),
         said(has.where((F.col("semantic") == "Store") & lacks("kinds", STORE_KINDS)), "Store needs write target and value", "id"),
@@ -73,7 +90,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while True:
         n = e.count()
         inner = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        e = checkpoint(inner.select("source", "target"))
+        old, e = e, checkpoint(inner.select("source", "target"))
+        release(e.sparkSession, old)
         left = e.count()
         if not left:
             break
@@ -118,8 +136,8 @@ def output_slice(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def checked_slice(nodes: DataFrame, edges: DataFrame) -> tuple[str, DataFrame, DataFrame]:
     """(status, sliced nodes, edges between them): nothing is sliced from a graph with a fault or an illegal cycle."""
-    faults = diagnostics(nodes, edges).select("code").union(illegal_cycles(nodes, edges).select("code"))
-    if not faults.isEmpty():
+    # cycles are looked for only in a graph without faults: either is the end of it
+    if not diagnostics(nodes, edges).isEmpty() or not illegal_cycles(nodes, edges).isEmpty():
         return FAILED, output_slice(nodes.limit(0), edges.limit(0)), edges.limit(0)
     found = checkpoint(output_slice(nodes, edges))
     ends = lambda c: found.select(F.col("id").alias(c))
