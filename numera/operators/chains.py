@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numera.operators.graph import checkpoint, components, reachable
+from numera.operators.graph import checkpoint, components, grown, reachable, release
 
 # fixed values: how a chain ends
 RESOLVED, DANGLING, CYCLE, AMBIGUOUS = "RESOLVED", "DANGLING", "CYCLE", "AMBIGUOUS"
@@ -58,17 +58,20 @@ def dominators(blocks: DataFrame, edges: DataFrame, by: str = "function") -> Dat
     own = checkpoint(blocks.select(by, "block", "entry").distinct())
     e = checkpoint(edges.select(by, F.col("src").alias("block"), "dst").distinct())
     start = own.where("entry").select(by, "block")
-    front = reached = checkpoint(start.distinct())
+    front, rounds = checkpoint(start.distinct()), 1
+    reached = front
     while not front.isEmpty():
         front = checkpoint(front.join(e, [by, "block"]).select(by, F.col("dst").alias("block")).distinct().join(reached, [by, "block"], "left_anti"))
-        reached = checkpoint(reached.unionByName(front))
+        release(front.sparkSession)
+        rounds, reached = rounds + 1, grown(reached, front, rounds)
     others = reached.select(by, F.col("block").alias("d"))
     free = checkpoint(start.join(others, by).where("d != block"))  # d is avoided on the way to block
     front = free
     while not front.isEmpty():
         step = front.join(e, [by, "block"]).where("dst != d").select(by, F.col("dst").alias("block"), "d").distinct()
         front = checkpoint(step.join(free, [by, "block", "d"], "left_anti"))
-        free = checkpoint(free.unionByName(front))
+        release(front.sparkSession)
+        rounds, free = rounds + 1, grown(free, front, rounds)
     every = reached.join(others, by).join(free, [by, "block", "d"], "left_anti")
     every = checkpoint(every.select(by, "block", F.col("d").alias("dominator")))
     depth = every.groupBy(by, "block").agg(F.count(F.lit(1)).alias("depth"))
@@ -87,11 +90,13 @@ def reaching_definitions(edges: DataFrame, definitions: DataFrame, by: str = "fu
     gen = checkpoint(definitions.select(by, F.col("block").alias("src"), "definition", "variable").distinct())
     kills = gen.select(by, F.col("src").alias("block"), "variable").distinct()
     arrive = lambda out: out.join(e, [by, "src"]).select(by, F.col("dst").alias("block"), "definition", "variable").distinct()
-    front = inside = checkpoint(arrive(gen))
+    front, rounds = checkpoint(arrive(gen)), 1
+    inside = front
     while not front.isEmpty():
         passed = front.join(kills, [by, "block", "variable"], "left_anti").withColumnRenamed("block", "src")
         front = checkpoint(arrive(passed).join(inside, [by, "block", "definition"], "left_anti"))
-        inside = checkpoint(inside.unionByName(front))
+        release(front.sparkSession)
+        rounds, inside = rounds + 1, grown(inside, front, rounds)
     return inside.select(by, "block", "definition")
 
 
@@ -158,6 +163,7 @@ def backward_slice(assigns: DataFrame, loads: DataFrame, aliases: DataFrame, req
     sets = checkpoint(named(assigns, F.col("pos").cast("long").alias("pos")).distinct())
     end = F.lit(1 << 62).cast("long")
     reads = named(loads, F.col("pos").cast("long").alias("pos")).unionByName(named(required.withColumn("pos", end), "pos")).distinct()
+    release(sets.sparkSession)
     before = reads.select(by, F.col("pos").alias("at"), "v", "shared").join(sets.select(by, "v", "pos"), [by, "v"]).where("pos < at")
     last = before.groupBy(by, "v", "at").agg(F.max("pos").alias("last"))
     uses = before.join(last, [by, "v", "at"]).where("shared or pos = last").select(tag("at").alias("src"), tag("pos").alias("dst"))
