@@ -58,6 +58,11 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def location(df: DataFrame) -> str:
+    """The folder of a table made by ``cut``, for tasks that read it themselves."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def mark() -> int:
     """How many tables ``cut`` has written so far."""
     return len(_made)

@@ -17,20 +17,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import cut, drop_cut
+from numera.llm.common import cut, drop_cut, location
 
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: A word may follow a neighbour that is this many times as frequent.
 RATIO = 2
 #: Letters of a run, as a Java pattern: at most 116 different ones, so the alphabet is bounded.
 LETTERS = "A-Za-z\\u00C0-\\u00FF"
-#: Bits of the table of word hashes, of fixed size whatever the vocabulary: 16 MB, the only broadcast.
+#: Bits of the table of word hashes, of fixed size whatever the vocabulary: 16 MB, kept in the shared folder.
 BITS = 27
 #: Neighbours hashed at once in a task.
 CHUNK = 1 << 21
+#: Blocks of 64 bits in a row of the written table, as a power of two.
+PAGE = 12
+_held: dict = {}
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -127,12 +132,29 @@ def neighbours(words: list[str], alphabet: list[str], is_set: np.ndarray | None
                     yield w[:k] + w[k + 1 :], w
 
 
+def _table(where: str, bits: int) -> np.ndarray:
+    """The table of bits that tasks have written below ``where``; a Python worker keeps the last one it read."""
+    if _held.get("where") != where:
+        fs, base = pafs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (pafs.LocalFileSystem(), where)
+        table = np.zeros(1 << (bits - 6), np.int64)
+        for f in fs.get_file_info(pafs.FileSelector(base)):
+            if f.path.endswith(".parquet"):
+                with fs.open_input_file(f.path) as src:
+                    for b in pq.ParquetFile(src).iter_batches(64):
+                        own = b.column(1)
+                        at = np.repeat(b.column(0).to_numpy() << PAGE, own.value_lengths().to_numpy())
+                        flat = own.flatten()
+                        table[at + flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+        _held.update(where=where, table=table.view(np.uint8))
+    return _held["table"]
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, near, near_n): every pair of different words of ``words`` (word, n; words unique) one edit apart, in both directions.
 
     The alphabet is that of the words.  An empty table has none.
     """
-    spark, bits = words.sparkSession, BITS
+    bits = BITS
     alphabet = sorted(r.c for r in words.select(F.explode(F.split("word", "")).alias("c")).distinct().where("c != ''").collect())
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +163,16 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 p = _places(prefix[-1], bits)
                 yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["block", "bit"])
 
-    # at most 2**(bits - 6) rows
-    blocks = words.select("word").mapInArrow(hashed, "block long, bit long").groupBy("block").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[blocks["block"].to_numpy()] = blocks["bits"].to_numpy()
-    sent = spark.sparkContext.broadcast((alphabet, table.view(np.uint8)))
+    # the table is put together by tasks, 64 KB a row at most, and read by tasks from the shared folder: the driver holds none of it
+    blocks = words.select("word").mapInArrow(hashed, "block long, bit long").groupBy("block").agg(F.bit_or("bit").alias("bits"))
+    pages = blocks.groupBy(F.shiftright("block", PAGE).alias("page")).agg(F.collect_list(F.struct(F.col("block").bitwiseAND(F.lit((1 << PAGE) - 1)).alias("block"), "bits")).alias("own"))
+    where = location(cut(pages, "bits"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, is_set = sent.value
+        is_set = _table(where, bits)
         out: tuple[list, list] = ([], [])
         for b in batches:
-            for near, word in neighbours(b.column(0).to_pylist(), letters, is_set):
+            for near, word in neighbours(b.column(0).to_pylist(), alphabet, is_set):
                 out[0].append(near)
                 out[1].append(word)
                 if len(out[0]) == 1 << 14:
