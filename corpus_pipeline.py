@@ -36,7 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of every component of texts with a five-word Jaccard similarity of 0.8 or more.
 
-    Null, empty and blank texts are equal; rows without an id all stay, and so do rows repeated under the id that is kept.
+    Candidates come from the byte-position index of their SimHash fingerprints, as in operator 10, and beyond its two bits from minimum hashes within
+    a SimHash radius; all are checked on whole texts.  Null, empty and blank texts are equal; rows without an id all stay, and so do rows repeated under the id that is kept.
     """
     return shingles.keep_one(docs)
 

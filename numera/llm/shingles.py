@@ -1,9 +1,13 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles, over whole texts.
 
-Every text is its set of hashed shingles.  Equal sets form one class.  A class
-is posted under ``BANDS`` keys of ``ROWS`` minimum hashes each: two sets of
+Every text is its set of hashed shingles.  Equal sets form one class.  The
+SimHash fingerprints of the classes are indexed as in ``simhash``: posted under
+pairs of their positional bytes, members tally the bytes they share, those that
+reach the count compare their bits, and those within ``simhash.MAX_BITS`` are
+candidates.  Pairs of similarity 0.8 are mostly further apart, where no such
+index can promise anything.  For these a class is posted, too, under ``BANDS`` keys of ``ROWS`` minimum hashes each: two sets of
 similarity 0.8 share none of them with probability (1 - 0.8**4)**20 < 3e-5.
-Classes that share a posting pass a size filter and, where both have ``SMALL``
+Classes that share one of these pass a size filter and, where both have ``SMALL``
 shingles or more, the ``RADIUS`` of two 64-bit SimHash fingerprints of the set;
 sets of similarity 0.8 differ in 19.4 of the 128 bits on average, with a
 deviation of 4.1, so the radius is five deviations away.  What is left is
@@ -20,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from numera.llm import simhash
 from numera.llm.common import components, cut, drop_cut, run_bounds, whole_runs
 
 SHINGLE = 5
@@ -97,10 +102,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, t long, node long, n int, f1 long, f2 long, ks array<long>")
 
 
-def _near(f: np.ndarray, n: np.ndarray, i: int, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Members before ``i`` (before ``below``, if given) that the filters leave, and their distances."""
+def postings(classes: DataFrame) -> DataFrame:
+    """(k, node, root, n, f1, f2): the classes under their minimum-hash keys, which are odd, and under the keys of the first fingerprint's index, which are even."""
+    low = F.transform("ks", lambda k: k.bitwiseOR(F.lit(1)))
+    index = F.transform(simhash.index_keys("f1"), lambda k: F.shiftleft(k, 1))
+    return classes.where("n > 0").select(F.explode(F.concat(low, index)).alias("k"), "node", F.col("node").alias("root"), "n", "f1", "f2")
+
+
+def _near(f: np.ndarray, n: np.ndarray, i: int, below: int | None, indexed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Members before ``i`` (before ``below``, if given) that the filters leave, and their distances; in a posting of the index, tally and bits of the fingerprint."""
     k = i if below is None else below
     least, most = np.minimum(n[:k], n[i]), np.maximum(n[:k], n[i])
+    if indexed:
+        hit = simhash.near(f[i, 0], np.ascontiguousarray(f[:k, 0]), simhash.MAX_BITS)
+        hit = hit[5 * least[hit] >= 4 * most[hit]]
+        return hit, np.bitwise_count(f[hit, 0] ^ f[i, 0])
     d = np.bitwise_count(f[:k] ^ f[i]).sum(axis=1)
     hit = np.flatnonzero((5 * least >= 4 * most) & ((d <= RADIUS) | (least < SMALL)))
     return hit, d[hit]
@@ -142,7 +158,7 @@ def _candidates(postings: DataFrame, every: bool) -> DataFrame:
                 first = None if ta[s] == tb[s] else int(np.searchsorted(tile[s:e], tb[s]))
                 more = False
                 for i in range(1 if first is None else first, e - s):
-                    hit, d = _near(f[s:e], n[s:e], i, first)
+                    hit, d = _near(f[s:e], n[s:e], i, first, k[s] % 2 == 0)
                     hit, d = (x[root[s + hit] != root[s + i]] for x in (hit, d))
                     if not len(hit):
                         continue
@@ -206,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
         return own.join(one.join(ends, "node"), ["i", "h"]).dropDuplicates(["node"]).select("node", "text")
 
-    posted = classes.where("n > 0").select(F.explode("ks").alias("k"), "node", F.col("node").alias("root"), "n", "f1", "f2")
+    posted = postings(classes)
     found = cut(_candidates(posted, False), "candidates")
     pairs = found.where("not open").select("src", "dst")
     links = _verified(texts(pairs), pairs)

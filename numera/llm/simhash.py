@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numera.llm.common import components, cut, run_bounds, whole_runs
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "doc_id long, fp long")
 
 
-def _near(x: np.uint64, rest: np.ndarray, max_bits: int) -> np.ndarray:
+def near(x: np.uint64, rest: np.ndarray, max_bits: int) -> np.ndarray:
     """Positions in ``rest`` within ``max_bits`` of ``x``: byte tally first, then the bits."""
     d = rest ^ x
     tally = (d.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
@@ -93,7 +93,7 @@ def _bfs(fp: np.ndarray, rep: np.ndarray, max_bits: int, out: list) -> None:
     while len(left) > 1:
         root, todo, left = left[0], [left[0]], left[1:]
         while todo and len(left):
-            hit = _near(fp[todo.pop()], fp[left], max_bits)
+            hit = near(fp[todo.pop()], fp[left], max_bits)
             if len(hit):
                 got = left[hit]
                 left = np.delete(left, hit)
@@ -101,15 +101,17 @@ def _bfs(fp: np.ndarray, rep: np.ndarray, max_bits: int, out: list) -> None:
                 out.append((np.full(len(got), rep[root]), rep[got]))
 
 
+def index_keys(fp: str) -> Column:
+    """The postings of a fingerprint: one key of 32 bits, and which it is, for each pair of its two-byte groups."""
+    part = [F.shiftrightunsigned(fp, 48 - 16 * g).bitwiseAND(F.lit(0xFFFF)) for g in range(4)]
+    return F.array(*(F.lit(n).cast("long") * (1 << 32) + part[a] * (1 << 16) + part[b] for n, (a, b) in enumerate(combinations(range(4), 2))))
+
+
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (src, dst) joining the representatives of fingerprints within ``max_bits`` <= 2."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the index guarantees a shared posting for at most 2 differing bits")
-    part = [F.shiftrightunsigned("fp", 48 - 16 * g).bitwiseAND(F.lit(0xFFFF)) for g in range(4)]
-    keys = [
-        F.lit(n).cast("long") * (1 << 32) + part[a] * (1 << 16) + part[b] for n, (a, b) in enumerate(combinations(range(4), 2))
-    ]
-    postings = classes.select(F.explode(F.array(*keys)).alias("k"), "fp", "rep")
+    postings = classes.select(F.explode(index_keys("fp")).alias("k"), "fp", "rep")
 
     def run(batches):
         for t in whole_runs(batches, ["k"]):
