@@ -22,6 +22,7 @@ they can be, which is the worst case, shares no cell with a probability under
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,20 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import components, cut, finite_vector, link_labels, list_matrix, run_bounds, whole_runs
+from numera.llm.common import components, cut, finite_vector, link_labels, list_matrix, release, run_bounds, whole_runs
 
 THRESHOLD = 0.98
 PROJECTIONS = 24
-TILE = 4096
-BLOCK = 256
+TILE = 32_768
+#: Words of 64 candidates counted at once.
+BLOCK = 512
+#: Cells of a projection in half a window, and one that is outside of all.
+STEPS, FAR_CELL = 8, 1 << 20
+#: Pairs up to which each window is held against each pair, without tables of windows.
+FEW_PAIRS = 4096
 SEED = 20240607
 #: Vectors of a label that are compared without dealing, and dimensions from which larger ones are dealt.
-WHOLE, LEAST_DIM = 16_384, 24
+WHOLE, LEAST_DIM = 262_144, 24
+#: Pairs that are worth a task of their own, and tasks at most.
+TASK_PAIRS, MOST_PARTS = 10_000_000, 4096
+#: Rows of counts that are sent to every executor.
+FEW_LABELS = 10_000
 MISS = 1e-9
-#: Projections counted for all pairs of a block; pairs still open go on one by one.
-FIRST = 6
 
 
+@functools.lru_cache(maxsize=32)
 def directions(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     """``min(dim, count)`` orthonormal directions as columns, alike on every machine."""
     q, _ = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))
@@ -61,40 +70,107 @@ def _by_dim(rows: list[np.ndarray]):
         yield int(d), own, _unit(np.stack([rows[i] for i in own]))
 
 
+def _counts(dim: int, threshold: float, projections: int) -> tuple[int, int, float]:
+    """(directions counted, bits of the counter, half-width of a window): a linked pair misses at most ``2**bits - 1`` windows."""
+    d2 = max(2 - 2 * threshold, 1e-6)
+    m = min(dim, max(projections, 3 * dim // 8))
+    # a window about as wide as the differences of unrelated vectors tells most
+    bits = min(max(0, round(math.log2(d2 * dim / 1.28))), m.bit_length() - 1)
+    return m, bits, math.sqrt(d2 / 2**bits) * (1 + 1e-9)
+
+
+def _outside(at: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Row v - low: a bit for every cell of ``at`` that lies outside the window around cell v, in words of 64."""
+    first = np.arange(low - STEPS, high - STEPS + 1, dtype=np.int32)
+    out = np.empty((len(first), len(at) // 64), np.uint64)
+    for r in range(0, len(first), 16):
+        far = (at[None, :] - first[r : r + 16, None]).view(np.uint32) > 2 * STEPS
+        out[r : r + 16] = np.packbits(far, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def collide(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, projections: int, seen: list | None = None):
-    """Yield (i, j) index arrays of the pairs of ``left`` x ``right`` rows of ``x`` with cosine >= threshold; ``seen`` gets how many pairs were counted and verified."""
-    d2 = 2 - 2 * threshold
-    m = min(x.shape[1], projections)
-    h = math.sqrt(d2 / 4) * (1 + 1e-9)
-    misses = min(m, math.floor(d2 / h**2))
-    p = x @ directions(x.shape[1], projections)
-    right = right[np.argsort(p[right, 0], kind="stable")]
-    sorted_p = p[right, 0]
-    left = left[np.argsort(p[left, 0], kind="stable")]
-    reach, p32 = math.sqrt(d2) * (1 + 1e-9), p.astype(np.float32)
-    for b in range(0, len(left), BLOCK):
-        q = left[b : b + BLOCK]
-        s, e = np.searchsorted(sorted_p, [p[q[0], 0] - reach, p[q[-1], 0] + reach])
-        c = right[s:e]
-        if not len(c):
-            continue
-        missed = np.zeros((len(q), len(c)), np.int8)
-        for k in range(min(FIRST, m)):
-            missed += np.abs(p32[q, k][:, None] - p32[c, k][None, :]) > h + 1e-6
-        i, j = np.nonzero(missed <= misses)
-        missed = missed[i, j]
-        i, j = q[i], c[j]
-        for k in range(FIRST, m):
-            missed = missed + (np.abs(p32[i, k] - p32[j, k]) > h + 1e-6)
-            ok = missed <= misses
-            i, j, missed = i[ok], j[ok], missed[ok]
+    """Yield (i, j) index arrays of the pairs of ``left`` x ``right`` rows of ``x`` with cosine >= threshold; ``seen`` gets how many pairs were counted and verified.
+
+    Given one array for both, a pair is counted once and yielded from both ends.
+    """
+    m, bits, h = _counts(x.shape[1], threshold, projections)
+    reach = math.sqrt(max(2 - 2 * threshold, 1e-6)) * (1 + 1e-9)
+    p = x @ directions(x.shape[1], m)
+    once = left is right
+    if len(left) * len(right) <= FEW_PAIRS:
+        i, j = np.nonzero((np.abs(p[left][:, None] - p[right][None]) > h).sum(axis=2) < 2**bits)
+        if once:
+            i, j = i[j > i], j[j > i]
         if seen is not None:
-            seen.append((len(q) * len(c), len(i)))
-        for t in range(0, len(i), 1 << 16):
-            a, z = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
-            ok = np.einsum("ij,ij->i", x[a], x[z]) >= threshold
-            ok &= a != z
-            yield a[ok], z[ok]
+            seen.append((len(left) * len(right), len(i)))
+        i, j = left[i], right[j]
+        yield from _ends(i, j, np.einsum("ij,ij->i", x[i], x[j]) >= threshold, once)
+        return
+    left, right = (some[np.argsort(p[some, 0], kind="stable")] for some in (left, right))
+    if not len(left) or not len(right):
+        return
+    line = p[right, 0]
+    at = np.floor(p / (max(h, 0.02) * (1 + 1e-6) / STEPS)).astype(np.int32)
+    pad = np.full(-len(right) % 64, FAR_CELL, np.int32)
+    base = at[left].min(axis=0)
+    facing = x[right]
+    missed = [_outside(np.concatenate([at[right, k], pad]), int(base[k]), int(at[left, k].max())) for k in range(m)]
+    rows = at[left] - base
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    b = 0
+    while b < len(left):
+        s, _ = np.searchsorted(line, [p[left[b], 0] - reach, 0])
+        s = max(int(s), b) if once else int(s)
+        q = left[b : b + max(16, BLOCK * 64 // max(64, len(right) - s) * 16)]
+        e = int(np.searchsorted(line, p[q[-1], 0] + reach, side="right"))
+        w0, w1 = s // 64, -(-e // 64)
+        if w0 < w1:
+            lost = np.zeros((len(q), w1 - w0), np.uint64)
+            planes = [np.zeros_like(lost) for _ in range(bits)]
+            for k in range(m):
+                add = missed[k][rows[b : b + len(q), k], w0:w1]
+                for plane in planes:
+                    carry = plane & add
+                    plane ^= add
+                    add = carry
+                lost |= add
+            r, w = np.nonzero(~lost)
+            bit = np.unpackbits((~lost[r, w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            t, o = np.nonzero(bit)
+            i, j = r[t] + b, (w[t] + w0) * 64 + o
+            if once:
+                later = j > i
+                i, j = i[later], j[later]
+            if seen is not None:
+                seen.append((len(q) * (e - s), len(i)))
+            if len(i) * 8 > len(q) * (w1 - w0) * 64:
+                # so many are left that the whole block is told sooner
+                cos = (x[q] @ facing[w0 * 64 : w1 * 64].T)[i - b, j - w0 * 64]
+                near = np.flatnonzero(np.abs(cos - threshold) < 1e-12)
+                i, j = left[i], right[j]
+                cos[near] = np.einsum("ij,ij->i", x[i[near]], x[j[near]])
+                yield from _ends(i, j, cos >= threshold, once)
+            elif len(i):
+                held.append((left[i], right[j]))
+                waiting += len(i)
+        b += len(q)
+        if held and (waiting >= 1 << 15 or b >= len(left)):
+            i, j = (np.concatenate(z) for z in zip(*held))
+            held, waiting = [], 0
+            for t in range(0, len(i), 1 << 15):
+                a, z = i[t : t + (1 << 15)], j[t : t + (1 << 15)]
+                yield from _ends(a, z, np.einsum("ij,ij->i", x[a], x[z]) >= threshold, once)
+
+
+def _ends(i: np.ndarray, j: np.ndarray, ok: np.ndarray, once: bool):
+    ok &= i != j
+    i, j = i[ok], j[ok]
+    if len(i):
+        yield i, j
+        if once:
+            yield j, i
 
 
 def shape(n: int, dim: int, threshold: float, whole: int = WHOLE) -> tuple[int, int]:
@@ -127,9 +203,13 @@ def cells(x: np.ndarray, g: int, tables: int, threshold: float) -> np.ndarray:
 def links(classes: DataFrame, threshold: float = THRESHOLD, projections: int = PROJECTIONS, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
     """(rep, n, root): for each cell a class was compared in, the vectors it links to and the group there."""
     kind = dict(classes.dtypes)["v"]
-    plan = F.struct("label", "dim")
-    sized = classes.withColumn("dim", F.size("v"))
-    many = sized.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > whole).select(plan.alias("plan"), "m")
+    counts = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    large = (F.col("n") > whole) & (F.col("dim") >= LEAST_DIM)
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    kinds, units, work, most = counts.agg(F.count(F.lit(1)), F.sum(tiles * (tiles + 1) / 2), F.sum(F.col("n") * F.least("n", F.lit(whole)).cast("double")), F.max(F.when(large, F.col("n")))).first()
+    parts = (work or 0) // TASK_PAIRS
+    parts = max(parts, classes.sparkSession.sparkContext.defaultParallelism) if most else min(parts, 2 * (units or 0))
+    parts = int(max(1, min(MOST_PARTS, parts)))
 
     def deal(batches):
         for b in batches:
@@ -147,13 +227,16 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, projections: int = P
             out = b.take(pa.array(np.concatenate(idx)))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(key)), pa.array(np.concatenate(table))], [*out.schema.names, "key", "table"])
 
-    asked = sized.withColumn("plan", plan).join(many, "plan", "left").select("label", "dim", "m", "rep", "c", "v")
-    dealt = asked.mapInArrow(deal, f"label long, dim int, m long, rep long, c long, v {kind}, key long, table int")
+    asked = classes.join(F.broadcast(counts) if kinds <= FEW_LABELS else counts, ["label", "dim"])
+    as_is = asked.where(~large).select("label", "dim", F.lit(0).alias("table"), F.lit(0).cast("long").alias("key"), "n", F.lit(None).cast("long").alias("m"), "rep", "c", "v")
     group = ["label", "dim", "table", "key"]
-    size = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
+    ready = as_is
+    if most:
+        dealt = asked.where(large).select("label", "dim", F.col("n").alias("m"), "rep", "c", "v").mapInArrow(deal, f"label long, dim int, m long, rep long, c long, v {kind}, key long, table int")
+        size = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        ready = as_is.unionByName(dealt.join(size, group))
     pairs = (
-        dealt.join(size, group)
+        ready
         .withColumn("t", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select(*group, F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "t", "m", "rep", "c", "v")
@@ -170,8 +253,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, projections: int = P
             for s, e in zip(at[:-1], at[1:]):
                 x = _unit(np.stack(rows[s:e]))
                 ids, table = rep[s:e], int(cols[2][s])
-                g, tables = shape(int(m[s]), x.shape[1], threshold, whole)
-                before = cells(x, g, tables, threshold)[:, :table]
+                before = None
                 every = np.arange(e - s)
                 own = cols[4][s] == cols[5][s]
                 left, right = (every, every) if own else (every[mine[s:e] == cols[4][s]], every[mine[s:e] == cols[5][s]])
@@ -180,6 +262,8 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, projections: int = P
                 place[order] = every
                 lab = every.copy()
                 for i, j in collide(x, left, right, threshold, projections):
+                    if table and before is None:
+                        before = cells(x, shape(int(m[s]), x.shape[1], threshold, whole)[0], table, threshold)
                     if table:
                         new = ~(before[i] == before[j]).any(axis=1)
                         i, j = i[new], j[new]
@@ -192,7 +276,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, projections: int = P
                     root = ids[order[lab[place[hit]]]]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(root)], ["rep", "n", "root"])
 
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "rep long, n long, root long")
+    return pairs.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "rep long, n long, root long")
 
 
 def near_duplicates(
@@ -212,16 +296,19 @@ def near_duplicates(
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast(kind).alias("v"))
     usable = finite_vector("v") & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     v = v.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.col("v")))
-    classes = v.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("c"))
+    # vectors are sorted by their hash first: comparing whole arrays is slow
+    v = v.withColumn("vh", F.xxhash64("v"))
+    classes = v.where("v is not null").groupBy("label", "vh", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("c")).withColumn("dim", F.size("v"))
     # written, so the numbers hold
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "embedding")
     linked = cut(links(classes, threshold, projections), "links")
+    release(vectors.sparkSession)
     comp = components(linked.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     near = linked.groupBy("rep").agg(F.sum("n").alias("n"))
     grouped = classes.join(near, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), "component_id")
-    out = v.join(named, ["label", "v"], "left").select(
+    named = grouped.join(least, "root").select("label", "vh", "v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), "component_id")
+    out = v.join(named, ["label", "vh", "v"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

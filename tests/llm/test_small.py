@@ -142,6 +142,46 @@ def test_no_pair_is_missed_by_the_counts():
     assert found == {(a, b) for a, b in zip(*map(list, np.nonzero(s >= 0.98))) if a != b}
 
 
+def test_labels_of_the_large_run_are_not_dealt(spark):
+    """615,384 vectors of ten labels are 61,538 a label: compared as they are, a vector in as many copies as there are tiles."""
+    assert embedding.shape(61_538, 64, 0.98) == (0, 1)
+    assert -(-61_538 // embedding.TILE) <= 2
+    r = np.random.default_rng(3)
+    x = r.normal(size=(17_000, 24))
+    x[16_000:] = x[:1000] + 0.05 * r.normal(size=(1000, 24))
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(np.float32(x))], "vec_id long, embedding array<float>, label int")
+    got = {q.vec_id: (q.n_links, q.component_id) for q in embedding.near_duplicates(df).collect()}
+    u = embedding._unit(np.float32(x).astype(float))
+    near = [np.flatnonzero(row >= 0.98) for b in range(0, len(u), 1000) for row in u[b : b + 1000] @ u.T]
+    assert all(got[i][0] == len(k) - 1 and got[i][1] == k[0] for i, k in enumerate(near) if len(k) < 3)
+    assert sum(len(k) == 2 for k in near) > 1500
+
+
+def test_counts_lose_no_pair_and_leave_few():
+    """Against brute force in several dimensions and thresholds, over pairs of tiles and a tile by itself, with a group so dense that blocks are told at once."""
+    r = np.random.default_rng(2)
+    for dim, threshold in ((2, 0.98), (3, 0.999), (24, 0.9), (64, 0.98), (64, 0.6), (200, 0.98), (64, 1 - 1e-9)):
+        x = np.concatenate([r.normal(size=(700, dim)), r.normal(size=dim) + 0.12 * r.normal(size=(500, dim)), np.eye(dim)[:2]])
+        x = embedding._unit(np.concatenate([x, x[:300] + 0.15 * r.normal(size=(300, dim)), x[5:9] * 3]))
+        at = r.permutation(len(x))
+        s = x @ x.T
+        sure, open_ = s >= threshold + 1e-9, s >= threshold - 1e-9
+        for left, right in ((at, at), (at[:333], at[333:])):
+            found = [p for i, j in embedding.collide(x, left, right, threshold, 24) for p in zip(i.tolist(), j.tolist())]
+            assert len(found) == len(set(found))
+            inside = np.zeros(s.shape, bool)
+            inside[np.ix_(left, right)] = True
+            np.fill_diagonal(inside, False)
+            got = np.zeros(s.shape, bool)
+            got[tuple(np.array(found).reshape(-1, 2).T)] = True
+            assert not (got & ~(open_ & inside)).any() and not (sure & inside & ~got).any()
+    seen = []
+    x, every = embedding._unit(r.normal(size=(3000, 64))), np.arange(3000)
+    assert not [1 for _ in embedding.collide(x, every[:1500], every[1500:], 0.98, 24, seen)]
+    # a window that tells most: with half-widths for four windows 81 % of these pairs were open after six projections
+    assert sum(v for _, v in seen) < 2e-4 * 1500**2
+
+
 # --- 2, 5 ---------------------------------------------------------------------------------------------------
 
 
