@@ -6,18 +6,19 @@ along orthonormal directions add up to no more than it.  So along every
 direction the difference is at most the distance, and it exceeds a window of
 half-width ``h`` along at most ``floor(d2 / h**2)`` directions: a pair that
 collides in fewer windows than the rest cannot be linked.  The count asked for
-is therefore calibrated to a recall of one.  Every query's window is looked up
-in a sorted projection, the pairs in it are counted along the others until too
-many miss, and those that reach the count are verified by their cosine in double
-precision.
-
-Labels of up to ``WHOLE`` vectors are compared that way as they are.  Larger ones
-are dealt first, by tables of ``g`` projections each, cut into cells of eight
-times the mean difference of a linked pair, at random places: vectors of one
-cell are compared.  ``g`` grows with the logarithm of the label, and so many
-tables are used that a pair at the threshold whose differences are as even as
-they can be, which is the worst case, shares no cell with a probability under
-``MISS``.  A pair counts in the first table where it shares a cell.
+is therefore calibrated to a recall of one.  The candidates of a query are a
+window of a sorted projection; its window in each other projection is looked up
+as a row of bits, one per candidate outside of it, the misses are counted in a
+few planes of bits, and those that reach the count are verified by their cosine
+in double precision.
+
+Labels of up to ``WHOLE`` vectors are compared that way as they are, by pairs of
+tiles.  Larger ones are dealt first, by tables of ``g`` random rotations each: a
+vector's cell is the direction of its largest projection in each rotation, and
+vectors of one cell are compared.  ``g`` grows with the logarithm of the label,
+and so many tables are used that a pair at the threshold, which shares a cell
+with the same probability wherever it lies, shares none with one under ``MISS``.
+A pair counts in the first table where it shares a cell.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ STEPS, FAR_CELL = 8, 1 << 20
 FEW_PAIRS = 4096
 SEED = 20240607
 #: Vectors of a label that are compared without dealing, and dimensions from which larger ones are dealt.
-WHOLE, LEAST_DIM = 262_144, 24
+WHOLE, LEAST_DIM = 524_288, 24
 #: Pairs that are worth a task of their own, and tasks at most.
 TASK_PAIRS, MOST_PARTS = 10_000_000, 4096
 #: Rows of counts that are sent to every executor.
@@ -51,7 +52,7 @@ FEW_LABELS = 10_000
 MISS = 1e-9
 
 
-@functools.lru_cache(maxsize=32)
+@functools.lru_cache(maxsize=64)
 def directions(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     """``min(dim, count)`` orthonormal directions as columns, alike on every machine."""
     q, _ = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))
@@ -173,30 +174,42 @@ def _ends(i: np.ndarray, j: np.ndarray, ok: np.ndarray, once: bool):
             yield j, i
 
 
+@functools.lru_cache(maxsize=32)
+def _alike(dim: int, threshold: float) -> float:
+    """A lower bound of how likely a pair at the threshold has its largest projection along the same direction of a random rotation."""
+    r = np.random.default_rng((SEED, dim))
+    x, y = r.standard_normal((2, 20_000, dim))
+    x = _unit(x)
+    y = _unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * y
+    same = float((_largest(x) == _largest(y)).mean())
+    return max(1e-6, same - 4 * math.sqrt(same * (1 - same) / len(x)))
+
+
+def _largest(p: np.ndarray) -> np.ndarray:
+    """The direction, with its sign, of the largest projection of every row."""
+    a = np.abs(p).argmax(axis=1)
+    return 2 * a + (p[np.arange(len(p)), a] > 0)
+
+
 def shape(n: int, dim: int, threshold: float, whole: int = WHOLE) -> tuple[int, int]:
-    """(projections a table, tables) for ``n`` vectors of one label; (0, 1) if they are compared as they are."""
+    """(rotations a table, tables) for ``n`` vectors of one label; (0, 1) if they are compared as they are."""
     if n <= whole or dim < LEAST_DIM:
         return 0, 1
-    # a cell spans eight times the root mean square difference of a linked pair, out of a spread of 1 / sqrt(dim)
-    share = min(0.95, 8 * math.sqrt(2 - 2 * threshold) / (2 * math.sqrt(math.pi)))
-    g = min(dim // 2, max(10, math.ceil(math.log(n / whole * 64) / -math.log(share))))
-    return g, math.ceil(math.log(MISS) / math.log(1 - (1 - 1 / 8) ** g))
+    g = max(1, math.ceil(math.log(n / whole * 64) / math.log(2 * dim)))
+    tables = math.ceil(math.log(MISS) / math.log1p(-(_alike(dim, threshold) ** g)))
+    return (g, tables) if tables < n / whole * (WHOLE // TILE) else (0, 1)
 
 
 def cells(x: np.ndarray, g: int, tables: int, threshold: float) -> np.ndarray:
-    """(n, tables): a 40-bit hash of the cell of every row of ``x`` in every table."""
+    """(n, tables): the cell of every row of ``x`` in every table."""
     if not g:
         return np.zeros((len(x), 1), np.int64)
     dim = x.shape[1]
-    width = 8 * math.sqrt((2 - 2 * threshold) / dim)
-    p = x @ directions(dim, dim) / width
-    r = np.random.default_rng((SEED, dim, g))
-    out = np.empty((len(x), tables), np.int64)
+    out = np.zeros((len(x), tables), np.int64)
     for t in range(tables):
-        own = r.permutation(dim)[:g]
-        at = np.floor(p[:, own] + r.random(g)).astype(np.int64)
-        h = (at * r.integers(1 << 62, size=g) | 1).astype(np.uint64).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, t] = (h >> np.uint64(24)).astype(np.int64)
+        for k in range(g):
+            out[:, t] = out[:, t] * (2 * dim) + _largest(x @ directions(dim, dim, SEED + 1009 * (1 + t * g + k)))
     return out
 
 
