@@ -9,6 +9,9 @@ words; before strings are built and shuffled, their rolling hashes, which need
 one multiplication each, are held against a table of ``BITS`` bits in which the
 hashes of all words are set.  The table only spares rows: what passes it is
 still joined by equality, and nothing that is a word fails it.
+
+Joins are hinted: files of words are far smaller than their rows in memory, so by
+their size Spark would send the vocabulary to the driver and broadcast it.
 """
 
 from __future__ import annotations
@@ -182,7 +185,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     # one edit from the word lies the other: equality of strings is all that is left to ask
     made = words.select("word").mapInArrow(work, "near string, word string")
-    return made.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").select("word", "near", "near_n")
+    return made.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near").select("word", "near", "near_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -190,7 +193,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = cut(forms.select("word", F.col("form").alias("p"), F.lit(True).alias("open")), "roots")
     while not at.where("open").isEmpty():
         on = at.select(F.col("word").alias("p"), F.col("p").alias("q"), F.col("open").alias("more"))
-        moved = at.where("open").join(on, "p", "left").select("word", F.coalesce("q", "p").alias("p"), F.coalesce("more", F.lit(False)).alias("open"))
+        moved = at.where("open").join(on.hint("merge"), "p", "left").select("word", F.coalesce("q", "p").alias("p"), F.coalesce("more", F.lit(False)).alias("open"))
         new = cut(at.where("not open").unionByName(moved), "roots")
         drop_cut(at)
         at = new
@@ -210,9 +213,9 @@ def spelling_forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = cut(vocabulary(docs, id_col, text_col, rewrite=rewrite), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("form")))
     near = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    found = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.form").alias("near"), (-F.col("best.m")).alias("near_n"))
+    found = words.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.form").alias("near"), (-F.col("best.m")).alias("near_n"))
     follows = F.col("near_n") >= ratio * F.col("n")
     found = cut(found.select("word", F.when(follows, F.col("near")).alias("form"), "n", "n_near", F.when(follows, F.col("near_n")).alias("form_n")), "forms")
     drop_cut(words)
     last = roots(found.where("form is not null"))
-    return found.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

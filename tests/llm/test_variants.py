@@ -97,3 +97,14 @@ def test_query(spark, tmp_path):
     rows = made(9)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in registry.queries()["op11_spelling_variants"](spark, str(tmp_path)).collect()} == brute(rows)
+
+
+def test_vocabulary_is_not_broadcast(spark, monkeypatch):
+    """Small files of words are not taken for small tables: no join goes by way of the driver."""
+    plans = []
+    kept = variants.cut
+    monkeypatch.setattr(variants, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    docs = spark.createDataFrame(made(), "doc_id long, text string")
+    out = variants.spelling_forms(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
