@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from numera.operators import groups
 from numera.operators.graph import checkpoint, components, grown, reachable, release
 
 # fixed values: how a chain ends
@@ -46,14 +47,66 @@ def resolve_aliases(aliases: DataFrame, known: DataFrame) -> DataFrame:
     return ended.unionByName(stuck).unionByName(never)
 
 
+def _dominators(t, g, ok):
+    """``dominators`` of groups of at most 64 blocks, as sets of bits; rows (by, edge, src, dst) are edges and, without one, entries (src)."""
+    import numpy as np
+    import pyarrow as pa
+
+    edge = t.column(1).to_numpy()
+    (src, dst), value = groups.codes(t.column(2), t.column(3))
+    missing = t.column(2).is_null().to_numpy() | (edge & t.column(3).is_null().to_numpy())
+    ok[g[missing]] = False
+    owner, code = np.r_[g, g[edge]], np.r_[src, dst[edge]]
+    number, row = groups.numbered(owner, code)
+    own, name = owner[row], code[row]  # by block
+    place = groups.places(own)
+    ok[own[place > 63]] = False
+    bit = np.uint64(1) << (place & 63).astype(np.uint64)
+    to, of, entry = number[len(g) :], number[: len(g)][edge], np.unique(number[: len(g)][~edge])
+    use = ok[own[of]]
+    to, of, entry = to[use], of[use], entry[ok[own[entry]]]
+    ored = groups.gather(len(own), to)
+    reached = np.zeros(len(own), np.uint64)
+    reached[entry] = 1
+    while ((new := reached | ored(reached[of])) != reached).any():
+        reached = new
+    every = np.zeros(len(ok), np.uint64)
+    np.bitwise_or.at(every, own, np.where(reached > 0, bit, np.uint64(0)))
+    free = np.zeros(len(own), np.uint64)  # what is avoided on some way to a block
+    free[entry] = every[own[entry]] & ~bit[entry]
+    while ((new := free | ored(free[of] & ~bit[to])) != free).any():
+        free = new
+    found = np.where(reached > 0, every[own] & ~free, np.uint64(0))
+    depth = np.bitwise_count(found).astype(np.int64)
+    block, k = groups.members(found)
+    above = np.searchsorted(own, own[block]) + k
+    return own[block], [value(name[block]), value(name[above]), pa.array(depth[above] == depth[block] - 1)]
+
+
 def dominators(blocks: DataFrame, edges: DataFrame, by: str = "function") -> DataFrame:
     """(by, block, dominator, immediate): the blocks on every path from a function's entry to each block it reaches.
 
-    ``blocks`` (by, block, entry), ``edges`` (by, src, dst).  What is carried is
-    the complement: d does not dominate n if some predecessor of n, other than d
+    ``blocks`` (by, block, entry), ``edges`` (by, src, dst).  Functions of up to
+    64 blocks are solved by the task that has them, others in rounds.
+    ``immediate`` marks the closest strict one.
+    """
+    kind = dict(edges.dtypes)["src"]
+    if not groups.plain(edges, by, "src", "dst") or dict(edges.dtypes)["dst"] != kind or dict(blocks.dtypes)["block"] != kind:
+        return _wide_dominators(blocks, edges, by)
+    start = blocks.where("entry").select(by, F.lit(False).alias("edge"), F.col("block").alias("src"), F.lit(None).cast(kind).alias("dst"))
+    done, left = groups.solve(start.unionByName(edges.select(by, F.lit(True).alias("edge"), "src", "dst")), by, f"block {kind}, dominator {kind}, immediate boolean", _dominators)
+    if left is None:
+        return done
+    return done.unionByName(_wide_dominators(blocks.join(left, by, "left_semi"), edges.join(left, by, "left_semi"), by))
+
+
+def _wide_dominators(blocks: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """``dominators`` of functions of any size, in rounds.
+
+    What is carried is the complement: d does not dominate n if some predecessor of n, other than d
     is n, is reached without d.  Pairs only grow, and a round moves those found
     in the last one.  Rows grow with the square of one function's blocks, not
-    with the number of functions.  ``immediate`` marks the closest strict one.
+    with the number of functions.
     """
     own = checkpoint(blocks.select(by, "block", "entry").distinct())
     e = checkpoint(edges.select(by, F.col("src").alias("block"), "dst").distinct())

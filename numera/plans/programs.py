@@ -43,9 +43,8 @@ def _blocks(t):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     b = t.lineitem.select(F.col("l_orderkey").alias("f"), F.row_number().over(w).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"), F.col("l_returnflag").alias("flag"), (F.col("l_suppkey") % 3).alias("v"))
     i = F.col("i")
-    edge = lambda df, dst: df.select("f", i.alias("src"), dst.alias("dst"))
-    e = edge(b.where("i < n"), i + 1).union(edge(b.where("flag = 'R' and i + 2 <= n"), i + 2)).union(edge(b.where("flag = 'A'"), F.greatest(i - 1, F.lit(1))))
-    return b, e.distinct()
+    ends = F.array(F.when(i < F.col("n"), i + 1), F.when((F.col("flag") == "R") & (i + 2 <= F.col("n")), i + 2), F.when(F.col("flag") == "A", F.greatest(i - 1, F.lit(1))))
+    return b, b.select("f", i.alias("src"), F.explode(F.array_distinct(F.filter(ends, lambda x: x.isNotNull()))).alias("dst"))
 
 
 @query(
