@@ -132,13 +132,60 @@ def _wide_dominators(blocks: DataFrame, edges: DataFrame, by: str) -> DataFrame:
     return at.select(by, "block", "dominator", (F.col("above") == F.col("depth") - 1).alias("immediate"))
 
 
+def _reaching(t, g, ok):
+    """``reaching_definitions`` of groups of at most 64 definitions, as sets of bits; rows (by, edge, src, dst, definition, variable) are edges or definitions at src."""
+    import numpy as np
+
+    edge, none = t.column(1).to_numpy(), [t.column(k).is_null().to_numpy() for k in range(2, 6)]
+    (src, dst), block = groups.codes(t.column(2), t.column(3))
+    (defined,), definition = groups.codes(t.column(4))
+    (variable,), _ = groups.codes(t.column(5))
+    ok[g[none[0] | np.where(edge, none[1], none[2] | none[3])]] = False
+    number, row = groups.numbered(np.r_[g, g[edge]], np.r_[src, dst[edge]])
+    own, name = np.r_[g, g[edge]][row], np.r_[src, dst[edge]][row]  # by block
+    at, to, of = number[: len(g)][~edge], number[len(g) :], number[: len(g)][edge]
+    g, defined, variable = g[~edge], defined[~edge], variable[~edge]
+    item, row = groups.numbered(g, defined, variable)
+    place = groups.places(g[row])
+    ok[g[row][place > 63]] = False
+    bit = np.uint64(1) << (place & 63).astype(np.uint64)
+    named, each = groups.numbered(g, variable)
+    alike = groups.gather(len(each), named)(bit[item])  # definitions of a variable
+    made, killed = groups.gather(len(own), at)(bit[item]), groups.gather(len(own), at)(alike[named])
+    use = ok[own[of]]
+    to, of = to[use], of[use]
+    ored = groups.gather(len(own), to)
+    inside = np.zeros(len(own), np.uint64)
+    while ((new := inside | ored((made | inside & ~killed)[of])) != inside).any():
+        inside = new
+    here, k = groups.members(inside)
+    which = row[np.searchsorted(g[row], own[here]) + k]
+    _, once = groups.numbered(here, defined[which])  # one of two variables is one definition
+    return own[here[once]], [block(name[here[once]]), definition(defined[which[once]])]
+
+
 def reaching_definitions(edges: DataFrame, definitions: DataFrame, by: str = "function") -> DataFrame:
     """(by, block, definition): the definitions that may still hold where a block begins.
 
     ``edges`` (by, src, dst), ``definitions`` (by, block, definition, variable).
     A block's last word counts: it passes on its own definitions and those that
-    came in of variables it does not define.
+    came in of variables it does not define.  Functions of up to 64 definitions
+    are solved by the task that has them, others in rounds.
     """
+    e, d = dict(edges.dtypes), dict(definitions.dtypes)
+    if not (groups.plain(edges, by, "src") and groups.plain(definitions, "definition", "variable") and e["src"] == e["dst"] == d["block"]):
+        return _wide_reaching(edges, definitions, by)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    rows = edges.select(by, F.lit(True).alias("edge"), "src", "dst", none("definition", d["definition"]), none("variable", d["variable"]))
+    rows = rows.unionByName(definitions.select(by, F.lit(False).alias("edge"), F.col("block").alias("src"), none("dst", e["src"]), "definition", "variable"))
+    done, left = groups.solve(rows, by, f"block {e['src']}, definition {d['definition']}", _reaching)
+    if left is None:
+        return done
+    return done.unionByName(_wide_reaching(edges.join(left, by, "left_semi"), definitions.join(left, by, "left_semi"), by))
+
+
+def _wide_reaching(edges: DataFrame, definitions: DataFrame, by: str) -> DataFrame:
+    """``reaching_definitions`` of functions of any size, in rounds."""
     e = checkpoint(edges.select(by, "src", "dst").distinct())
     gen = checkpoint(definitions.select(by, F.col("block").alias("src"), "definition", "variable").distinct())
     kills = gen.select(by, F.col("src").alias("block"), "variable").distinct()

@@ -1,30 +1,21 @@
 """Groups solved by the task that has them, and what is left to rounds."""
 
-import random
 from collections import defaultdict
 
-from numera.operators import chains, groups
+from numera.operators import chains
 from tests.test_disk import left
 
 
-def flow(seed, kind):
-    """Functions of 1 to 90 blocks, some entered twice, one with a null edge."""
-    r, blocks, edges = random.Random(seed), [], []
-    for f in range(40):
-        n = 90 if f % 13 == 5 else r.randrange(1, 12)
-        blocks += [(f, kind(b), b == 0 or f % 7 == 3 and b == 1) for b in range(n)]
-        edges += [(f, kind((b - 1) // 3), kind(b)) for b in range(1, n) if r.random() < 0.95] + [(f, kind(r.randrange(n)), kind(r.randrange(n))) for _ in range(n // 2 + 1)] * r.choice([1, 2])
-    return blocks, edges + [(0, None, kind(0)), (1, kind(0), None), (None, kind(0), kind(1))]
-
-
-def test_dominators_of_small_and_large_functions(spark, monkeypatch):
-    for chunk, limit, kind, sql in ((300, 40, int, "long"), (groups.CHUNK, groups.LIMIT, "b{}".format, "string")):
-        monkeypatch.setattr(groups, "CHUNK", chunk)
-        monkeypatch.setattr(groups, "LIMIT", limit)
-        blocks, edges = flow(chunk, kind)
-        b, e = spark.createDataFrame(blocks, f"function long, block {sql}, entry boolean"), spark.createDataFrame(edges, f"function long, src {sql}, dst {sql}")
-        rows = sorted(map(tuple, chains.dominators(b, e).collect()), key=repr)
-        assert rows == sorted(map(tuple, chains._wide_dominators(b, e, "function").collect()), key=repr) and len(rows) > 500
+def test_large_functions_are_left_to_rounds(spark):
+    """A function of 70 blocks and definitions, beside a small one and nulls."""
+    star = [(1, 0, k) for k in range(1, 70)] + [(2, 5, 6), (None, 0, 1)]
+    e = spark.createDataFrame(star, "function long, src long, dst long")
+    b = spark.createDataFrame([(1, 0, True), (2, 5, True), (3, 9, True), (None, 0, True)], "function long, block long, entry boolean")
+    want = {(1, 0, 0), (2, 5, 5), (2, 6, 6), (2, 6, 5), (3, 9, 9)} | {(1, k, d) for k in range(1, 70) for d in (0, k)}
+    assert {tuple(x)[:3] for x in chains.dominators(b, e).collect()} == want
+    defs = spark.createDataFrame([(1, 0, k, k) for k in range(70)] + [(2, 5, 1, 1), (None, 0, 3, 3)], "function long, block long, definition long, variable long")
+    got = [tuple(x) for x in chains.reaching_definitions(e, defs).collect()]
+    assert sorted(got) == sorted({(1, b, k) for b in range(1, 70) for k in range(70)} | {(2, 6, 1)})
 
 
 def test_dominators_of_a_chain_take_one_table(spark):
@@ -36,3 +27,10 @@ def test_dominators_of_a_chain_take_one_table(spark):
         by[x.function, x.block].add(x.dominator)
     assert by == {(f, k): set(range(k + 1)) for f in range(3) for k in range(41)}
     assert left(spark) - before <= 2  # a round for each block would leave dozens
+
+
+def test_definitions_along_a_chain_take_one_table(spark):
+    before = left(spark)
+    e = spark.createDataFrame([(1, k, k + 1) for k in range(20)], "function long, src long, dst long")
+    got = chains.reaching_definitions(e, spark.createDataFrame([(1, 0, 7, 1)], "function long, block long, definition long, variable long"))
+    assert sorted(map(tuple, got.collect())) == [(1, k, 7) for k in range(1, 21)] and left(spark) - before <= 2
