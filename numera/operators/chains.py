@@ -247,6 +247,57 @@ def divergence_roots(divergent: DataFrame, lineage: DataFrame) -> DataFrame:
     return bad.join(found, "id", "left")
 
 
+_END = 1 << 62
+
+
+def _slices(t, g, ok):
+    """``backward_slice`` of whole groups; rows (by, kind, pos, name, other) are sets (0), reads (1, at ``_END`` what is wanted) and aliases (2)."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind, pos = t.column(1).to_numpy(), t.column(2).fill_null(0).to_numpy()
+    (name, other), _ = groups.codes(t.column(3), t.column(4))
+    none = [t.column(k).is_null().to_numpy() for k in (2, 3, 4)]
+    sets, reads, pairs = (kind == k for k in range(3))
+    ok[g[none[1] | np.where(pairs, none[2], none[0])]] = False
+    number, row = groups.numbered(np.r_[g, g[pairs]], np.r_[name, other[pairs]])
+    u, v = number[: len(g)][pairs], number[len(g) :]
+    u, v = u[u != v], v[u != v]
+    label, shared = np.arange(len(row)), np.zeros(len(row), bool)
+    shared[u] = shared[v] = True
+    while True:  # names that may be one object get the least of their numbers
+        new, low = label.copy(), np.minimum(label[u], label[v])
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        if (new == label).all():
+            break
+        label = new[new]
+    named = number[: len(g)]
+    rank = np.unique(pos, return_inverse=True)[1].astype(np.int64)
+    width = int(rank.max(initial=0)) + 1
+    key = label[named] * width + rank
+    statement, one = groups.numbered(np.r_[g[sets], g[reads]], np.r_[pos[sets], pos[reads]])
+    of, at = statement[: sets.sum()], statement[sets.sum() :]
+    order = np.argsort(key[sets], kind="stable")
+    there, of = key[sets][order], of[order]
+    lo, hi = np.searchsorted(there, label[named[reads]] * width), np.searchsorted(there, key[reads])
+    some, every = hi > lo, shared[named[reads]]
+    needed = np.zeros(len(one), bool)
+    needed[at[(pos[reads] == _END) & ok[g[reads]]]] = True
+    while True:
+        live, new = needed[at] & some, needed.copy()
+        new[of[hi[live & ~every] - 1]] = True  # the last one before
+        span = np.bincount(lo[live & every], minlength=len(of) + 1) - np.bincount(hi[live & every], minlength=len(of) + 1)
+        new[of[np.cumsum(span)[: len(of)] > 0]] = True  # all before
+        if (new == needed).all():
+            break
+        needed = new
+    is_set = np.zeros(len(one), bool)
+    is_set[of] = True
+    found = one[needed & is_set]
+    return np.r_[g[sets], g[reads]][found], [pa.array(np.r_[pos[sets], pos[reads]][found], pa.int64())]
+
+
 def backward_slice(assigns: DataFrame, loads: DataFrame, aliases: DataFrame, required: DataFrame, by: str = "function") -> DataFrame:
     """(by, pos): the statements of straight-line functions that the required names depend on.
 
@@ -255,13 +306,28 @@ def backward_slice(assigns: DataFrame, loads: DataFrame, aliases: DataFrame, req
     ``required`` (by, name) what is wanted at the end.  A read depends on the
     last statement before it that sets the name; of names with aliases on every
     earlier one that sets any of the group, as none is known to replace another.
+    Functions of up to ``groups.LIMIT`` rows are solved by the task that has them.
     """
+    kinds = {d[c] for df, cols in ((assigns, ["name"]), (loads, ["name"]), (required, ["name"]), (aliases, ["name", "other"])) for d in [dict(df.dtypes)] for c in cols}
+    if len(kinds) > 1 or not kinds <= {*groups.PLAIN} or not all(groups.plain(df, by) for df in (assigns, loads, aliases, required)):
+        return _wide_slice(assigns, loads, aliases, required, by)
+    kind, none = kinds.pop(), F.lit(None)
+    row = lambda df, k, pos, other: df.select(by, F.lit(k).alias("kind"), pos.cast("long").alias("pos"), "name", other.cast(kind).alias("other"))
+    rows = row(assigns, 0, F.col("pos"), none).union(row(loads, 1, F.col("pos"), none)).union(row(required, 1, F.lit(_END), none)).union(row(aliases, 2, none, F.col("other")))
+    done, left = groups.solve(rows, by, "pos bigint", _slices)
+    if left is None:
+        return done
+    return done.unionByName(_wide_slice(*(df.join(left, by, "left_semi") for df in (assigns, loads, aliases, required)), by))
+
+
+def _wide_slice(assigns: DataFrame, loads: DataFrame, aliases: DataFrame, required: DataFrame, by: str) -> DataFrame:
+    """``backward_slice`` of functions of any size, in rounds."""
     tag = lambda c: F.concat_ws("/", F.col(by).cast("string"), F.col(c).cast("string"))
     pairs = aliases.where("name != other").select(tag("name").alias("src"), tag("other").alias("dst"))
     grouped = components(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), pairs)
     named = lambda df, *cols: df.select(by, *cols, tag("name").alias("id")).join(grouped, "id", "left").select(by, *cols, F.coalesce("component", "id").alias("v"), F.col("component").isNotNull().alias("shared"))
     sets = checkpoint(named(assigns, F.col("pos").cast("long").alias("pos")).distinct())
-    end = F.lit(1 << 62).cast("long")
+    end = F.lit(_END).cast("long")
     reads = named(loads, F.col("pos").cast("long").alias("pos")).unionByName(named(required.withColumn("pos", end), "pos")).distinct()
     release(sets.sparkSession)
     before = reads.select(by, F.col("pos").alias("at"), "v", "shared").join(sets.select(by, "v", "pos"), [by, "v"]).where("pos < at")

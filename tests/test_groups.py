@@ -34,3 +34,12 @@ def test_definitions_along_a_chain_take_one_table(spark):
     e = spark.createDataFrame([(1, k, k + 1) for k in range(20)], "function long, src long, dst long")
     got = chains.reaching_definitions(e, spark.createDataFrame([(1, 0, 7, 1)], "function long, block long, definition long, variable long"))
     assert sorted(map(tuple, got.collect())) == [(1, k, 7) for k in range(1, 21)] and left(spark) - before <= 2
+
+
+def test_slices_along_a_chain_take_one_table(spark):
+    """Line k sets name k from name k - 1: all lines but those of another name are needed."""
+    before = left(spark)
+    code = spark.createDataFrame([(1, k, f"v{k}", f"v{k - 1}") for k in range(1, 21)] + [(1, 30, "w", "v3")], "function long, pos long, name string, read string")
+    none = spark.createDataFrame([], "function long, name string, other string")
+    got = chains.backward_slice(code.select("function", "pos", "name"), code.select("function", "pos", code.read.alias("name")), none, spark.createDataFrame([(1, "v20")], "function long, name string"))
+    assert sorted(map(tuple, got.collect())) == [(1, k) for k in range(1, 21)] and left(spark) - before <= 2
