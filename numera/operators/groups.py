@@ -119,10 +119,10 @@ def _wholes(batches: Iterable[pa.RecordBatch], chunk: int, limit: int) -> Iterat
         yield t, group(t)
 
 
-def solve(rows: DataFrame, by: str, schema: str, solver: Callable, chunk: int | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def solve(rows: DataFrame, by: str, schema: str, solver: Callable, chunk: int | None = None, limit: int | None = None, met: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """The result of all groups that a task can solve, and the keys (by) of the others, if any.
 
-    ``rows`` has ``by`` first.  ``solver(table, g, ok)`` gets whole groups, the
+    ``rows`` has ``by`` first; with ``met`` those of a group already stand together.  ``solver(table, g, ok)`` gets whole groups, the
     number of each row's group and, by group, whether it is to be solved; it may
     clear more of ``ok`` and returns, as Arrow arrays, numbers of groups and the
     columns of ``schema``, of which the first is never null.
@@ -148,8 +148,9 @@ def solve(rows: DataFrame, by: str, schema: str, solver: Callable, chunk: int |
                 yield pa.RecordBatch.from_arrays([bad, *(pa.nulls(len(bad), c.type) for c in columns)], names)
 
     names = [by, *(x.split()[0] for x in schema.split(", "))]
-    met = rows.where(F.col(by).isNotNull()).repartition(F.col(by)).sortWithinPartitions(by)
-    out, seen = observed(met.mapInArrow(work, f"`{by}` {kind}, {schema}"), left=F.count(F.when(F.col(never_null).isNull(), 1)))
+    rows = rows.where(F.col(by).isNotNull())
+    rows = rows if met else rows.repartition(F.col(by)).sortWithinPartitions(by)
+    out, seen = observed(rows.mapInArrow(work, f"`{by}` {kind}, {schema}"), left=F.count(F.when(F.col(never_null).isNull(), 1)))
     return out.where(F.col(never_null).isNotNull()), out.where(F.col(never_null).isNull()).select(by) if seen["left"] else None
 
 
